@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -96,6 +97,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans by start that cover the same code points."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _score(text: str, rank: int, start: int, end: int) -> float:
     """Prior of the kind, raised once if a context word stands near."""
     kind = KINDS[rank]
@@ -110,13 +122,13 @@ def find_spans(text: str | None) -> list[Span]:
         return []
     found = [(0, s, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split("."))]
         found += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if 14 <= len(d := _only_digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if 10 <= len(_only_digits(m[0])) <= 15]
         found += [(4, m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
-        taken = [(s, e) for _, s, e in found]
-        found += [(5, m.start(), m.end()) for m in _TEL.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        held = _merged((s, e) for _, s, e in found)
+        found += [(5, m.start(), m.end()) for m in _TEL.finditer(text) if (i := bisect_left(held, (m.end(),))) == 0 or held[i - 1][1] <= m.start()]
     spans = (Span(s, rank, e, _score(text, rank, s, e)) for rank, s, e in found)
     return sorted(x for x in spans if x.rank < len(BASE_KINDS) or x.score >= ACCEPT)
 
@@ -186,9 +198,6 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["KINDS", "Span", "detect", "digest", "find_spans", "listed", "luhn", "masked", "mod97", "redact", "sha256_of"]
-
-
 def sha256_of(spans: list[Span]) -> str:
     """The base digest of one text, for checks outside Spark."""
     return hashlib.sha256(",".join(f"{x.kind}:{x.start}:{x.end}" for x in spans if x.rank < len(BASE_KINDS)).encode()).hexdigest()

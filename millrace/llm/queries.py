@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import pii
+from millrace.llm import packing, pii, token_store
+from millrace.session import work_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_folder(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.read_store(spark, path).drop("ids")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii}
+    return {"op1_pii": op1_pii, "op2_token_store": op2_token_store, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, pii, token_store, toxicity
+from millrace.llm import packing, pii, token_store, toxicity, url_rules
 from millrace.session import work_folder
 
 
@@ -29,12 +29,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_token_store": op2_token_store, "op5_packing": op5_packing, "op8_toxicity": op8_toxicity}
+    return {"op1_pii": op1_pii, "op2_token_store": op2_token_store, "op5_packing": op5_packing, "op7_url_rules": op7_url_rules, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, line_dedup, packing, pii, token_store, toxicity, url_rules
+from millrace.llm import decontam, lattice, line_dedup, packing, pii, token_store, toxicity, url_rules
 from millrace.session import work_folder
 
 
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op5_packing, op7_url_rules, op8_toxicity, op10_decontam)
+REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op10_decontam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, lattice, line_dedup, packing, pii, token_store, toxicity, url_rules
+from millrace.llm import decontam, jaccard, lattice, line_dedup, packing, pii, token_store, toxicity, url_rules
 from millrace.session import work_folder
 
 
@@ -45,11 +45,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op10_decontam)
+REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op9_jaccard, op10_decontam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.tokens import blocks
 
-MAX_PER_CLASS = {1: 4_000, 0: 8_000}
+MAX_PER_CLASS = {1: 3_000, 0: 6_000}
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
@@ -126,15 +126,19 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Mod
         return model
     model.weights[:] = rng.normal(0, 0.1, model.weights.shape)
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
-    flat, sizes = grams_of(list(number))
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
+    words = list(number)
+    del number
+    parts = [grams_of(words[i : i + 20_000]) for i in range(0, len(words), 20_000)] or [grams_of([])]
+    flat, sizes = np.concatenate([f for f, _ in parts]).astype(np.int32), np.concatenate([n for _, n in parts])
+    del words, parts
     begins = np.concatenate([[0], np.cumsum(sizes)])
     fitted = np.arange(len(y)) % CALIBRATION != 0
     share = np.maximum(np.bincount(y[fitted], minlength=2), 1)
     cost = len(y) / (2 * share[y])  # both classes weigh the same
     sums = [np.full(x.shape, 1e-12) for x in (model.embeddings, model.weights, model.bias)]
     for epoch in range(epochs):
-        per_word = np.add.reduceat(model.gram_scores()[flat], begins[:-1]) / sizes if len(sizes) else np.empty(0)
+        per_word = _per_word(model, flat, begins)
         shown = []
         for ids in docs:
             at = top_blocks(per_word[ids])[1] if epoch >= RANDOM_EPOCHS else int(rng.integers(0, max(1, len(ids) - BLOCK_WORDS + 1)))
@@ -142,10 +146,19 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Mod
         order = rng.permutation(np.flatnonzero(fitted))
         for i in range(0, len(order), BATCH):
             _step(model, [shown[k] for k in order[i : i + BATCH]], y[order[i : i + BATCH]], cost[order[i : i + BATCH]], flat, begins, sizes, sums, RATE * (1 - epoch / epochs))
-    _calibrate(model, [docs[k] for k in np.flatnonzero(~fitted)], y[~fitted], np.add.reduceat(model.gram_scores()[flat], begins[:-1]) / sizes if len(sizes) else np.empty(0))
+    _calibrate(model, [docs[k] for k in np.flatnonzero(~fitted)], y[~fitted], _per_word(model, flat, begins))
     return model
 
 
+def _per_word(model: Model, flat, begins) -> np.ndarray:
+    """Score of every word of the sample, in runs that keep memory low."""
+    grams, out = model.gram_scores().astype(np.float32), []
+    for i in range(0, len(begins) - 1, 20_000):
+        ends = begins[i : i + 20_001]
+        out.append(np.add.reduceat(grams[flat[ends[0] : ends[-1]]], ends[:-1] - ends[0]) / np.diff(ends))
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def _calibrate(model: Model, docs, y, per_word) -> None:
     """Stretch and shift the log odds on rows of the sample that the steps left out."""
     if len(set(y.tolist())) < 2:
@@ -225,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         picked = part if picked is None else picked.unionByName(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "text", "_y").toPandas()
     sample = sample.sort_values(["_id", "_y", "text"], kind="stable").drop_duplicates("_id")
-    return fit(sample["text"].tolist(), sample["_y"].astype(int).tolist())
+    texts, toxic = sample["text"].tolist(), sample["_y"].astype(int).tolist()
+    del sample
+    return fit(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

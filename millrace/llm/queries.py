@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, jaccard, lattice, line_dedup, packing, pii, token_store, toxicity, url_rules
+from millrace.llm import decontam, jaccard, lattice, line_dedup, packing, pii, suffix_dedup, token_store, toxicity, url_rules
 from millrace.session import work_folder
 
 
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op9_jaccard, op10_decontam)
+REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op4_suffix_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op9_jaccard, op10_decontam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -153,30 +153,41 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used (also inside other lambdas)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(parts: Column, n: int) -> Column:
     """Runs of ``n`` parts, joined by blanks, in order; none if there are fewer."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1)))
-    return F.when(F.size(parts) >= n, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(p, i, n), " "))
+    return let(parts, lambda p: F.when(F.size(p) >= n, runs(p)).otherwise(F.array().cast("array<string>")))
 
 
 def shingles(text: Column, n: int = 3, short: str = "whole") -> Column:
     """Distinct word n-grams. Short texts: ``whole`` (one gram), ``tokens`` (their words) or ``none``."""
-    parts = tokens(text)
-    few = {"whole": F.when(F.size(parts) > 0, F.array(F.array_join(parts, " "))).otherwise(F.array().cast("array<string>")), "tokens": parts, "none": F.array().cast("array<string>")}[short]
-    return F.array_distinct(F.when(F.size(parts) >= n, ngrams(parts, n)).otherwise(few))
+    none = F.array().cast("array<string>")
+
+    def made(parts):
+        few = {"whole": F.when(F.size(parts) > 0, F.array(F.array_join(parts, " "))).otherwise(none), "tokens": parts, "none": none}[short]
+        return F.array_distinct(F.when(F.size(parts) >= n, ngrams(parts, n)).otherwise(few))
+
+    return let(tokens(text), made)
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the collapsed lower-case text; a short text is one."""
-    flat = collapse(F.lower(text))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1)))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substring(flat, i, F.lit(n)))))
+
+    def made(flat):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1)))
+        return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substring(flat, i, F.lit(n)))))
+
+    return let(collapse(F.lower(text)), made)
 
 
 def repetition(parts: Column, n: int) -> Column:
     """Share of n-grams that repeat an earlier one."""
-    grams = ngrams(parts, n)
-    return F.coalesce((F.size(grams) - F.size(F.array_distinct(grams))) / F.nullif(F.size(grams), F.lit(0)), F.lit(0.0))
+    return let(ngrams(parts, n), lambda g: F.coalesce((F.size(g) - F.size(F.array_distinct(g))) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
 
 
 def balanced(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "records")
+MODULES = ("texts", "records", "corpus")
 
 
 def load() -> None:

@@ -30,9 +30,9 @@ def grams(parts: str, n: int) -> str:
 
 
 def shingles(x: str, n: int = 3, short: str = "whole") -> str:
-    parts = tokens(x)
-    few = {"whole": f"CASE WHEN len({parts}) > 0 THEN [array_to_string({parts}, ' ')] ELSE []::VARCHAR[] END", "tokens": parts, "none": "[]::VARCHAR[]"}[short]
-    return f"list_distinct(CASE WHEN len({parts}) >= {n} THEN {grams(parts, n)} ELSE {few} END)"
+    """Distinct word n-grams; the tokens are bound to a lambda, so they are found once."""
+    few = {"whole": "CASE WHEN len(p) > 0 THEN [array_to_string(p, ' ')] ELSE []::VARCHAR[] END", "tokens": "p", "none": "[]::VARCHAR[]"}[short]
+    return f"list_transform([{tokens(x)}], lambda p: list_distinct(CASE WHEN len(p) >= {n} THEN {grams('p', n)} ELSE {few} END))[1]"
 
 
 def sha(x: str) -> str:

@@ -34,10 +34,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str, endings: tuple[str, ...] = ("html", "md", "txt", "json", "jsonl", "pdf")) -> DataFrame:
-    """Files below ``path`` with an allowed ending: path, bytes, empty, sha256."""
+    """Files below ``path`` with an allowed ending: path, bytes, sha256. Spark itself passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.where(ending.isin(*endings)).select("path", F.col("length").alias("bytes"), (F.col("length") == 0).alias("empty"), F.sha2("content", 256).alias("sha256"))
+    return files.where(ending.isin(*endings)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def html_text(html: Column) -> Column:

@@ -66,7 +66,7 @@ def group_split(df: DataFrame, group: str, train: float = 0.9, validation: float
     before = parts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     placed = sizes.join(F.broadcast(before), "_bucket")  # one row per bucket, 256 at most
     start = F.col("_before") + F.sum("_size").over(Window.partitionBy("_bucket").orderBy("_rank", group)) - F.col("_size")
-    split = F.when(start < F.col("_all") * F.lit(train), "train").when(start < F.col("_all") * F.lit(train + validation), "validation").otherwise("test")
+    split = F.when(start < F.col("_all") * F.lit(train), "train").when(start < F.col("_all") * F.lit(round(train + validation, 9)), "validation").otherwise("test")
     return df.join(placed.withColumn("_start", start).select(group, split.alias("split")), group)
 
 

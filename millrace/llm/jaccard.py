@@ -42,8 +42,12 @@ WORDS = 5
 PERCENT = 80
 HOT = 40
 MAX_HOT = 1 << 18
+LEADERS = 8
+TRIED = 4
 LEADER_ROUNDS = 4
 CACHE_WORDS = 300_000
+#: Shingle sets that a verifying task remembers.
+CACHE_SETS = 2_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,8 +61,9 @@ class Shingler:
         cut = [t.encode().lower().split() if t else [] for t in texts]  # ASCII case and ASCII blanks
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        for word in set().union(*cut) - self.cache.keys():
-            self.cache[word] = xxhash.xxh3_64_intdigest(word)
+        for word in set().union(*cut):
+            if word not in self.cache:
+                self.cache[word] = xxhash.xxh3_64_intdigest(word)
         get = self.cache.__getitem__
         out = []
         for words in cut:
@@ -177,15 +182,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
 
     def run(batches):
-        maker, kept, last = Shingler(), None, None
+        maker, kept = Shingler(), {}
+
+        def read(label, raw):
+            if label not in kept:
+                if len(kept) >= CACHE_SETS:
+                    kept.clear()
+                kept[label] = maker.sets([zstandard.decompress(raw.as_py()).decode()])[0]
+            return kept[label]
+
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            read = lambda raw: maker.sets([zstandard.decompress(raw).decode()])[0]
-            good = []
-            for x, left, right in zip(a, batch.column(2), batch.column(3), strict=True):
-                if x != last:
-                    last, kept = x, read(left.as_py())
-                good.append(linked(kept, read(right.as_py())))
+            good = [linked(read(x, left), read(y, right)) for x, y, left, right in zip(a, b, batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one, two = texts.toDF("a", "left"), texts.toDF("b", "right")
@@ -193,15 +201,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def leader_pairs(found: DataFrame, parts: DataFrame | None, salt: int) -> DataFrame:
-    """Each class with the leader (lowest rank) that most of its lists share, where the two are of different components."""
-    rank = F.struct(F.xxhash64(F.lit(salt), "class").alias("rank"), F.col("class").alias("class"), F.col("n").alias("n"))
-    heads = found.groupBy("shingle").agg(F.min(rank).alias("head"))
-    rows = found.join(heads, "shingle").where("class <> head.class").where(fits(F.col("n"), F.col("head.n")))
+def leader_pairs(found: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
+    """Each class with the ``TRIED`` leaders that share most of its lists, where the two are of different components.
+
+    A list has ``LEADERS`` leaders: its lowest classes by as many pseudo-random
+    ranks, which are new in every turn.
+    """
+    ranks = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "class").alias("rank"), F.col("class").alias("class"), F.col("n").alias("n"))) for k in range(LEADERS)]
+    heads = found.groupBy("shingle").agg(*[r.alias(f"h{k}") for k, r in enumerate(ranks)])
+    distinct = F.array_distinct(F.array(*[F.struct(F.col(f"h{k}.class").alias("class"), F.col(f"h{k}.n").alias("n")) for k in range(LEADERS)]))
+    rows = found.join(heads.select("shingle", distinct.alias("heads")), "shingle").select("class", "n", F.explode("heads").alias("head"))
+    rows = rows.where("class <> head.class").where(fits(F.col("n"), F.col("head.n")))
     seen = rows.groupBy(F.col("class").alias("a"), F.col("head.class").alias("b")).count()
     if parts is not None:
         seen = across(seen, parts)
-    return seen.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    # A class has at most LEADERS leaders in each of its short lists.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, TRIED)
+    return seen.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
 
 
 def component_of(rows: DataFrame, parts: DataFrame, column: str, out: str) -> DataFrame:
@@ -239,13 +255,16 @@ def components(docs: DataFrame) -> DataFrame:
     texts = texts_of(docs, found.select("class").distinct())
     links = written(verify(leader_pairs(found, None, 0), texts), "jaccard-links")
     parts = connected_components(links).toDF("class", "part")
-    rounds = 1
+    rounds, before = 1, None
     while True:
         cross = cross_lists(found, parts)
         sizes = cross.groupBy("shingle").agg(F.count("*").alias("all"), F.sum((F.col("part") != F.col("main")).cast("long")).alias("small"))
         work = sizes.agg(F.sum(F.col("all") * F.col("small")).alias("work"), F.sum("all").alias("rows")).first()
-        if rounds >= LEADER_ROUNDS or (work["work"] or 0) <= 20 * (work["rows"] or 0):
+        # Another round of leaders only pays while it halves the pairs that are left to check.
+        left = work["work"] or 0
+        if rounds >= LEADER_ROUNDS or left <= 20 * (work["rows"] or 0) or (before is not None and left > before / 2):
             break
+        before = left
         more = written(verify(leader_pairs(cross.select("shingle", "class", "n"), parts, rounds), texts), f"jaccard-links-{rounds}")
         rounds += 1
         if not more.limit(1).count():

@@ -70,8 +70,9 @@ class Templates:
         if len(self.number) > CACHE_TOKENS:
             self._reset()
         cut = [_TOKEN.findall(t) if t else [] for t in texts]
-        for token in set().union(*cut) - self.number.keys():
-            self._learn(token)
+        for token in set().union(*cut):
+            if token not in self.number:
+                self._learn(token)
         all_hashes, all_flags, get = np.array(self.hashes, np.uint64), np.array(self.flags, np.uint8), self.number.__getitem__
         for tokens in cut:
             at = np.fromiter(map(get, tokens), np.int64, len(tokens))

@@ -89,9 +89,9 @@ class PieceEncoder:
             else:
                 cut.append(_PIECE.findall(text.lower()))
         seen = set().union(*cut)
-        if unseen := seen - self.cache.keys():
+        if unseen := [p for p in seen if p not in self.cache]:
             self._learn([p for p in unseen if p not in whole])
-            for run in unseen & whole:
+            for run in whole.intersection(unseen):
                 self.cache[run] = self._bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
         get = self.cache.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in cut]

@@ -211,7 +211,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> list[float]:
         docs = [words_of(t) for t in texts]
         seen = set().union(*docs)
-        if unseen := sorted(seen - self.cache.keys()):
+        if unseen := sorted(w for w in seen if w not in self.cache):
             flat, sizes = grams_of(unseen)
             found = np.add.reduceat(self.grams[flat], np.cumsum(sizes) - sizes) / sizes
             self.cache.update(zip(unseen, found.tolist(), strict=True))

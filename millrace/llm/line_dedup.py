@@ -1,6 +1,9 @@
 """Substring dedup by unit hashing.
 
-Units are lines, and sentences inside lines, of at least ``MIN_WORDS`` words.
+Units are all lines that are not blank, sentences inside lines of at least
+``MIN_WORDS`` words, and runs of consecutive sentences, also over line ends: the
+shortest of that length from each sentence on and the shortest up to each, so
+every sentence of a repeated passage counts, however short it is.
 A unit is normalised (case folded, white space collapsed, outer punctuation
 dropped) and digested to 128 bits. Digests are grouped over all documents, the
 occurrence that ranks first (smallest ``doc_id``, then text, then offset) is
@@ -39,17 +42,37 @@ def normalise(unit: str) -> str:
 
 
 def units(text: str | None, min_words: int = MIN_WORDS):
-    """(start, end, normalised) of each line and each sentence that is long enough."""
-    for line in _LINE.finditer(text or ""):
+    """(start, end, normalised) of each line, each sentence that is long enough, and the shortest long enough run of sentences from and to each."""
+    text, done = text or "", set()
+    starts, ends, words = [], [], [0]
+    for line in _LINE.finditer(text):
         raw, at = line[0], line.start()
-        if len(raw.split()) >= min_words:
-            whole = normalise(raw)
-            yield at, line.end(), whole
-            parts = [(m.start(), m.end()) for m in _SENTENCE.finditer(raw)]
-            if len(parts) > 1:
-                for s, e in parts:
-                    if raw.count(" ", s, e) + 1 >= min_words and len(raw[s:e].split()) >= min_words:
-                        yield at + s, at + e, normalise(raw[s:e])
+        n = len(raw.split())
+        if not n:
+            continue
+        done.add((at, line.end()))
+        whole = normalise(raw)
+        # A line of signs alone is its own normal form, and no run starts or ends with it.
+        yield at, line.end(), whole or raw.strip()
+        if not whole:
+            continue
+        parts = [m.span() for m in _SENTENCE.finditer(raw)] or [(0, len(raw))]
+        for s, e in parts:
+            starts.append(at + s)
+            ends.append(at + e)
+            words.append(words[-1] + (n if len(parts) == 1 else len(raw[s:e].split())))
+    last = first = 0
+    for k in range(len(starts)):
+        while last <= len(starts) and words[last] - words[k] < min_words:  # forth: from sentence k to the first end that is far enough
+            last += 1
+        while first <= k and words[k + 1] - words[first] >= min_words:  # back: from the last start that is far enough
+            first += 1
+        for i, j in ((k, last - 1), (first - 1, k)):
+            if 0 <= i and j < len(starts) and (starts[i], ends[j]) not in done:
+                done.add((starts[i], ends[j]))
+                found = normalise(text[starts[i] : ends[j]])
+                if found:
+                    yield starts[i], ends[j], found
 
 
 def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -80,7 +103,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans to remove: doc_id, mark, start, end; every occurrence of a repeated unit but the first."""
     found = digests(docs, min_words)
     place = F.struct("doc_id", "mark", "start", "end")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or first.doc_id is null")
+    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "end")
 
 

@@ -42,3 +42,19 @@ def test_very_long_text(spark):
     text = "\n".join(f"{LONG} {i}" for i in range(20_000))
     rows = L.digest(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: len(text) - 19_999}
+
+
+def test_short_lines_and_short_sentences_of_a_passage_go(spark):
+    passage = "It rained. We stayed in. Nobody came by. The dog slept. All was quiet then."
+    docs = [(1, f"All rights reserved.\nBefore it all. {passage}\n* * *"), (2, f"All rights reserved.\n* * *\n}}\n\n{passage} Something else."), (3, f"Other. {passage[:-5]} now.")]
+    got = {r.doc_id: r.kept for r in L.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    assert got[2] == "\n\n}\n\nSomething else."  # a line of other signs is no copy
+    assert got[3] == "Other. All was quiet  now."
+
+
+def test_runs_reach_over_line_ends(spark):
+    head, tail = "We walked home.", "It was late and dark and very cold."
+    docs = [(1, f"Some words here. {head}\n{tail} The end."), (2, f"Others stand there. {head}\n{tail} No end.")]
+    got = {r.doc_id: r.kept for r in L.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "Others stand there. No end."}

@@ -4,17 +4,21 @@ Numbers, names and units become typed placeholders, everything else is folded
 to lower case. Windows of ``WINDOW`` template tokens of the benchmark are hash
 joined with those of all documents, so a question whose figures or names were
 exchanged still meets its original. Meetings of one document and one item that
-lie at one offset are a copy; a copy counts when its slots agree: throughout it,
+lie at one offset are a copy; it counts when its slots agree: throughout it,
 each benchmark value stands for one document value of its type, and the other
-way round.
+way round. Windows are also compared
+without placeholders, so verbatim ones meet however few literal words they hold
+(others need ``MIN_LITERALS``) and whatever stands around them. Coverage is the
+share of all windows of the item.
 
 Scale. The benchmark's windows are counted first. Up to
 ``MAX_BROADCAST_WINDOWS`` they are broadcast and documents are scanned in one
 narrow pass in which only meetings leave the task; beyond that, both sides'
 windows are shuffled by hash. Documents are never cut, sampled or collected.
 
-Defined cases: a null text counts as empty; null ids are carried; texts shorter
-than a window are one window if they hold ``MIN_LITERALS`` literal words; an
+Defined cases: a null text counts as empty; null ids are carried; items shorter
+than a window are one window, looked for at their own width anywhere in a
+document, so a very short item meets every document that holds its words; an
 empty benchmark or table gives no rows; repeated rows, which share ``doc_id``,
 are reported once; benchmark rows that repeat an item id or a text are each
 matched; other columns are ignored.
@@ -66,7 +70,7 @@ class Templates:
         return self.number.setdefault(token, len(self.number))
 
     def read(self, texts: list[str | None]):
-        """Per text: (tokens, types, hashes) without sentence stops."""
+        """Per text, without sentence stops: tokens (none without types), types, hashes of the tokens, which have a capital, which are words."""
         if len(self.number) > CACHE_TOKENS:
             self._reset()
         cut = [_TOKEN.findall(t) if t else [] for t in texts]
@@ -80,35 +84,47 @@ class Templates:
             before = np.concatenate([[_STOP], flags[:-1]]) if len(flags) else flags
             words = (flags & (_NUM | _STOP)) == 0
             names = ((flags & _CAP) != 0) & ((before & _STOP) == 0)
-            if words.sum() < 2 * ((flags & _CAP) != 0).sum():  # capitals throughout say nothing
-                names[:] = False
             kinds = np.zeros(len(tokens), np.uint8)
             kinds[names] = NAME
             kinds[(flags & _NUM) != 0] = NUMBER
             near = ((before & _NUM) != 0) | np.concatenate([(flags[1:] & _NUM) != 0, [False]]) if len(flags) else before
             kinds[((flags & _UNIT) != 0) & near.astype(bool)] = UNIT
             kept = np.flatnonzero((flags & _STOP) == 0)
-            hashes = np.where(kinds > 0, kinds.astype(np.uint64), all_hashes[at])[kept] if len(at) else np.empty(0, np.uint64)
-            yield [tokens[i] for i in kept.tolist()] if kinds.any() else None, tokens, kept, kinds[kept], hashes
+            hashes = all_hashes[at][kept] if len(at) else np.empty(0, np.uint64)
+            yield [tokens[i] for i in kept.tolist()] if kinds.any() else None, kinds[kept], hashes, ((flags & _CAP) != 0)[kept], words[kept]
+
+    def cut(self, texts: list[str | None], widths, whole: bool = False):
+        """Per text and width: window hashes, which of them hold enough literals, hashes without placeholders, and a function for the slots of a window.
+
+        Widths that a text does not reach are left out; with ``whole`` such a text is one window.
+        """
+        for own, kinds, literal, caps, words in self.read(texts):
+            n, found = len(literal), []
+            bare = np.where(kinds == NAME, 0, kinds).astype(np.uint8)
+            rows = np.stack([np.where(x > 0, x.astype(np.uint64), literal) for x in (kinds, bare)] + [literal])
+            sums = np.zeros((4, n + 1), np.int64)
+            np.cumsum(np.stack([kinds == 0, bare == 0, caps, words]), axis=1, out=sums[:, 1:])
+            for k in sorted({min(w, n) for w in widths} if whole else {w for w in widths if w <= n}):
+                if k == 0:
+                    continue
+                rolled = np.full((3, n - k + 1), k, np.uint64)
+                for i in range(k):
+                    rolled = (rolled ^ rows[:, i : n - k + 1 + i]) * _MIX
+                    rolled ^= rolled >> np.uint64(29)
+                free, free_bare, capitals, of = sums[:, k:] - sums[:, :-k]
+                loud = np.full(len(of), words.sum() < 2 * caps.sum())  # capitals throughout say nothing
+
+                def slots(at, own=own, kinds=kinds, bare=bare, loud=loud, k=k):
+                    types = bare if loud[at] else kinds
+                    return [(int(types[i]), own[i].lower().replace(",", "")) for i in (at + np.flatnonzero(types[at : at + k])).tolist()] if own else []
+
+                found.append((np.where(loud, rolled[1], rolled[0]), np.where(loud, free_bare, free) >= MIN_LITERALS, rolled[2], slots))
+            yield found
 
     def windows(self, texts: list[str | None], width: int = WINDOW):
         """Per text: window hashes, which of them hold enough literals, and a function for the slots of a window."""
-        for own, tokens, kept, kinds, hashes in self.read(texts):
-            n, k = len(hashes), min(width, len(hashes))
-            if k == 0:
-                yield np.empty(0, np.uint64), np.empty(0, bool), None
-                continue
-            rolled = np.full(n - k + 1, k, np.uint64)
-            for i in range(k):
-                rolled = (rolled ^ hashes[i : n - k + 1 + i]) * _MIX
-                rolled ^= rolled >> np.uint64(29)
-            literal = np.concatenate([[0], np.cumsum(kinds == 0)])
-            enough = literal[k:] - literal[:-k] >= MIN_LITERALS
-
-            def slots(at, own=own, kinds=kinds, k=k):
-                return [(int(kinds[i]), own[i].lower().replace(",", "")) for i in (at + np.flatnonzero(kinds[at : at + k])).tolist()] if own else []
-
-            yield rolled, enough, slots
+        for found in self.cut(texts, (width,), whole=True):
+            yield (found[0][0], found[0][1], found[0][3]) if found else (np.empty(0, np.uint64), np.empty(0, bool), None)
 
 
 def agree(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> bool:
@@ -119,84 +135,122 @@ def agree(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> bool:
     return len(pairs) == len(set(left)) == len(set(right))
 
 
+def settled(hits: list[tuple]) -> list[tuple]:
+    """Those meetings (.., slots, slots, verbatim) of one document and item at one offset that count.
+
+    All if their slots agree, else none.
+    """
+    return hits if agree([x for h in hits for x in h[4]], [x for h in hits for x in h[5]]) else []
+
+
 SLOTS = "array<struct<kind:int,value:string>>"
-WINDOWS = f"key long, at long, n long, hash long, slots {SLOTS}"
+WINDOWS = f"key long, at long, n long, hash long, literal long, slots {SLOTS}"
 _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
 
 
-def all_windows(docs: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """One row per window with enough literals: key, place, windows of the text, hash, slots."""
+def all_windows(docs: DataFrame, key: str, widths, whole: bool = False) -> DataFrame:
+    """Key, place, windows of the text, hash, hash without placeholders, slots: a row per window by the latter hash, and one by its own if that differs and it has enough literals."""
 
     def run(batches):
         maker = Templates()
         for batch in batches:
-            for key_, (hashes, enough, slots) in zip(batch.column(0).to_pylist(), maker.windows(batch.column(1).to_pylist(), width), strict=True):
-                at = np.flatnonzero(enough)
-                found = [[{"kind": k, "value": v} for k, v in slots(i)] for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key_] * len(at), pa.int64()), pa.array(at), pa.array(np.full(len(at), len(at))), pa.array(hashes[at].view(np.int64)), pa.array(found, _SLOTS)], names=["key", "at", "n", "hash", "slots"]
-                )
+            for key_, made in zip(batch.column(0).to_pylist(), maker.cut(batch.column(1).to_pylist(), widths, whole), strict=True):
+                for hashes, enough, literal, slots in made:
+                    more = np.flatnonzero(enough & (hashes != literal))
+                    at = np.concatenate([np.arange(len(hashes)), more])
+                    found = [[{"kind": k, "value": v} for k, v in slots(i)] for i in at.tolist()]
+                    columns = [pa.array([key_] * len(at), pa.int64()), pa.array(at), pa.array(np.full(len(at), len(hashes))), pa.array(np.concatenate([literal, hashes[more]]).view(np.int64)), pa.array(literal[at].view(np.int64)), pa.array(found, _SLOTS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "n", "hash", "literal", "slots"])
 
     return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(run, WINDOWS)
 
 
+def widths_of(benchmark: DataFrame, width: int = WINDOW) -> list[int]:
+    """Window widths that the benchmark's texts need: ``width``, and the lengths of those that are shorter."""
+
+    def run(batches):
+        maker = Templates()
+        for batch in batches:
+            found = {min(len(hashes), width) for _, _, hashes, _, _ in maker.read(batch.column(0).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], names=["width"])
+
+    return [r["width"] for r in benchmark.select("text").mapInArrow(run, "width int").distinct().collect()]
+
+
 def _index(rows) -> tuple[np.ndarray, dict]:
     index = defaultdict(list)
     for r in rows:
-        index[r["hash"]].append((r["key"], r["at"], r["n"], [(x["kind"], x["value"]) for x in r["slots"]]))
+        index[r["hash"]].append((r["key"], r["at"], r["n"], [(x["kind"], x["value"]) for x in r["slots"]], r["literal"]))
     return np.array(sorted(index), np.int64).view(np.uint64), dict(index)
 
 
-def _meetings(maker: Templates, texts, hashes: np.ndarray, index: dict, width: int):
-    """Per text: meetings (item, place in item, windows of item, place in text, verbatim) whose slots agree."""
+def _meetings(maker: Templates, texts, hashes: np.ndarray, index: dict, widths):
+    """Per text: meetings (item, place in item, windows of item, place in text, verbatim) that count."""
     sorted_hashes = np.sort(hashes)
     marks = np.zeros(1 << 20, bool)
     marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-    for found, enough, slots in maker.windows(texts, width):
-        near = np.flatnonzero(enough & marks[(found >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.empty(0, np.int64)
+
+    def known(found, these):
+        near = np.flatnonzero(these & marks[(found >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.empty(0, np.int64)
         if len(near):
             place = np.minimum(np.searchsorted(sorted_hashes, found[near]), len(sorted_hashes) - 1)
             near = near[sorted_hashes[place] == found[near]]
+        return near.tolist()
+
+    for made in maker.cut(texts, widths):
         copies = defaultdict(list)
-        for at in near.tolist():
-            mine = slots(at)
-            for item, there, n, theirs in index[int(found[at].view(np.int64))]:
-                copies[item, at - there].append((item, there, n, at, theirs, mine))
-        yield [
-            (*hit[:4], hit[4] == hit[5])
-            for hits in copies.values()
-            if agree([x for h in hits for x in h[4]], [x for h in hits for x in h[5]])
-            for hit in hits
-        ]
+        for k, (found, enough, literal, slots) in enumerate(made):
+            for at in known(literal, np.True_):
+                own = int(literal[at].view(np.int64))
+                for item, there, n, theirs, same in index[own]:
+                    if same == own:
+                        copies[k, item, at - there].append((item, there, n, at, theirs, theirs, True))
+            for at in known(found, enough & (found != literal)):
+                mine, own = slots(at), int(literal[at].view(np.int64))
+                for item, there, n, theirs, same in index[int(found[at].view(np.int64))]:
+                    if same != own:
+                        copies[k, item, at - there].append((item, there, n, at, theirs, mine, theirs == mine))
+        yield [(*hit[:4], hit[6]) for hits in copies.values() for hit in settled(hits)]
 
 
 MEETINGS = "doc_id long, item_id long, item_at long, item_windows long, doc_at long, verbatim boolean"
 
 
+def _rows(hits: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in hits], kinds[i]) for i in range(6)], names=[x.split()[0] for x in MEETINGS.split(", ")])
+
+
 def meetings(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Every window that a document shares with an item, slots agreeing."""
-    items = all_windows(benchmark, "item_id", width)
+    """Every window that a document shares with an item, verbatim or slots agreeing."""
+    widths = widths_of(benchmark, width)
+    items = all_windows(benchmark, "item_id", (width,), whole=True)
     if items.count() > most:
-        left = all_windows(docs, "doc_id", width).withColumnsRenamed({"key": "doc_id", "at": "doc_at"}).drop("n")
-        right = items.toDF("item_id", "item_at", "item_windows", "hash", "item_slots")
-        pairs = left.join(right, "hash").withColumn("offset", F.col("doc_at") - F.col("item_at"))
-        kinds = lambda c: F.transform(c, lambda x: x["kind"])
-        pairs = pairs.withColumn("fits", kinds("slots") == kinds("item_slots"))
-        n = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
-        copy = ["doc_id", "item_id", "offset"]
-        both = F.arrays_zip(F.col("slots").alias("a"), F.col("item_slots").alias("b"))
-        sound = pairs.groupBy(*copy).agg(F.min("fits").alias("fits"), n(both).alias("both"), n("slots").alias("own"), n("item_slots").alias("theirs")).where("fits and both = own and both = theirs")
-        same = [pairs[c].eqNullSafe(sound[c]) for c in copy]
-        return pairs.join(sound, same[0] & same[1] & same[2], "left_semi").select("doc_id", "item_id", "item_at", "item_windows", "doc_at", (F.col("slots") == F.col("item_slots")).alias("verbatim"))
+        left = all_windows(docs, "doc_id", widths).toDF("doc_id", "doc_at", "_", "hash", "literal", "slots").drop("_")
+        right = items.toDF("item_id", "item_at", "item_windows", "hash", "item_literal", "item_slots")
+        # By the literal hash only verbatim windows meet, by the other one the rest.
+        pairs = left.join(right, "hash").where("(hash = literal and hash = item_literal) or (hash <> literal and literal <> item_literal)")
+        hit = F.struct("item_at", "item_windows", "doc_at", "slots", "item_slots", (F.col("literal") == F.col("item_literal")).alias("same"))
+        # One group is one item's windows at most, once for each row that repeats an id.
+        copies = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset")).agg(F.collect_list(hit).alias("hits"))
+
+        def settle(batches):
+            for batch in batches:
+                out = []
+                for doc, item, hits in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                    plain = lambda x: [(y["kind"], y["value"]) for y in x]
+                    made = [(item, h["item_at"], h["item_windows"], h["doc_at"], theirs := plain(h["item_slots"]), mine := theirs if h["same"] else plain(h["slots"]), theirs == mine) for h in hits]
+                    out += [(doc, *h[:4], h[6]) for h in settled(made)]
+                yield _rows(out)
+
+        return copies.mapInArrow(settle, MEETINGS)
     shared = docs.sparkSession.sparkContext.broadcast(_index(items.collect()))  # at most ``most`` windows
 
     def run(batches):
         maker, (hashes, index) = Templates(), shared.value
         for batch in batches:
-            hits = [(k, *h) for k, found in zip(batch.column(0).to_pylist(), _meetings(maker, batch.column(1).to_pylist(), hashes, index, width), strict=True) for h in found]
-            order = [(k, item, there, n, at, same) for k, item, there, n, at, same in hits]
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in order], kinds[i]) for i in range(6)], names=[x.split()[0] for x in MEETINGS.split(", ")])
+            hits = [(k, *h) for k, found in zip(batch.column(0).to_pylist(), _meetings(maker, batch.column(1).to_pylist(), hashes, index, widths), strict=True) for h in found]
+            yield _rows(hits)
 
     return docs.select("doc_id", "text").mapInArrow(run, MEETINGS)
 
@@ -210,7 +264,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` that meet no item, all columns kept."""
-    items = all_windows(benchmark, "item_id", width)
+    widths = widths_of(benchmark, width)
+    items = all_windows(benchmark, "item_id", (width,), whole=True)
     if items.count() > most:
         bad = meetings(docs, benchmark, width, most).select(F.col("doc_id").alias("_bad")).distinct()
         return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
@@ -220,6 +275,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int
         maker, (hashes, index) = Templates(), shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([not hits for hits in _meetings(maker, texts, hashes, index, width)], pa.bool_()))
+            yield batch.filter(pa.array([not hits for hits in _meetings(maker, texts, hashes, index, widths)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,3 +45,19 @@ def test_empty_sides(spark):
     _, df = found(spark, DOCS)
     assert D.contaminated(df.where("false"), bench(spark)).count() == 0
     assert D.contaminated(df, bench(spark).where("false")).count() == 0
+
+
+def pairs_found(spark, docs, items, most):
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    kept = {r.doc_id for r in D.clean(df, bench, most=most).collect()}
+    got = {(r.doc_id, r.item_id) for r in D.meetings(df, bench, most=most).collect()}
+    assert kept == {i for i, _ in docs} - {d for d, _ in got}
+    return got
+
+
+def test_short_items_and_items_with_few_literals(spark):
+    dense = "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg now"
+    items = [(1, "What is 15 % of 240?"), (2, "a short item of seven words indeed"), (3, dense)]
+    docs = [(1, f"{FREE}. What is 15 % of 240? {FREE}"), (2, f"{FREE} A short item of seven words, indeed {FREE}"), (3, f"{FREE}. {dense}. {FREE}"), (4, f"{FREE}. What is 16 % of 240? {dense.replace('6', '66')}")]
+    for most in (D.MAX_BROADCAST_WINDOWS, 0):
+        assert pairs_found(spark, docs, items, most) == {(1, 1), (2, 2), (3, 3)}

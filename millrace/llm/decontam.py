@@ -6,7 +6,9 @@ joined with those of all documents, so a question whose figures or names were
 exchanged still meets its original. Meetings of one document and one item that
 lie at one offset are a copy; it counts when its slots agree: throughout it,
 each benchmark value stands for one document value of its type, and the other
-way round. Windows are also compared
+way round. Of a copy whose slots disagree, two or more verbatim windows in a row
+still count, and so does each stretch of the others that agrees in itself; a
+single verbatim window in such a copy does not. Windows are also compared
 without placeholders, so verbatim ones meet however few literal words they hold
 (others need ``MIN_LITERALS``) and whatever stands around them. Coverage is the
 share of all windows of the item.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +115,7 @@ class Templates:
                     rolled = (rolled ^ rows[:, i : n - k + 1 + i]) * _MIX
                     rolled ^= rolled >> np.uint64(29)
                 free, free_bare, capitals, of = sums[:, k:] - sums[:, :-k]
-                loud = np.full(len(of), words.sum() < 2 * caps.sum())  # capitals throughout say nothing
+                loud = of < 2 * capitals  # capitals throughout a window say nothing
 
                 def slots(at, own=own, kinds=kinds, bare=bare, loud=loud, k=k):
                     types = bare if loud[at] else kinds
@@ -138,9 +141,16 @@ def agree(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> bool:
 def settled(hits: list[tuple]) -> list[tuple]:
     """Those meetings (.., slots, slots, verbatim) of one document and item at one offset that count.
 
-    All if their slots agree, else none.
+    All if their slots agree; else two or more verbatim ones in a row, and of the others each stretch that agrees.
     """
-    return hits if agree([x for h in hits for x in h[4]], [x for h in hits for x in h[5]]) else []
+    if agree([x for h in hits for x in h[4]], [x for h in hits for x in h[5]]):
+        return hits
+    out = []
+    for same, stretch in groupby(sorted(hits, key=lambda h: h[3]), key=lambda h: h[6]):
+        part = list(stretch)
+        if part[-1][3] > part[0][3] if same else agree([x for h in part for x in h[4]], [x for h in part for x in h[5]]):
+            out += part
+    return out
 
 
 SLOTS = "array<struct<kind:int,value:string>>"

@@ -61,3 +61,13 @@ def test_short_items_and_items_with_few_literals(spark):
     docs = [(1, f"{FREE}. What is 15 % of 240? {FREE}"), (2, f"{FREE} A short item of seven words, indeed {FREE}"), (3, f"{FREE}. {dense}. {FREE}"), (4, f"{FREE}. What is 16 % of 240? {dense.replace('6', '66')}")]
     for most in (D.MAX_BROADCAST_WINDOWS, 0):
         assert pairs_found(spark, docs, items, most) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_verbatim_windows_count_whatever_the_rest_does(spark):
+    item = f"On the first day Berlin sent 40 men. {FREE}. On the last day Berlin sent 40 men over the long road to the sea"
+    twisted = item[::-1].replace("04", "05", 1)[::-1]
+    loud = "ALL CAPITALS STAND HERE AND SAY NOTHING WHATEVER. " * 20
+    named = "we met Anna and then Luis went with Carla to see the old town of Bremen"
+    docs = [(1, f"Well. {twisted}"), (2, f"{loud}\n{named}\n{loud}"), (3, f"{loud}\n{named.replace('Anna', 'Maria')}\n{loud}"), (4, loud)]
+    for most in (D.MAX_BROADCAST_WINDOWS, 0):
+        assert pairs_found(spark, docs, [(1, item), (2, named)], most) == {(1, 1), (2, 2), (3, 2)}

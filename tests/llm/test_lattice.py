@@ -76,3 +76,38 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 299: 299, 300: 299}
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def at_the_threshold(n, width=64, seed=5):
+    """Two lists of unit vectors, pairwise at the cosine 0.9."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, 0.9000001 * x + np.sqrt(1 - 0.9000001**2) * y
+
+
+@pytest.mark.parametrize("setting", range(len(L.SIZES)))
+def test_no_setting_finds_less_than_the_first(setting):
+    x, y = at_the_threshold(2_000)
+
+    def share(blocks, tables):
+        lattice, hit = L.Lattice(64, blocks, tables), np.zeros(len(x), bool)
+        for t in range(tables):
+            a, b = lattice.cells(x, t), lattice.cells(y, t)
+            hit |= (a[:, :1] == b).any(1) | (b[:, :1] == a).any(1)
+        return hit.mean()
+
+    found = share(*L.SIZES[setting][1:])
+    print("setting", L.SIZES[setting], "share", found)
+    assert found >= share(*L.SIZES[0][1:]) - 0.002
+
+
+@pytest.mark.parametrize("setting", range(len(L.SIZES)))
+def test_each_setting_against_brute_force(spark, setting):
+    x, y = at_the_threshold(100, seed=6)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in L.near_duplicates(frame(spark, rows), sizes=((None, *L.SIZES[setting][1:]),)).collect()}
+    assert all(got[i] <= want[i][0] for i in want) and sum(got.values()) >= 0.97 * sum(n for n, _ in want.values()) > 0

@@ -42,12 +42,11 @@ FIELDS = (
 
 
 def licence(text: Column, declared: Column, source: Column) -> Column:
-    """Struct (name, known, internal_only): the declared licence, else the first phrase in the text's head and tail, else the source's."""
-    sample = F.when(F.length(text) > 4000, F.concat(F.substring(text, 1, 4000), F.lit("\n"), F.right(text, F.lit(2000)))).otherwise(text)
+    """Struct (name, known, internal_only): the declared licence, else the first phrase in the text, else the source's."""
     bare = T.strip(F.coalesce(declared, F.lit("")))
     name = F.when((bare != "") & (F.upper(bare) != "UNKNOWN"), bare)
     for pattern, found in LICENCES:
-        name = name.when(sample.rlike(f"(?i){pattern}"), found)
+        name = name.when(text.rlike(f"(?i){pattern}"), found)
     origin = F.lower(F.coalesce(source, F.lit("")))
     name = name.when(origin.contains("nptel"), "CC-BY-NC-SA-4.0").when(origin.contains("arxiv"), "arXiv Non-exclusive License").otherwise("UNKNOWN")
     return F.struct(name.alias("name"), (name != "UNKNOWN").alias("known"), (~name.isin(*PERMISSIVE)).alias("internal_only"))
@@ -60,8 +59,8 @@ def rights(declared: Column) -> Column:
 
 
 def topic(title: Column, text: Column) -> Column:
-    """Struct (domain, subtopic, confidence) by keywords of the title and the first 2,000 characters."""
-    sample = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(text, 1, 2000)))
+    """Struct (domain, subtopic, confidence) by keywords of the title and the text."""
+    sample = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), text))
     made = lambda d, s, c: F.struct(F.lit(d).alias("domain"), F.lit(s).alias("subtopic"), F.lit(c).alias("confidence"))
     out = None
     for name, pattern in TOPICS:

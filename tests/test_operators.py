@@ -75,3 +75,11 @@ def test_cleaning_reasons(spark):
     df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], f"i int, {kind}")
     got = {r.i: r.v for r in df.select("i", R.rejection(F.col("messages")).alias("v")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_licences_and_topics_in_the_middle_of_a_text(spark):
+    from millrace.operators import quality as Q
+
+    text = "word " * 2_000 + "Apache License, Version 2.0, about a qubit " + "word " * 2_000
+    row = spark.createDataFrame([(text,)], "text string").select(Q.licence(F.col("text"), F.lit(None).cast("string"), F.lit("web")).alias("l"), Q.topic(F.lit("web"), F.col("text")).alias("t")).first()
+    assert row.l.name == "Apache-2.0" and row.t.subtopic == "quantum_mechanics"

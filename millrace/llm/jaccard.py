@@ -1,28 +1,40 @@
 """Exact Jaccard join over word shingles by T-occurrence search.
 
-A pair with similarity ``s`` shares at least T shingles, T growing with both
-sizes. As in DivideSkip, each document's inverted lists are divided: the short
-ones (its rarest shingles, just enough of them that a partner must occur in one)
-are merged by counting, and a pair survives only if its count reaches T less
-what the remaining lists could add; those long lists are then probed by binary
-search in the partner's sorted shingles. The merge runs as a shuffle and a
-grouped count instead of one heap, so no task ever holds a whole list.
-
-Scale. Documents with equal shingle sets are one class. Shingles in more than
-``HOT`` lists go last in every document's order, so boilerplate never makes
-candidates for documents that hold anything else (the set of them is broadcast
-and bounded by ``MAX_HOT``; the bound only trades speed, any set gives the same
-result). Links first join each class to the most frequent leader of its lists;
-later rounds pair classes only across components, from the side of the smaller
-ones, until every list is one component or all its cross pairs are checked. So
-a group of thousands of near copies costs one comparison each, and no link
-between different texts is lost.
+A document that links to one of n shingles or more shares at least T of them
+with it, T growing with both sizes. The search is DivideSkip: a document's inverted
+lists are divided by length, the short ones are merged and counted, what
+reaches T less the number of long lists is a candidate, and the long lists are
+probed for the candidates by binary search. Lists are sorted runs held in one
+array; their merge is a vectorised count over members, the form that a heap
+takes in numpy. Long lists join the merge where that reads less than probing.
+
+Scale. The search runs inside bounded blocks that Spark deals out; before it,
+three exact steps take away what cannot link:
+
+1. Documents with equal shingle sets are one class (128-bit digest).
+2. A class needs ceil(80 % of n) shingles that another class holds too. Over a
+   fixed share of the hash space (``SHARE`` sixteenths), every shingle of every
+   class is counted; a class with more unique ones than it may have links with
+   nothing. Most of a corpus ends here, at the cost of a third of its shingles.
+3. For the classes left, all shingles are counted among themselves, unique ones
+   are dropped and the rest kept by rarity ("core"). Classes that share one of
+   the rarest of their core, just enough that every partner does, form groups.
+
+Groups are cut into blocks of bounded size. Blocks are first searched within;
+then classes are dealt anew by the component found so far, so blocks inside one
+component are never compared with each other and only pairs across components
+are searched, block by block. A task returns one row per class (its leader),
+never pairs. Counts combine before the shuffle and all joins are equi-joins that
+adaptive execution may split, so neither a shingle nor a set of copies that a
+third of all rows share is one task's burden.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing
 and are their own component; texts of fewer than five words are one shingle;
-rows that repeat ``doc_id`` each get a row and act as one node; null ids take
-part but a component is named by its smallest id (null if it has none); an
-empty table gives no rows; other columns are ignored.
+rows that repeat ``doc_id`` each get a row and are one node, as a component is
+a set of ids: what links to any of them is in the component of all; null ids
+take part but a component is named by its smallest id (null if it has none); a
+text of any length is read whole; a pair at exactly the limit links; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,267 +42,305 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.tokens import blocks
-from millrace.session import written
+from millrace.llm.shingles import WORDS, shingle_sets
+from millrace.session import fresh, scratch, written
 
-WORDS = 5
 PERCENT = 80
-HOT = 40
-MAX_HOT = 1 << 18
-LEADERS = 8
-TRIED = 4
-LEADER_ROUNDS = 4
-CACHE_WORDS = 300_000
-#: Shingle sets that a verifying task remembers.
-CACHE_SETS = 2_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Shingler:
-    """Sorted distinct 64-bit shingles of whole texts; remembers words within a bound."""
-
-    def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, {}
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [t.encode().lower().split() if t else [] for t in texts]  # ASCII case and ASCII blanks
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        for word in set().union(*cut):
-            if word not in self.cache:
-                self.cache[word] = xxhash.xxh3_64_intdigest(word)
-        get = self.cache.__getitem__
-        out = []
-        for words in cut:
-            k, n = min(self.words, len(words)), len(words)
-            if not n:
-                out.append(np.empty(0, np.uint64))
-                continue
-            own = np.fromiter(map(get, words), np.uint64, n)
-            rolled = np.full(n - k + 1, k, np.uint64)
-            for i in range(k):
-                rolled = (rolled ^ own[i : n - k + 1 + i]) * _MIX
-                rolled ^= rolled >> np.uint64(31)
-            out.append(np.unique(rolled))
-        return out
+#: Sixteenths of the hash space in which unique shingles are counted for all classes.
+SHARE = 5
+#: Shingles of a block's classes together; a class that holds more is a block of its own.
+BLOCK_SHINGLES = 1 << 19
+#: Classes that a task remembers to have seen already.
+SEEN = 200_000
+#: Cost of a long list in the division of lists, as in the published rule.
+MU = 0.0085
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """Signed 64-bit digest of a set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def least_shared(n: int) -> int:
+    """Shingles that a set of n must share with any partner."""
+    return -(-PERCENT * n // 100)
 
 
-def short_lists(n: int) -> int:
-    """How many of a set's n lists must be merged so that every partner occurs in one."""
-    return n - -(-PERCENT * n // 100) + 1
+def _least_shared(n):
+    return F.expr(f"({PERCENT} * {n} + 99) div 100")
 
 
-def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Shared members of two sorted sets, the smaller probed in the larger by binary search."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+def class_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set as two signed longs."""
+    n = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    shared = overlap(x, y)
-    return shared > 0 and 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    borders = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=borders[1:])
+    flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))
 
 
-def _scan(docs: DataFrame, schema: str, per_set, once: bool):
-    """Narrow pass over whole texts. ``per_set`` turns (key, text, set) into rows; with ``once`` a class comes once per task."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, mark (text hash), n, high and low (class), and part: the class's shingles in the counted share of the hash space, once per task."""
+    below = np.uint64(SHARE << 60)
 
     def run(batches):
-        maker, met = Shingler(), set()
+        seen: set = set()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                columns: list[list] = [[] for _ in names]
-                for key, text, own in zip(keys[a:b], texts[a:b], maker.sets(texts[a:b]), strict=True):
-                    label = class_key(own)
-                    if once:
-                        if label in met or not len(own):
-                            continue
-                        met.add(label)
-                    for column, values in zip(columns, per_set(key, text, label, own), strict=True):
-                        column.append(values)
-                flat = [np.concatenate(c) if c and isinstance(c[0], np.ndarray) else c for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and class of each document."""
-    return _scan(docs, "doc_id long, n_shingles long, class long", lambda key, text, label, own: (key, len(own), label), once=False)
+            sizes, keys, parts = [], [], []
+            for own in shingle_sets(batch.column(2), words):
+                key = class_key(own)
+                sizes.append(len(own))
+                keys.append(key)
+                parts.append(own[:0] if key in seen else own[: np.searchsorted(own, below)].copy())
+                seen.add(key)
+            if len(seen) > SEEN:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([h for h, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), _lists(parts)], names=["doc_id", "mark", "n", "high", "low", "part"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, high long, low long, part array<long>")
 
-def hot_shingles(docs: DataFrame, most: int = MAX_HOT) -> np.ndarray:
-    """Sorted shingles whose short lists are long; at most ``most`` of them."""
 
-    def first(key, text, label, own):
-        return (own[: -(-len(own) // 4) + 2].view(np.int64),)
+def linkable_classes(sets: DataFrame) -> DataFrame:
+    """Classes that are not ruled out by unique shingles: high, low, n, and the smallest row (doc_id, mark) of each."""
+    classes = sets.where("n > 0").groupBy("high", "low").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("row"))
+    holders = [f("high").alias(f"{f.__name__}_high") for f in (F.min, F.max)] + [f("low").alias(f"{f.__name__}_low") for f in (F.min, F.max)]
+    lonely = sets.select("high", "low", F.explode("part").alias("shingle")).groupBy("shingle").agg(*holders).where("min_high = max_high and min_low = max_low")
+    counts = lonely.groupBy(F.col("min_high").alias("high"), F.col("min_low").alias("low")).agg(F.count("*").alias("lonely"))
+    left = classes.join(counts, ["high", "low"], "left").where(F.coalesce("lonely", F.lit(0)) <= F.col("n") - _least_shared("n"))
+    return left.select("high", "low", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark"), F.monotonically_increasing_id().alias("class"))
 
-    counts = _scan(docs, "shingle long", first, once=True).groupBy("shingle").count().where(F.col("count") > HOT)
-    counts, bar = written(counts, "jaccard-hot"), HOT
-    while counts.where(F.col("count") > bar).count() > most:
-        bar *= 2
-    found = np.array([r[0] for r in counts.where(F.col("count") > bar).select("shingle").collect()], np.int64)
-    return np.sort(found.view(np.uint64))
 
+def class_shingles(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
+    """class, n and all shingles of the listed classes, each read from one row."""
 
-def lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The short lists that hold two classes or more: shingle, class, n."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most MAX_HOT numbers
+    def run(batches):
+        for batch in batches:
+            found = list(shingle_sets(batch.column(4), words))
+            # Two texts of one id and one text hash are told apart by their sets.
+            good = [class_key(own) == key for own, key in zip(found, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), _lists(found)], names=["class", "n", "shingles"])
+            yield made.filter(pa.array(good, pa.bool_()))
 
-    def short(key, text, label, own):
-        late = shared.value
-        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-        last = late[at] == own if len(late) else np.zeros(len(own), bool)
-        chosen = np.concatenate([own[~last], own[last]])[: short_lists(len(own))]
-        return chosen.view(np.int64), np.full(len(chosen), label), np.full(len(chosen), len(own))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    wanted = classes.toDF("high", "low", "n", "_doc_id", "_mark", "class")
+    rows = texts.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("class", "high", "low", "n", "text")
+    return rows.mapInArrow(run, "class long, n long, shingles array<long>")
 
-    rows = _scan(docs, "shingle long, class long, n int", short, once=True)
-    some = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
-    return written(rows.join(some, "shingle").distinct(), "jaccard-lists")
 
+def cores(found: DataFrame) -> DataFrame:
+    """class, n and core: its shingles that another listed class holds too, rarest first; only classes with enough of them."""
+    rows = found.select("class", "n", F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    shared = rows.join(counts, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct("classes", "shingle"))).alias("core"))
+    return shared.where(F.size("core") >= _least_shared("n")).select("class", "n", F.col("core.shingle").alias("core"))
 
-def fits(a, b):
-    """Sizes that a link allows."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
+def candidate_groups(core: DataFrame, folder: str) -> DataFrame:
+    """class and group; classes of different groups share no list that a link would need."""
+    rarest = F.slice("core", F.lit(1), (F.size("core") - _least_shared("n") + 1).cast("int"))
+    lists = written(core.select("class", F.explode(rarest).alias("shingle")), "lists", folder=folder)
+    lowest = lists.groupBy("shingle").agg(F.min("class").alias("least"), F.count("*").alias("all")).where("all > 1").drop("all")
+    return connected_components(lists.join(lowest, "shingle").select("class", "least").distinct(), "class", "least", folder).toDF("class", "group")
 
-def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One compressed text per listed class: class, packed."""
 
-    def pack(key, text, label, own):
-        return label, zstandard.compress(text.encode(), 3)
+def _flat(core: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    core = core.combine_chunks() if isinstance(core, pa.ChunkedArray) else core
+    lengths = np.diff(core.offsets.to_numpy())
+    return core.flatten().to_numpy(), lengths
 
-    rows = _scan(docs, "class long, packed binary", pack, once=True)
-    return written(rows.join(classes, "class", "left_semi").groupBy("class").agg(F.first("packed").alias("packed")), "jaccard-texts", "none")
 
+def divide_skip(sizes: np.ndarray, shingles: np.ndarray, lengths: np.ndarray, side: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Leader (a row number) of every class of a block after all its links are found.
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+    ``shingles`` holds the sets one after another, of which only shared ones
+    count; ``sizes`` are the full set sizes. Pairs of equal ``side`` are not
+    compared (-1 compares with all), nor are those of one ``known`` component.
+    """
+    order = np.argsort(sizes, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    sizes, side, count = sizes[order], side[order], len(order)
+    label = np.unique(known[order], return_inverse=True)[1]
+    label = np.minimum.reduceat(np.arange(count)[np.argsort(label, kind="stable")], np.flatnonzero(np.diff(np.sort(label), prepend=-1)))[label] if count else label
+    codes = np.unique(shingles, return_inverse=True)[1]
+    owner = np.repeat(rank, lengths)
+    keyed = np.sort(codes * count + owner)  # the lists, one after another, each in order of its members
+    member = keyed % count
+    borders = np.searchsorted(keyed, np.arange((codes.max() + 1 if len(codes) else 0) + 1) * count)
+    long = np.diff(borders)
+    by_class = np.argsort(owner, kind="stable")
+    codes, ends = codes[by_class], np.cumsum(np.bincount(owner, minlength=count))
+    begins = ends - np.bincount(owner, minlength=count)
+    for x in range(count):
+        own, n = codes[begins[x] : ends[x]], int(sizes[x])
+        # Partners of a smaller set were met from their side, so T is that of two equal sizes.
+        least = -(-2 * PERCENT * n // (100 + PERCENT))
+        if len(own) < least:
+            continue
+        own = own[np.argsort(long[own], kind="stable")]
+        reach = long[own]
+        skipped = min(least - 1, int(least / (MU * np.log2(max(2, int(reach[-1]))) + 1)))
+        short = len(own) - skipped
+        total = int(reach[:short].sum())
+        if total == short:
+            continue  # only x itself is in them
+        met = _members(member, borders, own[:short], reach[:short])
+        hits = np.bincount(met[met > x], minlength=count)
+        likely = np.flatnonzero(hits >= least - skipped)
+        fits = (sizes[likely] * PERCENT <= n * 100) & (label[likely] != label[x])
+        if side[x] >= 0:
+            fits &= side[likely] != side[x]
+        likely = likely[fits]
+        if not len(likely):
+            continue
+        shared = hits[likely]
+        if skipped:
+            rest = own[short:]
+            if int(reach[short:].sum()) < 16 * len(rest) * len(likely):
+                shared = shared + np.bincount(_members(member, borders, rest, reach[short:]), minlength=count)[likely]
+            else:
+                probe = (rest[:, None] * count + likely).ravel()
+                at = np.minimum(np.searchsorted(keyed, probe), len(keyed) - 1)
+                shared = shared + (keyed[at] == probe).reshape(len(rest), -1).sum(0)
+        linked = likely[shared * (100 + PERCENT) >= PERCENT * (n + sizes[likely])]
+        if len(linked):
+            joined = np.unique(np.append(label[linked], label[x]))
+            label[np.isin(label, joined)] = joined[0]
+    return order[label[rank]]
+
+
+def _members(member: np.ndarray, borders: np.ndarray, lists: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Members of several lists, one after another."""
+    last = np.cumsum(reach)
+    return member[np.repeat(borders[lists] - last + reach, reach) + np.arange(last[-1])]
+
+
+def _runs(batches, keys: int):
+    """Tables of whole groups from batches sorted by their first ``keys`` columns."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[s] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search(placed: DataFrame) -> DataFrame:
+    """Leaders (a, b) from rows (group, one, two, block, known, class, n, core) dealt by their first three."""
 
     def run(batches):
-        maker, kept = Shingler(), {}
-
-        def read(label, raw):
-            if label not in kept:
-                if len(kept) >= CACHE_SETS:
-                    kept.clear()
-                kept[label] = maker.sets([zstandard.decompress(raw.as_py()).decode()])[0]
-            return kept[label]
-
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [linked(read(x, left), read(y, right)) for x, y, left, right in zip(a, b, batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one, two = texts.toDF("a", "left"), texts.toDF("b", "right")
-    both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def leader_pairs(found: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
-    """Each class with the ``TRIED`` leaders that share most of its lists, where the two are of different components.
-
-    A list has ``LEADERS`` leaders: its lowest classes by as many pseudo-random
-    ranks, which are new in every turn.
-    """
-    ranks = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "class").alias("rank"), F.col("class").alias("class"), F.col("n").alias("n"))) for k in range(LEADERS)]
-    heads = found.groupBy("shingle").agg(*[r.alias(f"h{k}") for k, r in enumerate(ranks)])
-    distinct = F.array_distinct(F.array(*[F.struct(F.col(f"h{k}.class").alias("class"), F.col(f"h{k}.n").alias("n")) for k in range(LEADERS)]))
-    rows = found.join(heads.select("shingle", distinct.alias("heads")), "shingle").select("class", "n", F.explode("heads").alias("head"))
-    rows = rows.where("class <> head.class").where(fits(F.col("n"), F.col("head.n")))
-    seen = rows.groupBy(F.col("class").alias("a"), F.col("head.class").alias("b")).count()
-    if parts is not None:
-        seen = across(seen, parts)
-    # A class has at most LEADERS leaders in each of its short lists.
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, TRIED)
-    return seen.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
-
-
-def component_of(rows: DataFrame, parts: DataFrame, column: str, out: str) -> DataFrame:
-    return rows.join(parts.toDF(column, "_found"), column, "left").withColumn(out, F.coalesce("_found", column)).drop("_found")
-
-
-def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    both = component_of(component_of(pairs, parts, "a", "_a"), parts, "b", "_b")
-    return both.where("_a <> _b").drop("_a", "_b")
-
-
-def cross_lists(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """Lists that still hold several components: shingle, class, n, part, and main (the component with most classes)."""
-    labelled = component_of(found, parts, "class", "part")
-    sizes = labelled.groupBy("shingle", "part").count()
-    mains = sizes.groupBy("shingle").agg(F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return written(labelled.join(mains.select("shingle", F.col("top.part").alias("main")), "shingle"), "jaccard-cross")
-
-
-def cross_pairs(cross: DataFrame) -> DataFrame:
-    """All pairs of different components that share enough short lists to be able to link."""
-    small = cross.where("part <> main").select("shingle", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    every = cross.select("shingle", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), (F.col("part") == F.col("main")).alias("in_main"))
-    pairs = small.join(every, "shingle").where("part_a <> part_b and (in_main or a < b)").where(fits(F.col("n_a"), F.col("n_b")))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("sum"), F.greatest("n_a", "n_b").alias("most"))
-    counted = ordered.groupBy("a", "b", "sum", "most").count()
-    need = F.ceil(F.lit(PERCENT) * F.col("sum") / (100 + PERCENT))
-    rest = F.col("most") - (F.col("most") - F.ceil(F.lit(PERCENT) * F.col("most") / 100) + 1)
-    return counted.where(F.col("count") >= need - rest).select("a", "b")
-
-
-def components(docs: DataFrame) -> DataFrame:
-    """(class, part) of every class that has a link; the part is its smallest class."""
-    found = lists(docs, hot_shingles(docs))
-    texts = texts_of(docs, found.select("class").distinct())
-    links = written(verify(leader_pairs(found, None, 0), texts), "jaccard-links")
-    parts = connected_components(links).toDF("class", "part")
-    rounds, before = 1, None
-    while True:
-        cross = cross_lists(found, parts)
-        sizes = cross.groupBy("shingle").agg(F.count("*").alias("all"), F.sum((F.col("part") != F.col("main")).cast("long")).alias("small"))
-        work = sizes.agg(F.sum(F.col("all") * F.col("small")).alias("work"), F.sum("all").alias("rows")).first()
-        # Another round of leaders only pays while it halves the pairs that are left to check.
-        left = work["work"] or 0
-        if rounds >= LEADER_ROUNDS or left <= 20 * (work["rows"] or 0) or (before is not None and left > before / 2):
-            break
-        before = left
-        more = written(verify(leader_pairs(cross.select("shingle", "class", "n"), parts, rounds), texts), f"jaccard-links-{rounds}")
-        rounds += 1
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        parts = connected_components(links).toDF("class", "part")
-    last = written(verify(cross_pairs(cross), texts), "jaccard-links-last")
-    return connected_components(links.union(last)).toDF("class", "part")
-
-
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    sets = written(document_sets(docs), "jaccard-sets")
-    parts = components(docs)
-    classes = sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = component_of(classes, parts, "class", "part")
-    named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("class", "component_id")
-    return sets.join(named, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, one row of each component; rows without words or id all stay.
-
-    The row of a component is the one whose ``doc_id`` names it, and of several
-    such rows the first in text order.
+        for table in _runs(batches, 3):
+            one, two = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+            if table.num_rows < 2:
+                continue
+            classes, known = table.column(5).to_numpy(), table.column(4).to_numpy()
+            flat, lengths = _flat(table.column(7))
+            side = np.full(len(classes), -1) if one == two else (table.column(3).to_numpy() == one).astype(np.int64)
+            hub = divide_skip(table.column(6).to_numpy(), flat, lengths, side, known)
+            moved = np.flatnonzero(classes[hub] != classes)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[moved]), pa.array(classes[hub[moved]])], names=["a", "b"])
+
+    keys = ["group", "one", "two"]
+    rows = placed.select(*keys, "block", "known", "class", "n", "core")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def class_links(core: DataFrame, groups: DataFrame, folder: str, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) that join every component of linked classes."""
+    placed = core.join(groups, "class")
+    sizes = groups.join(core.select("class", F.size("core").alias("weight")), "class").groupBy("group").agg(F.sum("weight").alias("weight"))
+    sizes = written(sizes.select("group", F.ceil(F.col("weight") / F.lit(float(block))).cast("int").alias("blocks")), "groups", folder=folder)
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    first = placed.join(sizes, "group").withColumn("block", mine).withColumn("known", F.col("class"))
+    links = written(_search(first.withColumn("one", F.col("block")).withColumn("two", F.col("block"))), "links", folder=folder)
+    wide = sizes.where("blocks > 1").select("group")
+    if not wide.limit(1).count():
+        return links
+    parts = connected_components(links, folder=folder).toDF("class", "part")
+    # Dealt anew: large components fill blocks of their own, small ones share blocks.
+    rest = placed.join(wide, "group").join(parts, "class", "left").withColumn("known", F.coalesce("part", "class")).drop("part")
+    weights = rest.groupBy("group", "known").agg(F.ceil(F.sum(F.size("core")) / F.lit(float(block))).cast("int").alias("own"), F.sum(F.size("core")).alias("weight"))
+    weights = written(weights, "weights", folder=folder)
+    mixed = weights.where("own = 1").groupBy("group").agg(F.ceil(F.sum("weight") / F.lit(float(block))).cast("int").alias("mixed"))
+    weights = weights.join(mixed, "group", "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    # The name of a block: its component and a number; mixed ones have none and say so by a negative number.
+    pure = F.struct(F.col("known").alias("part"), F.pmod(F.xxhash64("class"), F.col("own")).cast("int").alias("k"))
+    shared = F.struct(F.lit(None).cast("long").alias("part"), F.pmod(F.xxhash64("known", F.lit(1)), F.col("mixed")).cast("int").alias("k"))
+    named = rest.join(weights.select("group", "known", "own", "mixed"), ["group", "known"]).withColumn("name", F.when(F.col("own") > 1, pure).otherwise(shared)).drop("own", "mixed")
+    named = written(named, "named", folder=folder)
+    # As many rows as blocks; a block meets those of its group that another component has part in.
+    blocks = named.select("group", "name").distinct().withColumn("number", F.xxhash64("group", "name.part", "name.k"))
+    blocks = written(blocks, "blocks", folder=folder)
+    other = blocks.select("group", F.col("name").alias("_name"), F.col("number").alias("_number"))
+    met = blocks.join(other, "group").where("name.part is null or _name.part is null or name.part <> _name.part").select("group", "name", F.col("number").alias("block"), F.least("number", "_number").alias("one"), F.greatest("number", "_number").alias("two"))
+    key = (F.col("name.part").eqNullSafe(F.col("_part"))) & (F.col("name.k") == F.col("_k")) & (F.col("group") == F.col("_group"))
+    met = met.select(F.col("group").alias("_group"), F.col("name.part").alias("_part"), F.col("name.k").alias("_k"), "block", "one", "two")
+    return links.union(written(_search(named.join(met, key)), "links-across", folder=folder))
+
+
+def _joined(docs: DataFrame, folder: str, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Sets of all documents, and (high, low, part) of the classes with links."""
+    sets = written(document_sets(docs), "sets", folder=folder)
+    classes = written(linkable_classes(sets), "classes", folder=folder)
+    core = written(cores(class_shingles(docs, classes)), "core", folder=folder)
+    links = class_links(core, candidate_groups(core, folder), folder, block)
+    parts = connected_components(links, folder=folder).toDF("class", "part")
+    return sets, classes.select("high", "low", "class").join(parts, "class").select("high", "low", "part")
+
+
+def _named(docs: DataFrame, folder: str, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, mark, n and component (by class number, or by digest where a class has no links; null without words) of every row."""
+    sets, parts = _joined(docs, folder, block)
+    found = sets.drop("part").join(parts, ["high", "low"], "left")
+    linked = F.col("part").isNotNull()
+    name = F.struct(linked.alias("linked"), F.when(linked, F.col("part")).otherwise(F.col("high")).alias("x"), F.when(linked, F.lit(0)).otherwise(F.col("low")).alias("y"))
+    return found.select("doc_id", "mark", "n", F.when(F.col("n") > 0, name).alias("component"))
+
+
+def join(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    with scratch(docs.sparkSession, "jaccard") as folder:
+        rows = written(_named(docs, folder, block), "named", folder=folder)
+        least = written(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least", folder=folder)
+        named = rows.join(least, "component", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component"))
+        # Rows that repeat an id tie the components of their texts together.
+        several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+        ties = named.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+        ends = connected_components(ties, folder=folder).toDF("component", "end")
+        out = named.join(ends, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("end", "component").alias("component_id"))
+        return written(out, "jaccard")
+
+
+def keep_first(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """All columns of ``docs``, one row of each group of linked texts; rows without words all stay.
+
+    Groups are of texts here: rows that share only an id are not tied together.
+    The row that stays has the smallest ``doc_id`` (null last), then the
+    smallest hash of the text; of rows equal in both, the smallest in the other
+    columns as text.
     """
-    found = join(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left
+    with scratch(docs.sparkSession, "jaccard") as folder:
+        rows = _named(docs, folder, block).where("n > 0")
+        first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row"))
+        first = written(first.select(F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")), "jaccard-first")
+    names = [fresh(docs, x) for x in ("_id", "_mark", "_own", "_place")]
+    key, mark, own, place = names
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    kept = marked.where(worded).join(first.toDF(key, mark), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)))
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    alone = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(*(others or [F.lit(0)])))).where(F.col(place) == 1)
+    return alone.select(docs.columns).unionByName(docs.where(~worded))

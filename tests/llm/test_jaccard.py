@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard as J
 from millrace.llm import queries
+from millrace.llm import shingles as S
 
 
 def shingles(text):
@@ -46,8 +49,8 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n int").repartition(3)
 
 
-def answer(df):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df).collect()}
+def answer(df, block=J.BLOCK_SHINGLES):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df, block).collect()}
 
 
 def crowd(seed, n=220):
@@ -71,11 +74,38 @@ def crowd(seed, n=220):
     return docs
 
 
-@pytest.mark.parametrize("hot", [2, 40])
-def test_random_crowds_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(J, "HOT", hot)
-    docs = [*crowd(hot), (5000, None), (5001, ""), (5002, " \t\n"), (5003, "ÀB  c"), (5004, "Àb c"), (5005, "àb c")]
-    assert answer(frame(spark, docs)) == brute(docs)
+@pytest.mark.parametrize("block", [300, J.BLOCK_SHINGLES])
+def test_random_crowds_match_brute_force(spark, block):
+    docs = [*crowd(2), (5000, None), (5001, ""), (5002, " \t\n"), (5003, "ÀB  c"), (5004, "Àb c"), (5005, "àb c")]
+    assert answer(frame(spark, docs), block) == brute(docs)
+
+
+def test_one_crowd_over_many_blocks(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    docs = []
+    for k in range(240):
+        words = base[:]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(80)] = f"x{rng.randrange(40)}"
+        docs.append((k, " ".join(words[: 80 - k % 3])))
+    want = brute(docs)
+    assert 1 < len({c for _, c in want.values()}) < 200
+    assert answer(frame(spark, docs), 900) == want
+
+
+def test_block_search_matches_brute_force():
+    for seed in range(4):
+        ids, sets = {}, list({shingles(t): 0 for _, t in crowd(seed)})
+        flat = [np.array([ids.setdefault(g, len(ids)) for g in s], np.int64) for s in sets]
+        hub = J.divide_skip(np.array([len(s) for s in sets]), np.concatenate(flat), np.array([len(s) for s in sets]), np.full(len(sets), -1), np.arange(len(sets)))
+        part = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if x and 100 * len(x & y) >= 80 * len(x | y):
+                    old, new = part[i], part[j]
+                    part = [new if p == old else p for p in part]
+        assert len({(h, p) for h, p in zip(hub.tolist(), part, strict=True)}) == len(set(part)) == len(set(hub.tolist()))
 
 
 def test_table_matches_brute_force(spark):
@@ -91,7 +121,42 @@ def test_repeated_rows_null_ids_no_rows(spark):
     assert J.join(df.where("false")).count() == 0
 
 
-def test_long_text_and_short_lists(spark):
+def test_repeated_ids_tie_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (9, b), (7, c), (None, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in J.join(df).collect())
+    assert got == [(0, 7), (0, 7), (2, 2), (5, 2), (5, 2), (7, 7), (9, 2)]
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(4, a, "p"), (4, a, "q"), (4, b, "r"), (9, a + " z", "s"), (None, b, "t"), (None, " ", "u"), (3, None, "v"), (3, None, "v"), (1, "only me", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own string")
+    got = sorted(map(tuple, J.keep_first(df).collect()), key=lambda r: r[2])
+    assert got == [(4, a, "p"), (4, b, "r"), (None, " ", "u"), (3, None, "v"), (3, None, "v"), (1, "only me", "w")]
+    assert J.keep_first(df).columns == df.columns and J.keep_first(df.where("false")).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["mark", "n", "high", "low", "part", "class", "component", "group", "_id", "_mark"]
+    df = spark.createDataFrame([(1, text, *[0] * 10), (2, text + " x", *[1] * 10)], "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names))
+    assert answer(df) == {1: (26, 1), 2: (27, 1)}
+    assert [r.doc_id for r in J.keep_first(df).collect()] == [1]
+
+
+def test_exactly_at_the_limit_links(spark):
+    words = [f"w{i}" for i in range(13)]  # 9 shingles; the first 12 words have 8, 8 of 9 is over; 8 of 10 is at the limit
+    docs = [(1, " ".join(words[:12])), (2, " ".join(words + ["w13"])), (3, " ".join(words + ["w13", "w14"]))]
+    assert answer(frame(spark, docs)) == brute(docs) and brute(docs)[3][1] == 1
+    assert 100 * 8 == 80 * 10
+
+
+def test_long_texts_and_words(spark):
     text = " ".join(f"w{i}" for i in range(60_000))
     assert answer(frame(spark, [(1, text), (2, text + " x"), (3, "y")])) == {1: (59_996, 1), 2: (59_997, 1), 3: (1, 3)}
-    assert [J.short_lists(n) for n in (1, 4, 5, 10, 100)] == [1, 1, 2, 3, 21]
+    word = "y" * 200_000
+    found = list(S.shingle_sets(pa.array([f"{word} b c d e", f"{word.upper()} b c d e", f"z{word} b c d e", f"{word} b"])))
+    assert found[0].tolist() == found[1].tolist() != found[2].tolist() and len(found[3]) == 1
+    assert [J.least_shared(n) for n in (1, 4, 5, 10, 101)] == [1, 4, 4, 8, 81]

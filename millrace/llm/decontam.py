@@ -13,17 +13,23 @@ without placeholders, so verbatim ones meet however few literal words they hold
 (others need ``MIN_LITERALS``) and whatever stands around them. Coverage is the
 share of all windows of the item.
 
-Scale. The benchmark's windows are counted first. Up to
-``MAX_BROADCAST_WINDOWS`` they are broadcast and documents are scanned in one
-narrow pass in which only meetings leave the task; beyond that, both sides'
-windows are shuffled by hash. Documents are never cut, sampled or collected.
-
-Defined cases: a null text counts as empty; null ids are carried; items shorter
-than a window are one window, looked for at their own width anywhere in a
-document, so a very short item meets every document that holds its words; an
-empty benchmark or table gives no rows; repeated rows, which share ``doc_id``,
-are reported once; benchmark rows that repeat an item id or a text are each
-matched; other columns are ignored.
+Scale. Texts are read in blocks of bounded size, in numpy over all code points of a
+block; token and window hashes come from running sums, so no object is made per
+token. The
+benchmark's windows are counted first. Up to ``MAX_BROADCAST_WINDOWS`` they are
+broadcast (at most 200 bytes each) and documents are scanned in one narrow pass
+in which only meetings leave the task; beyond that, both sides' windows are
+shuffled by hash. Both ways give the same rows. Documents are never cut, sampled
+or collected.
+
+Defined cases: a null text counts as empty; null ids are carried; texts of any
+length are read whole; items shorter than a window are one window, looked for at
+their own width anywhere in a document, so a very short item meets every
+document that holds its words; an empty benchmark or table gives no rows;
+repeated rows, which share ``doc_id``, are reported once, and ``clean`` judges
+each row by its own text, so rows that share an id but not a text may part;
+benchmark rows that repeat an item id or a text are each matched; other columns
+are ignored, whatever their names, and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -38,10 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.tokens import blocks
+from millrace.session import fresh
+
 WINDOW = 10
 MIN_LITERALS = 6
-MAX_BROADCAST_WINDOWS = 500_000
-CACHE_TOKENS = 300_000
+MAX_BROADCAST_WINDOWS = 200_000
+BLOCK_CHARS = 250_000
 
 # Units of measure and money.
 UNITS = frozenset(
@@ -49,93 +58,164 @@ UNITS = frozenset(
     "min minute minutes h hr hour hours day days week weeks month months year years mph kmh kph dollar dollars cent cents euro euros pound pounds percent degrees".split()
 )
 NAME, NUMBER, UNIT = range(1, 4)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£°]")
-_STOPS = frozenset(".!?\n")
+_STOPS = ".!?\n"
+_SIGNS = ".!?\n%$€£°"
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
 _CAP, _NUM, _STOP, _UNIT = 1, 2, 4, 8
+_PAGE = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_KINDS = np.array([0x9AE16A3B2F90404F * k % (1 << 64) for k in range(4)], np.uint64)
+_WORD, _FIGURE = re.compile(r"[^\W\d_]"), re.compile(r"\d")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Windows:
+    """All windows of one width in a block: row, place in its text, template hash, whether it holds enough literals, hash without placeholders."""
+
+    def __init__(self, block, width: int, at: np.ndarray):
+        self.block, self.width, self.first = block, width, at
+        sums = [s[at + width] - s[at] for s in block.counts]
+        free, bare_free, capitals, words = sums
+        loud = words < 2 * capitals  # capitals throughout a window say nothing
+        typed, bare, literal = ((s[at + width] - s[at]) * block.down[at] + np.uint64(width) for s in block.sums)
+        self.row, self.at, self.loud = block.row[at], at - block.begin[block.row[at]], loud
+        self.enough = np.where(loud, bare_free, free) >= MIN_LITERALS
+        self.literal = _mixed(literal)
+        self.hash = _mixed(np.where(loud, bare, typed))
+
+    def slots(self, i: int) -> list[int]:
+        """The values under the placeholders of window i, each as a number."""
+        a = int(self.first[i])
+        types = (self.block.bare if self.loud[i] else self.block.kinds)[a : a + self.width]
+        return [self.block.value(a + j, int(types[j])) for j in np.flatnonzero(types).tolist()]
+
+
+class Characters:
+    """Class, capital, digit and lower-case value of code points, made page by page."""
+
+    def __init__(self):
+        self.kind, self.flag, self.value = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint64)
+        self.made: set[int] = set()
+
+    def need(self, codes: np.ndarray) -> None:
+        for page in set(np.flatnonzero(np.bincount(codes >> _PAGE)).tolist()) - self.made:
+            signs = [chr(c) for c in range(page << _PAGE, (page + 1) << _PAGE)]
+            span = slice(page << _PAGE, (page + 1) << _PAGE)
+            self.kind[span] = [_LETTER if _WORD.match(c) else _DIGIT if _FIGURE.match(c) else _SIGN if c in _SIGNS else 0 for c in signs]
+            self.flag[span] = [_CAP * c.isupper() | _NUM * c.isdigit() | _STOP * (c in _STOPS) for c in signs]
+            self.value[span] = _mixed(np.array([ord(c.lower()[0]) + 1 for c in signs], np.uint64) * _MIX)
+            self.made.add(page)
+
+
+class Block:
+    """Tokens of several texts, without sentence stops: kinds, literal hashes and running sums."""
+
+    def __init__(self, maker, texts: list[str | None]):
+        # A line end between texts is a sentence stop, as the start of a text is.
+        self.text = "\n".join([t or "" for t in texts])
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        maker.characters.need(codes)
+        group = maker.characters.kind[codes]
+        n = len(codes)
+        # A point or comma between two digits is part of the number.
+        inner = np.flatnonzero((codes == 0x2E) | (codes == 0x2C))
+        inner = inner[(inner > 0) & (inner < n - 1)]
+        inner = inner[(group[inner - 1] == _DIGIT) & (group[inner + 1] == _DIGIT)]
+        group[inner] = _DIGIT
+        begin, end = group > 0, group > 0
+        same = (group[1:] == group[:-1]) & (group[1:] != _SIGN)
+        begin[1:] &= ~same
+        end[:-1] &= ~same
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        flags = maker.characters.flag[codes[starts]]
+        up, down = maker.powers(max(n, len(starts)) + 1)
+        run = self._sum(maker.characters.value[codes] * up[:n])
+        literal = _mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        at = np.minimum(np.searchsorted(maker.units, literal), len(maker.units) - 1)
+        flags[maker.units[at] == literal] |= _UNIT
+        before, after = np.roll(flags, 1), np.roll(flags, -1)
+        before[:1], after[-1:] = _STOP, 0
+        kinds = np.zeros(len(starts), np.uint8)
+        kinds[((flags & _CAP) != 0) & ((flags & _NUM) == 0) & ((before & _STOP) == 0)] = NAME
+        kinds[(flags & _NUM) != 0] = NUMBER
+        kinds[((flags & _UNIT) != 0) & (((before | after) & _NUM) != 0)] = UNIT
+        kept = np.flatnonzero((flags & _STOP) == 0)
+        flags, self.kinds, literal, self.starts, self.ends = flags[kept], kinds[kept], literal[kept], starts[kept], ends[kept]
+        sizes = np.array([len(t or "") + 1 for t in texts], np.int64)
+        self.row = np.searchsorted(np.cumsum(sizes), self.starts, "right")
+        self.lengths = np.bincount(self.row, minlength=len(texts))
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.bare = np.where(self.kinds == NAME, 0, self.kinds).astype(np.uint8)
+        self.down = down
+        rows = [np.where(x > 0, _KINDS[x], literal) for x in (self.kinds, self.bare)] + [literal]
+        self.sums = [self._sum(r * up[: len(r)]) for r in rows]
+        capital = ((flags & _CAP) != 0) & ((flags & _NUM) == 0)
+        self.counts = [self._sum(x.astype(np.int64)) for x in (self.kinds == 0, self.bare == 0, capital, (flags & _NUM) == 0)]
+
+    def value(self, token: int, kind: int) -> int:
+        """A number for what stands under a placeholder."""
+        word = self.text[self.starts[token] : self.ends[token]].lower().replace(",", "")
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), kind) - (1 << 63)
+
+    @staticmethod
+    def _sum(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x) + 1, x.dtype)
+        np.cumsum(x, out=out[1:])
+        return out
+
+    def windows(self, width: int, whole: bool = False):
+        """The block's windows of ``width``; with ``whole``, a shorter text is one window of its own width."""
+        n = len(self.row)
+        if n >= width:
+            at = np.flatnonzero(self.row[width - 1 :] == self.row[: n - width + 1])
+            if len(at):
+                yield Windows(self, width, at)
+        if whole:
+            for length in range(1, width):
+                at = self.begin[self.lengths == length]
+                if len(at):
+                    yield Windows(self, length, at)
 
 
 class Templates:
-    """Turns texts into template tokens and window hashes; remembers tokens within a bound."""
+    """Turns texts into blocks of template tokens."""
 
     def __init__(self):
-        self._reset()
-
-    def _reset(self):
-        self.number: dict[str, int] = {}
-        self.hashes, self.flags = [], []
-
-    def _learn(self, token: str) -> int:
-        flag = _STOP * (token in _STOPS) + _NUM * token[0].isdigit() + _UNIT * (token.lower() in UNITS)
-        flag += _CAP * (token[0].isupper() and not flag & _NUM)
-        self.hashes.append(xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "replace")))
-        self.flags.append(flag)
-        return self.number.setdefault(token, len(self.number))
-
-    def read(self, texts: list[str | None]):
-        """Per text, without sentence stops: tokens (none without types), types, hashes of the tokens, which have a capital, which are words."""
-        if len(self.number) > CACHE_TOKENS:
-            self._reset()
-        cut = [_TOKEN.findall(t) if t else [] for t in texts]
-        for token in set().union(*cut):
-            if token not in self.number:
-                self._learn(token)
-        all_hashes, all_flags, get = np.array(self.hashes, np.uint64), np.array(self.flags, np.uint8), self.number.__getitem__
-        for tokens in cut:
-            at = np.fromiter(map(get, tokens), np.int64, len(tokens))
-            flags = all_flags[at]
-            before = np.concatenate([[_STOP], flags[:-1]]) if len(flags) else flags
-            words = (flags & (_NUM | _STOP)) == 0
-            names = ((flags & _CAP) != 0) & ((before & _STOP) == 0)
-            kinds = np.zeros(len(tokens), np.uint8)
-            kinds[names] = NAME
-            kinds[(flags & _NUM) != 0] = NUMBER
-            near = ((before & _NUM) != 0) | np.concatenate([(flags[1:] & _NUM) != 0, [False]]) if len(flags) else before
-            kinds[((flags & _UNIT) != 0) & near.astype(bool)] = UNIT
-            kept = np.flatnonzero((flags & _STOP) == 0)
-            hashes = all_hashes[at][kept] if len(at) else np.empty(0, np.uint64)
-            yield [tokens[i] for i in kept.tolist()] if kinds.any() else None, kinds[kept], hashes, ((flags & _CAP) != 0)[kept], words[kept]
-
-    def cut(self, texts: list[str | None], widths, whole: bool = False):
-        """Per text and width: window hashes, which of them hold enough literals, hashes without placeholders, and a function for the slots of a window.
-
-        Widths that a text does not reach are left out; with ``whole`` such a text is one window.
-        """
-        for own, kinds, literal, caps, words in self.read(texts):
-            n, found = len(literal), []
-            bare = np.where(kinds == NAME, 0, kinds).astype(np.uint8)
-            rows = np.stack([np.where(x > 0, x.astype(np.uint64), literal) for x in (kinds, bare)] + [literal])
-            sums = np.zeros((4, n + 1), np.int64)
-            np.cumsum(np.stack([kinds == 0, bare == 0, caps, words]), axis=1, out=sums[:, 1:])
-            for k in sorted({min(w, n) for w in widths} if whole else {w for w in widths if w <= n}):
-                if k == 0:
-                    continue
-                rolled = np.full((3, n - k + 1), k, np.uint64)
-                for i in range(k):
-                    rolled = (rolled ^ rows[:, i : n - k + 1 + i]) * _MIX
-                    rolled ^= rolled >> np.uint64(29)
-                free, free_bare, capitals, of = sums[:, k:] - sums[:, :-k]
-                loud = of < 2 * capitals  # capitals throughout a window say nothing
-
-                def slots(at, own=own, kinds=kinds, bare=bare, loud=loud, k=k):
-                    types = bare if loud[at] else kinds
-                    return [(int(types[i]), own[i].lower().replace(",", "")) for i in (at + np.flatnonzero(types[at : at + k])).tolist()] if own else []
-
-                found.append((np.where(loud, rolled[1], rolled[0]), np.where(loud, free_bare, free) >= MIN_LITERALS, rolled[2], slots))
-            yield found
-
-    def windows(self, texts: list[str | None], width: int = WINDOW):
-        """Per text: window hashes, which of them hold enough literals, and a function for the slots of a window."""
-        for found in self.cut(texts, (width,), whole=True):
-            yield (found[0][0], found[0][1], found[0][3]) if found else (np.empty(0, np.uint64), np.empty(0, bool), None)
-
-
-def agree(left: list[tuple[int, str]], right: list[tuple[int, str]]) -> bool:
-    """Each value on one side stands for one value of its type on the other."""
-    if [k for k, _ in left] != [k for k, _ in right]:
-        return False
-    pairs = set(zip(left, right, strict=True))
-    return len(pairs) == len(set(left)) == len(set(right))
+        self.characters, self._up, self._down = Characters(), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.units = np.sort(np.array([self._literal(u) for u in sorted(UNITS)], np.uint64))
+
+    def powers(self, n: int):
+        if len(self._up) < n:
+            n += n // 2
+            self._up, self._down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        return self._up, self._down
+
+    def _literal(self, word: str) -> int:
+        codes = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        self.characters.need(codes)
+        up, _ = self.powers(len(codes))
+        return int(_mixed((self.characters.value[codes] * up[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))[0])
+
+    def blocks(self, texts: list[str | None]):
+        """(number of the first text, block) over all texts."""
+        for a, b in blocks(texts, BLOCK_CHARS):
+            yield a, Block(self, texts[a:b])
+
+
+def agree(left: list[int], right: list[int]) -> bool:
+    """Each value on one side stands for one value on the other; equal templates have equal types."""
+    return len(left) == len(right) and len(set(zip(left, right, strict=True))) == len(set(left)) == len(set(right))
 
 
 def settled(hits: list[tuple]) -> list[tuple]:
@@ -153,116 +233,144 @@ def settled(hits: list[tuple]) -> list[tuple]:
     return out
 
 
-SLOTS = "array<struct<kind:int,value:string>>"
-WINDOWS = f"key long, at long, n long, hash long, literal long, slots {SLOTS}"
-_SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
+WINDOWS = "low long, high long, key long, at long, n long, hash long, literal long, slots array<long>"
+
+
+def _text_key() -> list:
+    """Two hashes of a text, which stand for it."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
 def all_windows(docs: DataFrame, key: str, widths, whole: bool = False) -> DataFrame:
-    """Key, place, windows of the text, hash, hash without placeholders, slots: a row per window by the latter hash, and one by its own if that differs and it has enough literals."""
+    """Text key, id, place, windows of the text, hash, hash without placeholders, slots: a row per window by the latter hash, and one by its own if that differs and it has enough literals."""
 
     def run(batches):
         maker = Templates()
         for batch in batches:
-            for key_, made in zip(batch.column(0).to_pylist(), maker.cut(batch.column(1).to_pylist(), widths, whole), strict=True):
-                for hashes, enough, literal, slots in made:
-                    more = np.flatnonzero(enough & (hashes != literal))
-                    at = np.concatenate([np.arange(len(hashes)), more])
-                    found = [[{"kind": k, "value": v} for k, v in slots(i)] for i in at.tolist()]
-                    columns = [pa.array([key_] * len(at), pa.int64()), pa.array(at), pa.array(np.full(len(at), len(hashes))), pa.array(np.concatenate([literal, hashes[more]]).view(np.int64)), pa.array(literal[at].view(np.int64)), pa.array(found, _SLOTS)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "n", "hash", "literal", "slots"])
+            low, high, keys = (batch.column(i) for i in range(3))
+            for start, block in maker.blocks(batch.column(3).to_pylist()):
+                for width in sorted(widths):
+                    for w in block.windows(width, whole):
+                        more = np.flatnonzero(w.enough & (w.hash != w.literal))
+                        at = np.concatenate([np.arange(len(w.hash)), more])
+                        place = pa.array(start + w.row[at])
+                        count = block.lengths[w.row[at]] - w.width + 1
+                        columns = [low.take(place), high.take(place), keys.take(place), _signed(w.at[at]), _signed(count), _signed(np.concatenate([w.literal, w.hash[more]])), _signed(w.literal[at]), pa.array([w.slots(i) for i in at.tolist()], pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in WINDOWS.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(run, WINDOWS)
+    return docs.select(*_text_key(), F.col(key).cast("long").alias("key"), "text").mapInArrow(run, WINDOWS)
 
 
 def widths_of(benchmark: DataFrame, width: int = WINDOW) -> list[int]:
     """Window widths that the benchmark's texts need: ``width``, and the lengths of those that are shorter."""
 
     def run(batches):
-        maker = Templates()
+        maker, found = Templates(), set()
         for batch in batches:
-            found = {min(len(hashes), width) for _, _, hashes, _, _ in maker.read(batch.column(0).to_pylist())}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], names=["width"])
+            for _, block in maker.blocks(batch.column(0).to_pylist()):
+                found |= set(np.minimum(block.lengths, width).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], names=["width"])
 
     return [r["width"] for r in benchmark.select("text").mapInArrow(run, "width int").distinct().collect()]
 
 
-def _index(rows) -> tuple[np.ndarray, dict]:
-    index = defaultdict(list)
-    for r in rows:
-        index[r["hash"]].append((r["key"], r["at"], r["n"], [(x["kind"], x["value"]) for x in r["slots"]], r["literal"]))
-    return np.array(sorted(index), np.int64).view(np.uint64), dict(index)
-
-
-def _meetings(maker: Templates, texts, hashes: np.ndarray, index: dict, widths):
-    """Per text: meetings (item, place in item, windows of item, place in text, verbatim) that count."""
-    sorted_hashes = np.sort(hashes)
-    marks = np.zeros(1 << 20, bool)
-    marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def known(found, these):
-        near = np.flatnonzero(these & marks[(found >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.empty(0, np.int64)
-        if len(near):
-            place = np.minimum(np.searchsorted(sorted_hashes, found[near]), len(sorted_hashes) - 1)
-            near = near[sorted_hashes[place] == found[near]]
-        return near.tolist()
-
-    for made in maker.cut(texts, widths):
-        copies = defaultdict(list)
-        for k, (found, enough, literal, slots) in enumerate(made):
-            for at in known(literal, np.True_):
-                own = int(literal[at].view(np.int64))
-                for item, there, n, theirs, same in index[own]:
-                    if same == own:
-                        copies[k, item, at - there].append((item, there, n, at, theirs, theirs, True))
-            for at in known(found, enough & (found != literal)):
-                mine, own = slots(at), int(literal[at].view(np.int64))
-                for item, there, n, theirs, same in index[int(found[at].view(np.int64))]:
-                    if same != own:
-                        copies[k, item, at - there].append((item, there, n, at, theirs, mine, theirs == mine))
-        yield [(*hit[:4], hit[6]) for hits in copies.values() for hit in settled(hits)]
-
-
-MEETINGS = "doc_id long, item_id long, item_at long, item_windows long, doc_at long, verbatim boolean"
+class Index:
+    """The benchmark's windows as arrays, sorted by hash."""
+
+    def __init__(self, windows: list):
+        windows = sorted(windows, key=lambda r: (r["hash"], r["key"] is None, r["key"], r["at"]))
+        self.hash = np.array([r["hash"] for r in windows], np.int64).view(np.uint64)
+        order = np.argsort(self.hash, kind="stable")
+        self.hash = self.hash[order]
+        windows = [windows[i] for i in order.tolist()]
+        self.key = [r["key"] for r in windows]
+        self.at, self.n, self.literal = (np.array([r[c] for r in windows], np.int64) for c in ("at", "n", "literal"))
+        self.border = np.cumsum([0] + [len(r["slots"]) for r in windows])
+        self.slots = np.array([x for r in windows for x in r["slots"]], np.int64)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+
+    def known(self, hashes: np.ndarray, these=None) -> np.ndarray:
+        """Which of ``hashes`` occur."""
+        if not len(self.hash):
+            return np.empty(0, np.int64)
+        near = self.marks[(hashes >> np.uint64(44)).astype(np.int64)]
+        near = np.flatnonzero(near if these is None else near & these)
+        place = np.minimum(np.searchsorted(self.hash, hashes[near]), len(self.hash) - 1)
+        return near[self.hash[place] == hashes[near]]
+
+    def entries(self, value):
+        """(item, place, windows, slots, literal hash) of every window with this hash."""
+        for k in range(int(np.searchsorted(self.hash, value)), int(np.searchsorted(self.hash, value, "right"))):
+            yield self.key[k], int(self.at[k]), int(self.n[k]), self.slots[self.border[k] : self.border[k + 1]].tolist(), int(self.literal[k])
+
+
+def _meetings(maker: Templates, texts, index: Index, widths):
+    """(number of the text, meetings (item, place in item, windows of item, place in text, verbatim) that count) for texts with any."""
+    for start, block in maker.blocks(texts):
+        copies: dict = defaultdict(list)
+        for width in widths:
+            for w in block.windows(width):
+                for i in index.known(w.literal).tolist():
+                    row, at, own = int(w.row[i]), int(w.at[i]), int(w.literal[i].view(np.int64))
+                    for item, there, n, theirs, same in index.entries(w.literal[i]):
+                        if same == own:
+                            copies[row, item, width, at - there].append((item, there, n, at, theirs, theirs, True))
+                for i in index.known(w.hash, w.enough & (w.hash != w.literal)).tolist():
+                    row, at, own, mine = int(w.row[i]), int(w.at[i]), int(w.literal[i].view(np.int64)), w.slots(i)
+                    for item, there, n, theirs, same in index.entries(w.hash[i]):
+                        if same != own:
+                            copies[row, item, width, at - there].append((item, there, n, at, theirs, mine, theirs == mine))
+        found: dict = defaultdict(list)
+        for (row, *_), hits in copies.items():
+            found[row] += [(*hit[:4], hit[6]) for hit in settled(hits)]
+        yield from ((start + row, hits) for row, hits in found.items() if hits)
+
+
+MEETINGS = "low long, high long, doc_id long, item_id long, item_at long, item_windows long, doc_at long, verbatim boolean"
 
 
 def _rows(hits: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in hits], kinds[i]) for i in range(6)], names=[x.split()[0] for x in MEETINGS.split(", ")])
+    kinds = [pa.int64()] * 7 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in hits], kinds[i]) for i in range(8)], names=[x.split()[0] for x in MEETINGS.split(", ")])
 
 
 def meetings(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Every window that a document shares with an item, verbatim or slots agreeing."""
-    widths = widths_of(benchmark, width)
+    """Every window that a row shares with an item, verbatim or slots agreeing; ``low`` and ``high`` are the key of its text."""
+    widths = sorted(widths_of(benchmark, width))
     items = all_windows(benchmark, "item_id", (width,), whole=True)
     if items.count() > most:
-        left = all_windows(docs, "doc_id", widths).toDF("doc_id", "doc_at", "_", "hash", "literal", "slots").drop("_")
-        right = items.toDF("item_id", "item_at", "item_windows", "hash", "item_literal", "item_slots")
+        left = all_windows(docs, "doc_id", widths).distinct().toDF("low", "high", "doc_id", "doc_at", "doc_windows", "hash", "literal", "slots")
+        right = items.drop("low", "high").toDF("item_id", "item_at", "item_windows", "hash", "item_literal", "item_slots")
         # By the literal hash only verbatim windows meet, by the other one the rest.
         pairs = left.join(right, "hash").where("(hash = literal and hash = item_literal) or (hash <> literal and literal <> item_literal)")
         hit = F.struct("item_at", "item_windows", "doc_at", "slots", "item_slots", (F.col("literal") == F.col("item_literal")).alias("same"))
-        # One group is one item's windows at most, once for each row that repeats an id.
-        copies = pairs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset")).agg(F.collect_list(hit).alias("hits"))
+        # One group is one item's windows of one width at most. Windows of a text and the width say together how long it is.
+        length = F.col("doc_windows").alias("width")
+        copies = pairs.groupBy("low", "high", "doc_id", "item_id", length, (F.col("doc_at") - F.col("item_at")).alias("offset")).agg(F.collect_list(hit).alias("hits"))
 
         def settle(batches):
             for batch in batches:
                 out = []
-                for doc, item, hits in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                    plain = lambda x: [(y["kind"], y["value"]) for y in x]
-                    made = [(item, h["item_at"], h["item_windows"], h["doc_at"], theirs := plain(h["item_slots"]), mine := theirs if h["same"] else plain(h["slots"]), theirs == mine) for h in hits]
-                    out += [(doc, *h[:4], h[6]) for h in settled(made)]
+                for low, high, doc, item, hits in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6)), strict=True):
+                    made = [(item, h["item_at"], h["item_windows"], h["doc_at"], h["item_slots"], h["item_slots"] if h["same"] else h["slots"], h["same"] or h["item_slots"] == h["slots"]) for h in hits]
+                    out += [(low, high, doc, *h[:4], h[6]) for h in settled(made)]
                 yield _rows(out)
 
         return copies.mapInArrow(settle, MEETINGS)
-    shared = docs.sparkSession.sparkContext.broadcast(_index(items.collect()))  # at most ``most`` windows
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items.collect()))  # at most ``most`` windows
 
     def run(batches):
-        maker, (hashes, index) = Templates(), shared.value
+        maker, index = Templates(), shared.value
         for batch in batches:
-            hits = [(k, *h) for k, found in zip(batch.column(0).to_pylist(), _meetings(maker, batch.column(1).to_pylist(), hashes, index, widths), strict=True) for h in found]
-            yield _rows(hits)
+            low, high, keys, texts = (batch.column(i).to_pylist() for i in range(4))
+            yield _rows([(low[k], high[k], keys[k], *h) for k, hits in _meetings(maker, texts, index, widths) for h in hits])
 
-    return docs.select("doc_id", "text").mapInArrow(run, MEETINGS)
+    return docs.select(*_text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEETINGS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -273,18 +381,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` that meet no item, all columns kept."""
-    widths = widths_of(benchmark, width)
+    """The rows of ``docs`` whose texts meet no item, all columns kept."""
+    widths = sorted(widths_of(benchmark, width))
     items = all_windows(benchmark, "item_id", (width,), whole=True)
     if items.count() > most:
-        bad = meetings(docs, benchmark, width, most).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(_index(items.collect()))  # at most ``most`` windows
+        names = [fresh(docs, x) for x in ("_low", "_high")]
+        bad = meetings(docs, benchmark, width, most).select("low", "high").distinct().toDF(*names)
+        low, high = _text_key()
+        return docs.join(bad, (low == F.col(names[0])) & (high == F.col(names[1])), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items.collect()))  # at most ``most`` windows
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
-        maker, (hashes, index) = Templates(), shared.value
+        maker, index = Templates(), shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([not hits for hits in _meetings(maker, texts, hashes, index, widths)], pa.bool_()))
+            good = np.ones(batch.num_rows, bool)
+            good[[k for k, _ in _meetings(maker, batch.column(at).to_pylist(), index, widths)]] = False
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -130,10 +130,11 @@ def class_shingles(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> D
     return rows.mapInArrow(run, "class long, n long, shingles array<long>")
 
 
-def cores(found: DataFrame) -> DataFrame:
+def cores(found: DataFrame, folder: str) -> DataFrame:
     """class, n and core: its shingles that another listed class holds too, rarest first; only classes with enough of them."""
     rows = found.select("class", "n", F.explode("shingles").alias("shingle"))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    # Written, so that the join has no aggregate beside it and a hot shingle's rows can be split.
+    counts = written(rows.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1"), "counts", folder=folder)
     shared = rows.join(counts, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct("classes", "shingle"))).alias("core"))
     return shared.where(F.size("core") >= _least_shared("n")).select("class", "n", F.col("core.shingle").alias("core"))
 
@@ -143,6 +144,7 @@ def candidate_groups(core: DataFrame, folder: str) -> DataFrame:
     rarest = F.slice("core", F.lit(1), (F.size("core") - _least_shared("n") + 1).cast("int"))
     lists = written(core.select("class", F.explode(rarest).alias("shingle")), "lists", folder=folder)
     lowest = lists.groupBy("shingle").agg(F.min("class").alias("least"), F.count("*").alias("all")).where("all > 1").drop("all")
+    lowest = written(lowest, "lowest", folder=folder)
     return connected_components(lists.join(lowest, "shingle").select("class", "least").distinct(), "class", "least", folder).toDF("class", "group")
 
 
@@ -295,7 +297,8 @@ def _joined(docs: DataFrame, folder: str, block: int = BLOCK_SHINGLES) -> tuple[
     """Sets of all documents, and (high, low, part) of the classes with links."""
     sets = written(document_sets(docs), "sets", folder=folder)
     classes = written(linkable_classes(sets), "classes", folder=folder)
-    core = written(cores(class_shingles(docs, classes)), "core", folder=folder)
+    every = written(class_shingles(docs, classes), "shingles", folder=folder)
+    core = written(cores(every, folder), "core", folder=folder)
     links = class_links(core, candidate_groups(core, folder), folder, block)
     parts = connected_components(links, folder=folder).toDF("class", "part")
     return sets, classes.select("high", "low", "class").join(parts, "class").select("high", "low", "part")

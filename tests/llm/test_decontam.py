@@ -1,3 +1,5 @@
+import re
+
 from millrace.llm import decontam as D
 
 ITEM = "A train leaves Berlin at 9 with 120 passengers and travels 300 km in 2 hours before Anna boards it again at noon"
@@ -71,3 +73,85 @@ def test_verbatim_windows_count_whatever_the_rest_does(spark):
     docs = [(1, f"Well. {twisted}"), (2, f"{loud}\n{named}\n{loud}"), (3, f"{loud}\n{named.replace('Anna', 'Maria')}\n{loud}"), (4, loud)]
     for most in (D.MAX_BROADCAST_WINDOWS, 0):
         assert pairs_found(spark, docs, [(1, item), (2, named)], most) == {(1, 1), (2, 2), (3, 2)}
+
+
+def template(text):
+    """(word, kind, capital) of each token but sentence stops, token by token."""
+    raw = re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£°]", text or "")
+    number = lambda i: 0 <= i < len(raw) and raw[i][0].isdigit()
+    out = []
+    for i, t in enumerate(raw):
+        if t in ".!?\n":
+            continue
+        kind = ""
+        if t[0].isupper() and i and raw[i - 1] not in ".!?\n":
+            kind = "name"
+        if number(i):
+            kind = "number"
+        elif t.lower() in D.UNITS and (number(i - 1) or number(i + 1)):
+            kind = "unit"
+        out.append((t.lower(), kind, t[0].isupper(), not number(i)))
+    return out
+
+
+def windows(text, width, whole=False):
+    tokens = template(text)
+    width = min(width, len(tokens)) if whole else width
+    for at in range(len(tokens) - width + 1 if width else 0):
+        part = tokens[at : at + width]
+        loud = sum(w for *_, w in part) < 2 * sum(c for _, _, c, _ in part)
+        kinds = ["" if loud and k == "name" else k for _, k, _, _ in part]
+        yield at, width, tuple(k and f"<{k}>" or t for (t, *_), k in zip(part, kinds, strict=True)), tuple(t for t, *_ in part), [(k, t.replace(",", "")) for (t, *_), k in zip(part, kinds, strict=True) if k], kinds.count("") >= 6
+
+
+def brute(docs, items):
+    """(doc, item) pairs by comparing every window of every document with every window of every item."""
+    by_word, by_form, widths, out = {}, {}, set(), set()
+    for item, text in items:
+        for at, width, form, literal, slots, enough in windows(text, 10, whole=True):
+            widths.add(width)
+            by_word.setdefault(literal, []).append((item, at, slots, literal))
+            if enough and form != literal:
+                by_form.setdefault(form, []).append((item, at, slots, literal))
+    for doc, text in docs:
+        copies = {}
+        for width in widths:
+            for at, _, form, literal, slots, enough in windows(text, width):
+                met = [(i, a, s, s, True) for i, a, s, _ in by_word.get(literal, [])]
+                met += [(i, a, s, slots, s == slots) for i, a, s, x in by_form.get(form, []) if x != literal] if enough and form != literal else []
+                for item, there, theirs, mine, same in met:
+                    copies.setdefault((item, width, at - there), []).append((at, theirs, mine, same))
+        fine = lambda hits: len({*zip(sum((h[1] for h in hits), []), sum((h[2] for h in hits), []))}) == len({*sum((h[1] for h in hits), [])}) == len({*sum((h[2] for h in hits), [])})
+        for (item, *_), hits in copies.items():
+            hits.sort(key=lambda h: h[0])
+            stretches = []
+            for h in hits:
+                if stretches and stretches[-1][0][3] == h[3]:
+                    stretches[-1].append(h)
+                else:
+                    stretches.append([h])
+            if fine(hits) or any(s[-1][0] > s[0][0] if s[0][3] else fine(s) for s in stretches):
+                out.add((doc, item))
+    return out
+
+
+def test_table_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = brute(docs, items)
+    got = D.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    df = spark.createDataFrame([(1, ITEM, 0), (1, FREE, 1), (None, ITEM, 2), (None, None, 3), (1, ITEM, 4)], "doc_id long, text string, _low int")
+    for most in (D.MAX_BROADCAST_WINDOWS, 0):
+        assert sorted(r["_low"] for r in D.clean(df, bench(spark), most=most).collect()) == [1, 3]
+        assert sorted((r.doc_id or 0) for r in D.meetings(df, bench(spark), most=most).select("doc_id").distinct().collect()) == [0, 1]
+
+
+def test_long_text(spark):
+    docs = [(1, " ".join(f"w{i} 7" for i in range(400_000)) + f". {ITEM}. " + "x" * 100_000), (2, "a " * 700_000)]
+    for most in (D.MAX_BROADCAST_WINDOWS, 0)[:1]:
+        assert pairs_found(spark, docs, [(1, ITEM)], most) == {(1, 1)}

@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
-from millrace.llm import decontam, pii, tokens, toxicity
+from millrace.llm import pii, tokens, toxicity
+from test_decontam import brute as leaks
 from test_jaccard import brute as jaccard_components
 
 SF = "/root/testdata/sf0.01"
@@ -21,9 +22,8 @@ def test_run_matches_brute_force(spark):
     docs = {i: t for (i, t), s in zip(docs.items(), scores, strict=True) if s < toxicity.THRESHOLD}
     parts = jaccard_components(docs.items())
     docs = {i: t for i, t in docs.items() if parts[i][1] == i}
-    items = decontam.Templates().windows([r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    bad = {int(h) for hashes, enough, _ in items for h in hashes[enough]}
-    leaky = {i for i, (hashes, enough, _) in zip(docs, decontam.Templates().windows(list(docs.values())), strict=True) if bad.intersection(hashes[enough].tolist())}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaky = {doc for doc, _ in leaks(docs.items(), items)}
     plain = Tokenizer.from_file(tokens.default_path())
     want = {}
     for i, t in docs.items():

@@ -34,7 +34,6 @@ are ignored, whatever their names, and kept by ``clean``.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from itertools import groupby
 
@@ -44,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.characters import CAPITAL, DIGIT, FIGURE, SIGN, STOP, Characters, mixed
 from millrace.llm.tokens import blocks
 from millrace.session import fresh
 
@@ -58,15 +58,9 @@ UNITS = frozenset(
     "min minute minutes h hr hour hours day days week weeks month months year years mph kmh kph dollar dollars cent cents euro euros pound pounds percent degrees".split()
 )
 NAME, NUMBER, UNIT = range(1, 4)
-_STOPS = ".!?\n"
-_SIGNS = ".!?\n%$€£°"
-_LETTER, _DIGIT, _SIGN = 1, 2, 3
-_CAP, _NUM, _STOP, _UNIT = 1, 2, 4, 8
-_PAGE = 12
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNIT = 8
 _BASE = 0xD6E8FEB86659FD93
 _KINDS = np.array([0x9AE16A3B2F90404F * k % (1 << 64) for k in range(4)], np.uint64)
-_WORD, _FIGURE = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -75,11 +69,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
 class Windows:
     """All windows of one width in a block: row, place in its text, template hash, whether it holds enough literals, hash without placeholders."""
 
@@ -91,8 +80,8 @@ class Windows:
         typed, bare, literal = ((s[at + width] - s[at]) * block.down[at] + np.uint64(width) for s in block.sums)
         self.row, self.at, self.loud = block.row[at], at - block.begin[block.row[at]], loud
         self.enough = np.where(loud, bare_free, free) >= MIN_LITERALS
-        self.literal = _mixed(literal)
-        self.hash = _mixed(np.where(loud, bare, typed))
+        self.literal = mixed(literal)
+        self.hash = mixed(np.where(loud, bare, typed))
 
     def slots(self, i: int) -> list[int]:
         """The values under the placeholders of window i, each as a number."""
@@ -101,23 +90,6 @@ class Windows:
         return [self.block.value(a + j, int(types[j])) for j in np.flatnonzero(types).tolist()]
 
 
-class Characters:
-    """Class, capital, digit and lower-case value of code points, made page by page."""
-
-    def __init__(self):
-        self.kind, self.flag, self.value = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint64)
-        self.made: set[int] = set()
-
-    def need(self, codes: np.ndarray) -> None:
-        for page in set(np.flatnonzero(np.bincount(codes >> _PAGE)).tolist()) - self.made:
-            signs = [chr(c) for c in range(page << _PAGE, (page + 1) << _PAGE)]
-            span = slice(page << _PAGE, (page + 1) << _PAGE)
-            self.kind[span] = [_LETTER if _WORD.match(c) else _DIGIT if _FIGURE.match(c) else _SIGN if c in _SIGNS else 0 for c in signs]
-            self.flag[span] = [_CAP * c.isupper() | _NUM * c.isdigit() | _STOP * (c in _STOPS) for c in signs]
-            self.value[span] = _mixed(np.array([ord(c.lower()[0]) + 1 for c in signs], np.uint64) * _MIX)
-            self.made.add(page)
-
-
 class Block:
     """Tokens of several texts, without sentence stops: kinds, literal hashes and running sums."""
 
@@ -131,26 +103,26 @@ class Block:
         # A point or comma between two digits is part of the number.
         inner = np.flatnonzero((codes == 0x2E) | (codes == 0x2C))
         inner = inner[(inner > 0) & (inner < n - 1)]
-        inner = inner[(group[inner - 1] == _DIGIT) & (group[inner + 1] == _DIGIT)]
-        group[inner] = _DIGIT
+        inner = inner[(group[inner - 1] == DIGIT) & (group[inner + 1] == DIGIT)]
+        group[inner] = DIGIT
         begin, end = group > 0, group > 0
-        same = (group[1:] == group[:-1]) & (group[1:] != _SIGN)
+        same = (group[1:] == group[:-1]) & (group[1:] != SIGN)
         begin[1:] &= ~same
         end[:-1] &= ~same
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         flags = maker.characters.flag[codes[starts]]
         up, down = maker.powers(max(n, len(starts)) + 1)
         run = self._sum(maker.characters.value[codes] * up[:n])
-        literal = _mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        literal = mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         at = np.minimum(np.searchsorted(maker.units, literal), len(maker.units) - 1)
         flags[maker.units[at] == literal] |= _UNIT
         before, after = np.roll(flags, 1), np.roll(flags, -1)
-        before[:1], after[-1:] = _STOP, 0
+        before[:1], after[-1:] = STOP, 0
         kinds = np.zeros(len(starts), np.uint8)
-        kinds[((flags & _CAP) != 0) & ((flags & _NUM) == 0) & ((before & _STOP) == 0)] = NAME
-        kinds[(flags & _NUM) != 0] = NUMBER
-        kinds[((flags & _UNIT) != 0) & (((before | after) & _NUM) != 0)] = UNIT
-        kept = np.flatnonzero((flags & _STOP) == 0)
+        kinds[((flags & CAPITAL) != 0) & ((flags & FIGURE) == 0) & ((before & STOP) == 0)] = NAME
+        kinds[(flags & FIGURE) != 0] = NUMBER
+        kinds[((flags & _UNIT) != 0) & (((before | after) & FIGURE) != 0)] = UNIT
+        kept = np.flatnonzero((flags & STOP) == 0)
         flags, self.kinds, literal, self.starts, self.ends = flags[kept], kinds[kept], literal[kept], starts[kept], ends[kept]
         sizes = np.array([len(t or "") + 1 for t in texts], np.int64)
         self.row = np.searchsorted(np.cumsum(sizes), self.starts, "right")
@@ -160,8 +132,8 @@ class Block:
         self.down = down
         rows = [np.where(x > 0, _KINDS[x], literal) for x in (self.kinds, self.bare)] + [literal]
         self.sums = [self._sum(r * up[: len(r)]) for r in rows]
-        capital = ((flags & _CAP) != 0) & ((flags & _NUM) == 0)
-        self.counts = [self._sum(x.astype(np.int64)) for x in (self.kinds == 0, self.bare == 0, capital, (flags & _NUM) == 0)]
+        capital = ((flags & CAPITAL) != 0) & ((flags & FIGURE) == 0)
+        self.counts = [self._sum(x.astype(np.int64)) for x in (self.kinds == 0, self.bare == 0, capital, (flags & FIGURE) == 0)]
 
     def value(self, token: int, kind: int) -> int:
         """A number for what stands under a placeholder."""
@@ -205,7 +177,7 @@ class Templates:
         codes = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
         self.characters.need(codes)
         up, _ = self.powers(len(codes))
-        return int(_mixed((self.characters.value[codes] * up[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))[0])
+        return int(mixed((self.characters.value[codes] * up[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))[0])
 
     def blocks(self, texts: list[str | None]):
         """(number of the first text, block) over all texts."""

@@ -4,25 +4,39 @@ import numpy as np
 import pytest
 
 from millrace.llm import queries, toxicity
+from millrace.llm.characters import Characters
 
 SF = "/root/testdata/sf0.1"
 
 
+def grams(words):
+    found = toxicity.Words(Characters(), words)
+    flat, owner = toxicity.word_grams(found.codes, found.starts, found.ends, found.hash)
+    return [flat[owner == k] for k in range(len(found.starts))]
+
+
 def test_misspelling_shares_grams():
-    flat, sizes = toxicity.grams_of(["horrible", "horribble", "zzz", ""])
-    cut = np.split(flat, np.cumsum(sizes)[:-1])
+    cut = grams(["horrible", "horribble", "zzz"])
     assert len(set(cut[0]) & set(cut[1])) >= 8 and not set(cut[0]) & set(cut[2])
-    again, _ = toxicity.grams_of(["horribble"])
-    assert set(again) == set(cut[1])
-    assert toxicity.grams_of([])[0].size == 0
+    assert set(grams(["Horribble"])[0]) == set(cut[1]) and len(cut[0]) == 8 + 7 + 6 + 1
+
 
+def test_words_are_distinct_runs_of_letters():
+    texts = ["The cat_the CAT 9lives", None, "", "Éaux. éaux! x²", "a" * 300_000 + " b"]
+    found = toxicity.Words(Characters(), texts)
+    cut = ["".join(map(chr, found.codes[s:e])) for s, e in zip(found.starts, found.ends, strict=True)]
+    assert cut[:3] == ["the", "cat", "lives"] and cut[3] == "éaux" and found.counts.tolist() == [3, 0, 0, 2, 2]
 
-def test_top_block_finds_a_short_run():
-    scores = np.zeros(500)
-    scores[250:255] = 5
-    best, at = toxicity.top_blocks(scores)
-    assert best > 1 and at <= 250 < at + toxicity.BLOCK_WORDS
-    assert toxicity.top_blocks(np.empty(0)) == (0.0, 0)
+
+def test_score_matches_a_plain_computation():
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    texts = ["one two three four five six seven", "one", None, "one one one two", "x" * 50_000 + " two"]
+    got = toxicity.Scorer(weights, 0.25).score(texts)
+    for text, value in zip(texts, got, strict=True):
+        words = list(dict.fromkeys((text or "").split()))
+        means = sorted((float(weights[grams([w])[0]].mean()) for w in words), reverse=True)[: toxicity.TOP_WORDS]
+        assert abs(value - 1 / (1 + np.exp(-(np.mean(means) if means else 0) - 0.25))) < 1e-6
 
 
 def test_one_class_or_none_is_constant():
@@ -52,3 +66,12 @@ def test_rows_and_odd_input(spark, result):
     rows = toxicity.classify(docs, labels).collect()
     assert len(rows) == 4 and len({r.score for r in rows}) == 1
     assert toxicity.classify(docs.where("false"), labels).count() == 0
+
+
+def test_clashing_columns_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 0.5), (2, "kind words", 0.1)], "doc_id long, text string, toxic_score double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model)

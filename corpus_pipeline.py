@@ -8,7 +8,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import decontam, jaccard, packing, pii, toxicity
 from millrace.session import written
@@ -21,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model is fitted on labelled documents."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,15 +90,18 @@ def with_curve(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def encode(batches):
         coder = tokens.encoder(vocabulary)
-        for batch in batches:
-            key, text = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.blocks(text):
-                raw = [x + coder.end for x in coder.encode(text[a:b])]
-                curve = curve_keys(np.stack([bag(np.frombuffer(x, coder.dtype)) for x in raw]))
-                yield pa.RecordBatch.from_arrays(
-                    [key.slice(a, b - a), pa.array(curve), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([coder.dtype.itemsize] * (b - a), pa.int32()), pa.array(raw, pa.binary())],
-                    names=["doc_id", "curve", "digest", "width", "ids"],
-                )
+        try:
+            for batch in batches:
+                key, text = batch.column(0), batch.column(1).to_pylist()
+                for a, b in tokens.blocks(text):
+                    raw = [x + coder.end for x in coder.encode(text[a:b])]
+                    curve = curve_keys(np.stack([bag(np.frombuffer(x, coder.dtype)) for x in raw]))
+                    yield pa.RecordBatch.from_arrays(
+                        [key.slice(a, b - a), pa.array(curve), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([coder.dtype.itemsize] * (b - a), pa.int32()), pa.array(raw, pa.binary())],
+                        names=["doc_id", "curve", "digest", "width", "ids"],
+                    )
+        finally:
+            coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, curve long, digest long, width int, ids binary")
 

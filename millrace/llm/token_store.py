@@ -98,16 +98,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, planes
             values = (shard, segment, first, len(ids), keys, [len(x) // width for x in held], width, planes, block_ids, ends, payload)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
-        for batch in batches:
-            key, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.blocks(text):
-                for k, ids in zip(key[a:b], coder.encode(text[a:b]), strict=True):
-                    keys.append(k)
-                    held.append(ids + coder.end)
-                    size += len(held[-1]) // width
-                    if size >= segment_ids or len(keys) >= SEGMENT_DOCS:
-                        yield row()
-                        segment, first, keys, held, size = segment + 1, first + size, [], [], 0
+        try:
+            for batch in batches:
+                key, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in tokens.blocks(text):
+                    for k, ids in zip(key[a:b], coder.encode(text[a:b]), strict=True):
+                        keys.append(k)
+                        held.append(ids + coder.end)
+                        size += len(held[-1]) // width
+                        if size >= segment_ids or len(keys) >= SEGMENT_DOCS:
+                            yield row()
+                            segment, first, keys, held, size = segment + 1, first + size, [], [], 0
+        finally:
+            coder.forget()
         if keys:
             yield row()
 

@@ -3,9 +3,10 @@
 The public ``tokenizers`` library does the encoding. Its word-level BPE drops
 white space and never merges across the pieces its own pattern cuts, so the ids
 of a text are the ids of its pieces in order; each distinct piece is encoded
-once per worker and remembered in a bounded cache. Pieces are only cut here in
+once per task and remembered in a bounded cache. Pieces are only cut here in
 text made of characters whose class is beyond doubt; every other blank-free run
-goes to the library as it stands.
+goes to the library as it stands. A vocabulary file whose library output differs
+from that on ``PROBES`` gets every text whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ \t\n\r
 _DOUBTFUL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff–—‘’“”…€]|<\|")
 _BLANK = re.compile(r"[ \t\n\r]+")
 
+#: Texts on which cut pieces must give the ids of the whole, or nothing is cut.
+PROBES = (
+    "It's the 1st of May, 2024: we'll pay 3,141.59 (or more) -- don't you THINK so?!\nYes;\tno...  x_y = a/b*c",
+    "Àéîõü ÑANDÚ straße ª² ¾ «oui» – “a’b” … 5€ §7 o'clock rock'n'roll ''s 't're",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaa 00001111 !!!???### internationalisation Donaudampfschifffahrt\r\n end",
+)
+
 
 def default_path() -> str:
     """The vocabulary file of the public tokenizers package."""
@@ -52,6 +60,16 @@ class PieceEncoder:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.cache: dict[str, bytes] = {}
+        self.whole = False
+        self.whole = any(self.encode([t])[0] != self._whole([t])[0] for t in PROBES)
+        self.forget()
+
+    def forget(self) -> None:
+        """Free the cache; a worker outlives its tasks."""
+        self.cache = {}
+
+    def _whole(self, texts: list[str | None]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -73,6 +91,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, a null counting as empty; the end id is not appended."""
+        if self.whole:
+            return self._whole(texts)
         cut, whole = [], set()
         for text in texts:
             if not text:
@@ -104,7 +124,7 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file."""
+    """One encoder per worker process and vocabulary file; who takes it calls ``forget`` at the end of the task."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

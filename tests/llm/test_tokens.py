@@ -98,3 +98,15 @@ def test_repeated_and_null_keys(spark, plain, tmp_path):
     assert sum(p.length for p in packing.pack(df).collect()) == 2 * 3 + 1
     token_store.write_store(df, f"file://{tmp_path}/ties")
     assert sorted((r.start, r.n_tokens) for r in token_store.read_store(spark, f"file://{tmp_path}/ties").collect()) == [(0, 2), (2, 1), (3, 2), (5, 2)]
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[UNK]": 0, "It's": 1, "the": 2}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    coder = tokens.PieceEncoder(path)
+    assert coder.whole and np.frombuffer(coder.encode(["It's the It's", None])[0], coder.dtype).tolist() == [1, 2, 1]
+    assert not tokens.PieceEncoder(tokens.default_path()).whole

@@ -5,9 +5,12 @@ Units are all lines that are not blank, sentences inside lines of at least
 shortest of that length from each sentence on and the shortest up to each, so
 every sentence of a repeated passage counts, however short it is.
 A unit is normalised (case folded, white space collapsed, outer punctuation
-dropped) and digested to 128 bits. Digests are grouped over all documents, the
-occurrence that ranks first (smallest ``doc_id``, then text, then offset) is
-kept, and every other one is removed. Offsets are code points of the original
+dropped) and digested to 96 bits. Digests are grouped over all documents, the
+occurrence that ranks first (smallest ``doc_id``, then text hash, then offset) is
+kept, and the others are repeats. Repeats with nothing but white space between
+them make a stretch; stretches of at least ``MIN_STRETCH`` words are removed. A
+lone short line or sentence recurs in documents that share nothing else and
+stays (``min_stretch=1`` removes it). Offsets are code points of the original
 text, so what is left can always be traced back.
 
 Scale. One row per unit; grouping combines on the map side and yields one row
@@ -16,22 +19,28 @@ plain shuffles that adaptive execution may split, so a line in a third of all
 documents is no task's burden. Removed spans meet their text by document.
 
 Defined cases: a null text counts as empty and keeps the digest of nothing;
-rows equal in ``doc_id`` and text are one document, so copies of a row are
-treated alike; rows that share only ``doc_id`` are ranked by a hash of the
-text; null ids rank first; an empty table gives no rows; other columns are
-ignored.
+texts of any length are read whole, in rows of bounded batches; rows equal in
+``doc_id`` and text are one document, so copies of a row are treated alike; rows
+that share only ``doc_id`` are ranked by a hash of the text; null ids rank
+first; an empty table gives no rows; other columns are kept, and where one is
+called ``kept`` or ``removed`` the new column has the next free name.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import fresh
+
 MIN_WORDS = 10
+MIN_STRETCH = 20
+BATCH_UNITS = 50_000
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*")
 _EDGE = " \t\r\f\v.,;:!?\"'()[]{}-*#>"
@@ -76,67 +85,76 @@ def units(text: str | None, min_words: int = MIN_WORDS):
 
 
 def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit: doc_id, text hash, start, end and a 128-bit digest."""
+    """One row per unit: doc_id, text hash, start, end and a 96-bit digest."""
+    names = ["doc_id", "mark", "start", "end", "high", "low"]
 
     def run(batches):
         for batch in batches:
-            keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = ([], [], [], [], [], [])
-            for key, mark, text in zip(keys, hashes, batch.column(2).to_pylist(), strict=True):
+            keys, marks = batch.column(0), batch.column(1)
+            row, starts, ends, raw = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 for start, end, unit in units(text, min_words):
-                    n = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "replace"))
-                    for column, value in zip(out, (key, mark, start, end, (n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)), strict=True):
-                        column.append(value)
-                if len(out[0]) > 50_000:
-                    yield rows(out)
-                    out = ([], [], [], [], [], [])
-            yield rows(out)
+                    row.append(k)
+                    starts.append(start)
+                    ends.append(end)
+                    raw.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "replace")))
+                    if len(row) >= BATCH_UNITS:
+                        yield rows(keys, marks, row, starts, ends, raw)
+                        row, starts, ends, raw = [], [], [], []
+            yield rows(keys, marks, row, starts, ends, raw)
+
+    def rows(keys, marks, row, starts, ends, raw):
+        digest = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+        at = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([keys.take(at), marks.take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1].astype(np.int32))], names=names)
+
+    # The text hash only tells rows of one id apart, so 32 bits do.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark int, start int, end int, high long, low int")
 
-    def rows(out):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "mark", "start", "end", "high", "low"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, start int, end int, high long, low long")
+def text_mark():
+    return F.hash("text")
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to remove: doc_id, mark, start, end; every occurrence of a repeated unit but the first."""
+    """Spans that repeat: doc_id, mark, start, end; every occurrence of a repeated unit but the first."""
     found = digests(docs, min_words)
     place = F.struct("doc_id", "mark", "start", "end")
     first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "end")
 
 
-def keep(text: str | None, spans) -> tuple[str, list[tuple[int, int]]]:
-    """What is left of a text, and the merged spans that went."""
-    merged: list[list[int]] = []
+def keep(text: str | None, spans, min_stretch: int = MIN_STRETCH) -> tuple[str, list[tuple[int, int]]]:
+    """What is left of a text, and the stretches that went."""
+    text, merged = text or "", []
     for s, e in sorted(spans or ()):
-        if merged and s <= merged[-1][1]:
+        if merged and (s <= merged[-1][1] or not text[merged[-1][1] : s].strip()):
             merged[-1][1] = max(e, merged[-1][1])
         else:
             merged.append([s, e])
-    text, out, at = text or "", [], 0
-    for s, e in merged:
+    gone = [(s, e) for s, e in merged if len(text[s:e].split()) >= min_stretch]
+    out, at = [], 0
+    for s, e in gone:
         out.append(text[at:s])
         at = e
-    return "".join([*out, text[at:]]), [tuple(x) for x in merged]
+    return "".join([*out, text[at:]]), gone
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs``, and ``kept`` (what is left of the text) and ``removed`` (array of start and end)."""
-    gone = repeated(docs, min_words).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_spans")
-    left = docs.withColumn("_text_mark", F.xxhash64("text"))
-    joined = left.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left").drop("_id", "_mark", "_text_mark")
-    shape = docs.withColumn("kept", F.lit("")).withColumn("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")).schema
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_stretch: int = MIN_STRETCH) -> DataFrame:
+    """All columns of ``docs``, and two more at the end: ``kept`` (what is left of the text) and ``removed`` (array of start and end)."""
+    key, mark, own, spans = (fresh(docs, x) for x in ("_id", "_mark", "_own", "_spans"))
+    kept, removed = fresh(docs, "kept"), fresh(docs, "removed")
+    gone = repeated(docs, min_words).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).toDF(key, mark, spans)
+    joined = docs.withColumn(own, text_mark()).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)), "left").drop(key, mark, own)
+    shape = docs.withColumn(kept, F.lit("")).withColumn(removed, F.expr("cast(array() as array<struct<start:int,end:int>>)")).schema
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            done = [keep(t, [(x["start"], x["end"]) for x in s or ()]) for t, s in zip(texts, spans, strict=True)]
-            plain = batch.drop_columns(["_spans"])
-            yield plain.append_column("kept", pa.array([k for k, _ in done], pa.string())).append_column("removed", pa.array([[{"start": s, "end": e} for s, e in r] for _, r in done], kind))
+            found = batch.column(batch.num_columns - 1).to_pylist()
+            done = [keep(t, [(x["start"], x["end"]) for x in s or ()], min_stretch) for t, s in zip(batch.column(at).to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([k for k, _ in done], pa.string()), pa.array([[{"start": s, "end": e} for s, e in r] for _, r in done], kind)], names=shape.names)
 
     return joined.mapInArrow(run, shape)
 

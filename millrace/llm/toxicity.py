@@ -296,9 +296,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
-    """All columns of ``docs`` and ``column``, whose name must be new."""
-    if fresh(docs, column) != column:
-        raise ValueError(f"the table has a column {column}")
+    """All columns of ``docs`` and, at the end, the score: called ``column``, or the next free name where that is taken."""
+    column = fresh(docs, column)
     grams, bias = model.gram_scores().astype(np.float32), model.odds_bias()
     shared = docs.sparkSession.sparkContext.broadcast(grams)  # BUCKETS floats
     at = [c.lower() for c in docs.columns].index("text")

@@ -10,17 +10,21 @@ precision; only true links are ever counted, each once.
 Scale. Equal vectors are collapsed first, so a vector that a third of all rows
 share is compared once and counted with its multiplicity. What is shuffled for
 the search are cell numbers; vectors travel to cells that hold at least two. A
-crowded cell is cut into blocks that meet pairwise in tasks of bounded size, and
-such tasks return one count and one neighbour per vector, never the pairs. The
-number of lattice blocks and tables follows the number of rows, so cells stay
-small, and tables are added with blocks so that no setting finds a smaller share
-of the links than the first.
-
-Defined cases: vectors that are null, empty, zero, of another length than most,
-or hold null or non-finite components link with nothing; rows that repeat
-``vec_id`` are one vector if equal (and, if not, each links under that id); null
-ids get a row without links; an empty table gives no rows; labels and other
-columns are ignored.
+crowded cell is cut into blocks that meet pairwise in tasks of bounded size, as
+counting links takes every pair of a crowd; such tasks return one count and one
+neighbour per vector, never the pairs. Small cells are compared many at a time.
+The number of lattice blocks and tables follows the number of rows, so cells
+stay small, and tables are added with blocks so that no setting finds a smaller
+share of the links than the first.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing; vectors of different lengths have no cosine, those
+of one length are searched among themselves, whatever its share of the rows; a
+cosine of exactly the threshold in double precision links, and every pair is
+judged by one formula, so ties fall alike in every table; rows that repeat
+``vec_id`` are one vector if equal (and, if not, each has its own links); null
+ids get a row without links; long vectors are compared in full; an empty table
+gives no rows; labels and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.session import written
+from millrace.session import scratch, written
 
 THRESHOLD = 0.9
 SCALE = 1.0
 PROBES = 4
-BLOCK_ROWS = 1_024
+BLOCK_ROWS = 4_096
+#: Rows of a crowded cell that are compared with its other rows at once.
+STRIP_ROWS = 256
+#: Cells of up to so many rows are compared together with others.
+SMALL_CELL = 64
+#: Pairs of such cells that are held at once.
+PAIRS = 50_000
 SEED = 8
 #: Up to so many vectors: lattice blocks and tables, so many that pairs are found no less often than by the first setting.
 SIZES = ((20_000, 2, 5), (2_000_000, 3, 14), (200_000_000, 4, 32), (None, 5, 80))
@@ -99,33 +109,51 @@ class Lattice:
         return np.stack(out, 1)
 
 
-def links_once(lattice: Lattice, unit: np.ndarray, left: np.ndarray, right: np.ndarray, table: int, cell: int) -> np.ndarray:
-    """Which linked pairs (row numbers) this cell of this table is to count: no earlier table, and no lower cell of this one, finds them."""
+def links_once(lattice: Lattice, unit: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which linked pairs (row numbers) their cell of their table is to count: no earlier table, and no lower cell of this one, finds them."""
     rows, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = inverse[: len(left)], inverse[len(left) :]
     mine = np.ones(len(left), bool)
-    for t in range(table + 1):
+    for t in range(int(table.max(initial=-1)) + 1):
         cells = lattice.cells(unit[rows], t)
         home = cells[:, 0]
         same = home[a] == home[b]
         forth = (cells[a, 1:] == home[b][:, None]).any(1)
         back = (cells[b, 1:] == home[a][:, None]).any(1)
-        if t < table:
-            mine &= ~(same | forth | back)
-        else:
-            lowest = np.where(forth & back, np.minimum(home[a], home[b]), np.where(forth, home[b], home[a]))
-            mine &= np.where(same, home[a] == cell, lowest == cell)
+        lowest = np.where(forth & back, np.minimum(home[a], home[b]), np.where(forth, home[b], home[a]))
+        here = np.where(same, home[a] == cell, lowest == cell)
+        mine &= np.where(t < table, ~(same | forth | back), (t > table) | here)
     return mine
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, "<f8") for r in raw])
+def _unit(raw: pa.Array, width: int) -> np.ndarray:
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    at = np.frombuffer(raw.buffers()[1], np.int32, 1, raw.offset * 4)[0]
+    x = np.frombuffer(raw.buffers()[2], "<f8", len(raw) * width, int(at)).reshape(len(raw), width)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(unit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", unit[left], unit[right])
+
+
+def small_pairs(starts: np.ndarray, sizes: np.ndarray):
+    """Pairs (row numbers) of all rows of the same cell, in runs of bounded length."""
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, later = np.repeat(starts, sizes) + place, np.repeat(sizes, sizes) - 1 - place
+    ends = np.cumsum(later)
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        n = later[i:j]
+        left = np.repeat(row[i:j], n)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        i = j
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """One row per distinct usable vector: rep (its smallest id), copies, raw (doubles, little-endian)."""
+    """One row per distinct usable vector: rep (a number, as ids may repeat), least (its smallest id), copies, raw (doubles, little-endian)."""
     sound = "vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
 
     def flatten(batches):
@@ -137,100 +165,128 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     # Adding zero makes the two zeros of a float one.
     usable = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
     flat = usable.mapInArrow(flatten, "vec_id long, raw binary").distinct()
-    return flat.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    distinct = flat.groupBy("raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    return distinct.withColumn("rep", F.monotonically_increasing_id())
 
 
-def _runs(batches, keys: int):
-    """Tables of whole groups from batches sorted by their first ``keys`` columns."""
-    held = None
+def _runs(batches):
+    """Tables of whole cells of one width, from batches sorted by their first five columns, of which width is the first."""
+    held: list = []
     for batch in batches:
-        batch = pa.Table.from_batches([batch])
-        held = batch if held is None else pa.concat_tables([held, batch])
-        if not held.num_rows:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = np.array([batch.column(i)[batch.num_rows - 1].as_py() for i in range(5)])
+        first = np.array([batch.column(i)[0].as_py() for i in range(5)])
+        if len(held) > 1 and (first == last).all() and sum(b.num_rows for b in held) < 4 * BLOCK_ROWS:
             continue
-        columns = [held.column(i).to_numpy() for i in range(keys)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        starts = [0, *change.tolist()]
-        for s, e in zip(starts, starts[1:], strict=False):
-            yield held.slice(s, e - s)
-        held = held.slice(starts[-1]).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held
+        whole = pa.Table.from_batches(held).combine_chunks()
+        columns = [whole.column(i).to_numpy() for i in range(5)]
+        open_at = int(np.argmax(np.all([c == v for c, v in zip(columns, last, strict=True)], axis=0)))
+        yield from _by_width(whole.slice(0, open_at), columns[0][:open_at])
+        held = whole.slice(open_at).to_batches()
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield from _by_width(whole, whole.column(0).to_numpy())
+
+
+def _by_width(table: pa.Table, widths: np.ndarray):
+    cuts = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(widths)]
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        if e > s:
+            yield int(widths[s]), table.slice(s, e - s)
+
+
+class Lattices:
+    """One lattice per vector length; those of the last few lengths are kept."""
+
+    def __init__(self, blocks: int, tables: int):
+        self.blocks, self.tables, self.made = blocks, tables, {}
+
+    def __getitem__(self, width: int) -> Lattice:
+        if width not in self.made:
+            if len(self.made) >= 4:
+                self.made = {}
+            self.made[width] = Lattice(width, self.blocks, self.tables)
+        return self.made[width]
 
 
-def near_links(reps: DataFrame, threshold: float = THRESHOLD, sizes=SIZES) -> DataFrame:
+def near_links(reps: DataFrame, threshold: float = THRESHOLD, sizes=SIZES, folder: str | None = None) -> DataFrame:
     """Per distinct vector and task: rep, links (weighted by copies) and hub, a vector it is connected to."""
-    n, width = reps.count(), reps.select((F.length("raw") / 8).cast("int").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(1).collect()
-    if not width:
-        return reps.sparkSession.createDataFrame([], "rep long, links long, hub long")
-    width = width[0]["w"]
+    n = reps.count()
     blocks, tables = next((b, t) for most, b, t in sizes if most is None or n <= most)
-    usable = reps.where(F.length("raw") == 8 * width)
 
     def locate(batches):
-        lattice = Lattice(width, blocks, tables)
+        lattices = Lattices(blocks, tables)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit, ids = _unit(batch.column(1).to_pylist()), batch.column(0).to_numpy()
-            for t in range(tables):
-                cells = lattice.cells(unit, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(cells.size, t, np.int32)), pa.array(cells.ravel()), pa.array(np.repeat(ids, cells.shape[1])), pa.array(np.tile(np.arange(cells.shape[1]) == 0, len(ids)))], names=["table", "cell", "rep", "home"]
-                )
-
-    found = written(usable.select("rep", "raw").mapInArrow(locate, "table int, cell long, rep long, home boolean"), "lattice-cells")
-    crowds = found.groupBy("table", "cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1")
+            lengths = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64) // 8
+            for width in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == width))
+                unit, ids = _unit(part.column(1), width), part.column(0).to_numpy()
+                for t in range(tables):
+                    cells = lattices[width].cells(unit, t)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(cells.size, width, np.int32)), pa.array(np.full(cells.size, t, np.int32)), pa.array(cells.ravel()), pa.array(np.repeat(ids, cells.shape[1])), pa.array(np.tile(np.arange(cells.shape[1]) == 0, len(ids)))],
+                        names=["width", "table", "cell", "rep", "home"],
+                    )
+
+    found = written(reps.select("rep", "raw").mapInArrow(locate, "width int, table int, cell long, rep long, home boolean"), "cells", folder=folder)
+    where = ["width", "table", "cell"]
+    crowds = found.groupBy(*where).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1")
     parts = F.ceil(F.col("all") / F.lit(BLOCK_ROWS)).cast("int")
-    placed = found.join(crowds.select("table", "cell", parts.alias("parts")), ["table", "cell"])
+    placed = found.join(crowds.select(*where, parts.alias("parts")), where)
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = placed.withColumn("mine", mine).withColumn("other", other)
-    placed = placed.select("table", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "rep", "home", "mine")
-    full = placed.join(usable, "rep").select("table", "cell", "low", "high", "rep", "home", "mine", "copies", "raw")
+    placed = placed.select(*where, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "rep", "home", "mine")
+    full = placed.join(reps.select("rep", "copies", "raw"), "rep").select(*where, "low", "high", "rep", "home", "mine", "copies", "raw")
 
     def compare(batches):
-        lattice = Lattice(width, blocks, tables)
-        out: list[list] = [[], [], []]
-        for group in _runs(batches, 4):
-            table, cell, low, high = (group.column(i)[0].as_py() for i in range(4))
-            ids, home, part, copies = (group.column(i).to_numpy() for i in range(4, 8))
-            if len(ids) < 2 or not home.any():
-                continue
-            unit = _unit(group.column(8).to_pylist())
-            close = unit @ unit.T >= threshold
-            # Two that only probe do not meet here; blocks meet once, a block with itself in one task.
-            close &= (home[:, None] | home[None, :]) & (ids[:, None] < ids[None, :])
-            if low != high:
-                close &= part[:, None] != part[None, :]
-            left, right = np.nonzero(close)
-            if not len(left):
-                continue
-            now = links_once(lattice, unit, left, right, table, cell)
-            left, right = left[now], right[now]
-            count = np.bincount(left, weights=copies[right], minlength=len(ids)) + np.bincount(right, weights=copies[left], minlength=len(ids))
-            hub = np.arange(len(ids))
-            while True:  # the smallest row number that a row reaches here
-                was = hub.copy()
-                np.minimum.at(hub, left, hub[right])
-                np.minimum.at(hub, right, hub[left])
-                hub = hub[hub]
-                if (hub == was).all():
-                    break
-            at = np.flatnonzero(count)
-            for column, values in zip(out, (ids[at], count[at].astype(np.int64), ids[hub[at]]), strict=True):
-                column.append(values)
-            if len(out[0]) > 2_000:
-                yield rows(out)
-                out = [[], [], []]
-        if out[0]:
-            yield rows(out)
-
-    def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["rep", "links", "hub"])
-
-    keys = ["table", "cell", "low", "high"]
-    return written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "rep long, links long, hub long"), "lattice-links")
+        lattices = Lattices(blocks, tables)
+        for width, run in _runs(batches):
+            columns = [run.column(i).to_numpy() for i in range(9)]
+            _, table, cell, low, high, ids, home, part, copies = columns
+            unit, lattice = _unit(run.column(9), width), lattices[width]
+            starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[1:5]], axis=0)) + 1])
+            counts = np.diff(np.append(starts, len(ids)))
+
+            def settled(left, right):
+                """Links of these pairs: rows with their counts and hubs."""
+                # Two that only probe do not meet here; blocks meet once, a block with itself in one task.
+                met = (home[left] | home[right]) & (ids[left] != ids[right]) & ((low[left] == high[left]) | (part[left] != part[right]))
+                left, right = left[met], right[met]
+                # In order of ids, so that a pair's cosine is the same number everywhere.
+                left, right = np.where(ids[left] < ids[right], left, right), np.where(ids[left] < ids[right], right, left)
+                good = _cosines(unit, left, right) >= threshold
+                left, right = left[good], right[good]
+                if not len(left):
+                    return
+                now = links_once(lattice, unit, left, right, table[left], cell[left])
+                left, right = left[now], right[now]
+                rows, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
+                a, b = inverse[: len(left)], inverse[len(left) :]
+                count = np.bincount(a, copies[right], len(rows)) + np.bincount(b, copies[left], len(rows))
+                hub = np.arange(len(rows))
+                while True:  # the smallest row number that a row reaches here
+                    was = hub.copy()
+                    np.minimum.at(hub, a, hub[b])
+                    np.minimum.at(hub, b, hub[a])
+                    hub = hub[hub]
+                    if (hub == was).all():
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[rows], count.astype(np.int64), ids[rows[hub]])], names=["rep", "links", "hub"])
+
+            small = (counts > 1) & (counts <= SMALL_CELL)
+            for left, right in small_pairs(starts[small], counts[small]):
+                yield from settled(left, right)
+            for s, c in zip(starts[counts > SMALL_CELL].tolist(), counts[counts > SMALL_CELL].tolist(), strict=True):
+                for i in range(s, s + c, STRIP_ROWS):
+                    near = unit[i : min(i + STRIP_ROWS, s + c)] @ unit[i : s + c].T >= threshold - 1e-9
+                    a, b = np.nonzero(near)
+                    yield from settled(*(x[a < b] + i for x in (a, b)))
+
+    keys = [*where, "low", "high"]
+    return written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "rep long, links long, hub long"), "links", folder=folder)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sizes=SIZES) -> DataFrame:
@@ -241,11 +297,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sizes=SIZE
             raw = [None if x is None else np.array([np.nan if v is None else v for v in x], "<f8").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    reps = written(distinct_vectors(vectors), "lattice-vectors")
-    links = near_links(reps, threshold, sizes)
-    parts = connected_components(links, "rep", "hub").toDF("rep", "component_id")
-    totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = reps.join(totals, "rep", "left").join(parts, "rep", "left").select("raw", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component_id", "rep").alias("_component"))
+    with scratch(vectors.sparkSession, "lattice") as folder:
+        reps = written(distinct_vectors(vectors), "vectors", folder=folder)
+        links = near_links(reps, threshold, sizes, folder)
+        parts = connected_components(links, "rep", "hub", folder).toDF("rep", "part")
+        totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
+        facts = reps.join(totals, "rep", "left").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        named = facts.groupBy("part").agg(F.min("least").alias("_component"))
+        facts = written(facts.join(named, "part").select("raw", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), "_component"), "lattice")
     zeros = vectors.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"))
     rows = zeros.mapInArrow(flatten, "vec_id long, raw binary")
     found = rows.join(facts, "raw", "left")

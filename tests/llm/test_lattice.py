@@ -48,9 +48,11 @@ def test_decoding_is_nearest():
     assert all((gap <= ((x - at - f) ** 2).sum(1) + 1e-12).all() for f in found)
 
 
-@pytest.mark.parametrize("rows", [1_024, 4])
-def test_matches_brute_force_also_in_blocks(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows, small", [(4_096, 64), (4, 64), (4_096, 1), (3, 2)])
+def test_matches_brute_force_also_in_blocks(spark, monkeypatch, rows, small):
     monkeypatch.setattr(L, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(L, "SMALL_CELL", small)
+    monkeypatch.setattr(L, "PAIRS", 7)
     data = [*planted(), (2001, None), (2002, []), (2003, [0.0] * 16), (2004, [float("nan")] * 16), (2005, [None] + [1.0] * 15), (2006, [float("inf")] * 16)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(frame(spark, data), sizes=((None, 1, 16),)).collect()}
     assert got == brute(data)
@@ -65,6 +67,18 @@ def test_recall_on_the_table(spark):
     assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
 
 
+def test_every_length_is_searched(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [1.0]), (7, [2.0]), (8, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in L.near_duplicates(frame(spark, rows), sizes=((None, 1, 16),)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_ties_at_the_threshold_and_long_vectors(spark):
+    rows = [(1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [1.0] + [0.0] * 19_999), (4, [1.0, 1e-3] + [0.0] * 19_998)]
+    got = {r.vec_id: r.n_links for r in L.near_duplicates(frame(spark, rows), threshold=0.96, sizes=((None, 1, 16),)).collect()}
+    assert got[1] == got[2] == int(np.array([0.6, 0.8]) @ np.array([0.8, 0.6]) >= 0.96) and got[3] == got[4] == 1
+
+
 def test_empty_and_null_ids(spark):
     df = frame(spark, [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])])
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in L.near_duplicates(df).collect()) == [(0, 0, 0), (1, 0, 1), (1, 0, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -67,6 +68,15 @@ def scratch(spark: SparkSession, label: str):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark's cleaner deletes the shuffle files of finished steps.
+
+    Worth its fraction of a second after a step that shuffled much and whose result is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first numbered form of it that is no column of ``df``."""
     taken, found, k = {c.lower() for c in df.columns}, name, 0

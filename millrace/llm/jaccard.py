@@ -47,13 +47,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.shingles import WORDS, shingle_sets
-from millrace.session import fresh, scratch, written
+from millrace.session import fresh, release, scratch, written
 
 PERCENT = 80
 #: Sixteenths of the hash space in which unique shingles are counted for all classes.
 SHARE = 5
 #: Shingles of a block's classes together; a class that holds more is a block of its own.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 17
 #: Classes that a task remembers to have seen already.
 SEEN = 200_000
 #: Cost of a long list in the division of lists, as in the published rule.
@@ -106,10 +106,12 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def linkable_classes(sets: DataFrame) -> DataFrame:
     """Classes that are not ruled out by unique shingles: high, low, n, and the smallest row (doc_id, mark) of each."""
     classes = sets.where("n > 0").groupBy("high", "low").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("row"))
-    holders = [f("high").alias(f"{f.__name__}_high") for f in (F.min, F.max)] + [f("low").alias(f"{f.__name__}_low") for f in (F.min, F.max)]
-    lonely = sets.select("high", "low", F.explode("part").alias("shingle")).groupBy("shingle").agg(*holders).where("min_high = max_high and min_low = max_low")
-    counts = lonely.groupBy(F.col("min_high").alias("high"), F.col("min_low").alias("low")).agg(F.count("*").alias("lonely"))
-    left = classes.join(counts, ["high", "low"], "left").where(F.coalesce("lonely", F.lit(0)) <= F.col("n") - _least_shared("n"))
+    # Half a digest tells the holders of one shingle apart; classes that share it with another class are never ruled out.
+    holders = sets.select("high", F.explode("part").alias("shingle")).groupBy("shingle").agg(F.min("high").alias("high"), F.max("high").alias("last"))
+    counts = holders.where("high = last").groupBy("high").agg(F.count("*").alias("lonely"))
+    alike = classes.groupBy("high").agg(F.count("*").alias("alike"))
+    facts = counts.join(alike, "high").where("alike = 1").select("high", "lonely")
+    left = classes.join(facts, "high", "left").where(F.coalesce("lonely", F.lit(0)) <= F.col("n") - _least_shared("n"))
     return left.select("high", "low", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark"), F.monotonically_increasing_id().alias("class"))
 
 
@@ -125,7 +127,8 @@ def class_shingles(docs: DataFrame, classes: DataFrame, words: int = WORDS) -> D
             yield made.filter(pa.array(good, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    wanted = classes.toDF("high", "low", "n", "_doc_id", "_mark", "class")
+    # By merge at every size: a table of classes grows with the corpus.
+    wanted = classes.toDF("high", "low", "n", "_doc_id", "_mark", "class").hint("merge")
     rows = texts.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("class", "high", "low", "n", "text")
     return rows.mapInArrow(run, "class long, n long, shingles array<long>")
 
@@ -295,10 +298,14 @@ def class_links(core: DataFrame, groups: DataFrame, folder: str, block: int = BL
 
 def _joined(docs: DataFrame, folder: str, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and (high, low, part) of the classes with links."""
+    spark = docs.sparkSession
     sets = written(document_sets(docs), "sets", folder=folder)
     classes = written(linkable_classes(sets), "classes", folder=folder)
+    release(spark)
     every = written(class_shingles(docs, classes), "shingles", folder=folder)
+    release(spark)
     core = written(cores(every, folder), "core", folder=folder)
+    release(spark)
     links = class_links(core, candidate_groups(core, folder), folder, block)
     parts = connected_components(links, folder=folder).toDF("class", "part")
     return sets, classes.select("high", "low", "class").join(parts, "class").select("high", "low", "part")
@@ -343,7 +350,7 @@ def keep_first(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     key, mark, own, place = names
     marked = docs.withColumn(own, F.xxhash64("text"))
     worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    kept = marked.where(worded).join(first.toDF(key, mark), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)))
+    kept = marked.where(worded).join(first.toDF(key, mark).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)))
     others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c.lower() not in ("doc_id", "text")]
     alone = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(*(others or [F.lit(0)])))).where(F.col(place) == 1)
     return alone.select(docs.columns).unionByName(docs.where(~worded))

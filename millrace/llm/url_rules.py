@@ -1,19 +1,21 @@
 """URL filter: listed rules first, then association rules mined from labels.
 
 Spark's FP-growth mines combinations of URL tokens that go with a bad label;
-rules are pruned by support, confidence and lift, and at most ``MAX_RULES`` of
-the most confident stay. They match through an inverted index (token to rules)
-that is broadcast: its size is bound by ``MAX_RULES`` and the few tokens of a
-URL. Everything is DataFrame and SQL functions.
+rules are pruned by support, confidence and lift, and a rule goes when part of
+its tokens makes a rule that is at least as confident, which judges every URL
+the same way. All others stay. They match through an inverted index (token to
+rules), joined by token. Everything is DataFrame and SQL functions.
 
-Scale. Mining sees labelled pages only. Matching explodes the tokens of each
-distinct URL against the broadcast index, so only tokens of rules survive; what
-returns to the pages is one row per blocked URL, by a join that adaptive
-execution may split when one URL holds a third of all rows.
+Scale. Mining sees labelled pages only, and support bounds the number of rules.
+Matching explodes the tokens of each distinct URL against the index, so only
+tokens of rules survive; what returns to the pages is one row per blocked URL,
+by a join that adaptive execution may split when one URL holds a third of all
+rows.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits
 no rule and is allowed; a listed rule beats every mined one; repeated rows are
-judged alike; labels that are null or lack a page are skipped; without labelled
+judged alike, and of equally confident rules the greatest in text order is named;
+a URL of any length is read whole; labels that are null or lack a page are skipped; without labelled
 pages nothing is mined; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,7 +33,6 @@ MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
 #: Items in more than this share of the labelled pages say nothing and multiply the item sets.
 MAX_SHARE = 0.6
-MAX_RULES = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,27 +73,36 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~x.rlike(r"=\d*$")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_rules: int = MAX_RULES) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) whose tokens point to a bad label."""
     bad = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("_bad"))
     seen = pages.select(F.col("page_id").alias("doc_id"), url_tokens(F.col("url")).alias("tokens")).where("size(tokens) > 0").join(bad, "doc_id")
     baskets = seen.select(F.when(F.col("_bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     n = baskets.count()
     common = baskets.select(F.explode("items").alias("item")).groupBy("item").count().where((F.col("count") > MAX_SHARE * n) & (F.col("item") != BAD))
-    # Items above that share: a URL holds few such, so this list is as short as a URL.
-    drop = [r["item"] for r in common.select("item").limit(100).collect()]
+    # Shares add up to the mean number of items of a page, so fewer than that over MAX_SHARE can be above it.
+    drop = [r["item"] for r in common.select("item").collect()]
     kept = baskets.select(F.array_except("items", F.array(*[F.lit(x) for x in drop]).cast("array<string>")).alias("items")).where("size(items) > 0")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(kept)
     good = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-    best = good.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(max_rules)
-    return best.select(F.sha2(F.array_join("tokens", "\n"), 256).alias("rule_id"), "tokens", "confidence", "support")
+    rules = good.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    rules = rules.withColumn("rule_id", F.sha2(F.array_join("tokens", "\n"), 256))
+    return without_redundant(rules).select("rule_id", "tokens", "confidence", "support")
+
+
+def without_redundant(rules: DataFrame) -> DataFrame:
+    """Rules of which no smaller part is a rule of at least their confidence."""
+    part = rules.select(F.col("rule_id").alias("part_id"), F.size("tokens").alias("part_size"), F.col("confidence").alias("part_confidence"), F.explode("tokens").alias("token"))
+    whole = rules.select("rule_id", F.size("tokens").alias("n"), "confidence", F.explode("tokens").alias("token"))
+    met = whole.join(part, "token").where("part_size < n and part_confidence >= confidence").groupBy("rule_id", "part_id", "part_size").agg(F.count("*").alias("shared"))
+    return rules.join(met.where("shared = part_size").select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct URLs that hold all tokens of a rule: url, mined_rule (the most confident), mined_confidence."""
     index = rules.select("rule_id", "confidence", "tokens", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    urls = pages.select("url").where("url is not null")
-    hits = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(F.broadcast(index), "token")
+    urls = pages.select("url").where("url is not null").distinct()
+    hits = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(index, "token")
     whole = hits.groupBy("url", "rule_id", "need", "confidence", "tokens").agg(F.size(F.collect_set("token")).alias("found")).where("found = need")
     best = F.max(F.struct("confidence", F.array_join("tokens", " ").alias("rule")))
     return whole.groupBy("url").agg(best.alias("best")).select("url", F.col("best.rule").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"))

@@ -54,3 +54,13 @@ def test_odd_tables(spark):
     got = sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in U.judge(pages, labels).collect())
     assert got == [(0, "", "", None, "allow"), (1, "x.net", "/fr/1", "net/fr/", "block"), (1, "x.net", "/fr/1", "net/fr/", "block"), (3, "", "", None, "allow")]
     assert U.judge(pages.where("false"), labels).count() == 0
+
+
+def test_redundant_rules_go_and_all_others_stay(spark):
+    rows = [("a", ["x"], 0.8), ("b", ["x", "y"], 0.8), ("c", ["x", "z"], 0.9), ("d", ["y", "z"], 0.7), ("e", ["w", "x", "z"], 0.95)] + [(f"r{i}", [f"t{i}"], 0.6) for i in range(1_500)]
+    rules = spark.createDataFrame(rows, "rule_id string, tokens array<string>, confidence double").withColumn("support", F.lit(0.1))
+    kept = {r.rule_id for r in U.without_redundant(rules).collect()}
+    assert kept == {"a", "c", "d", "e"} | {f"r{i}" for i in range(1_500)}
+    pages = spark.createDataFrame([(1, "http://t7.org/" + "q" * 100_000), (2, None)], "page_id long, url string")
+    index = spark.createDataFrame([("k", ["host=t7"], 0.9), ("l", ["host=org"], 0.9)], "rule_id string, tokens array<string>, confidence double")
+    assert [(r.mined_rule, len(r.url) > 100_000) for r in U.matched(pages, index).collect()] == [("host=t7", True)]

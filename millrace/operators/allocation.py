@@ -26,31 +26,42 @@ def quotas(weights: DataFrame, total: int | Column, within: list[str] | None = N
     return base.withColumn("quota", (F.col("_floor") + F.when(rank <= lack, 1).otherwise(0)).cast("long")).drop("_floor", "_rest")
 
 
+def ranked(df: DataFrame, key: str, stratum: str | None, seed: int = 42) -> DataFrame:
+    """Adds ``_k``, the row's rank in its stratum in seeded order, and ``_n``, the size of the stratum.
+
+    Rows are ranked inside the 4,096 ranges of the digest's first digits, and
+    the rows of the ranges before are added, so no task sorts a whole stratum.
+    What is ordered per stratum is one row per range.
+    """
+    groups = [stratum] if stratum else []
+    rows = df.withColumn("_rank", shuffled(F.col(key), seed)).withColumn("_range", F.substring("_rank", 1, 3))
+    sizes = rows.groupBy(*groups, "_range").agg(F.count("*").alias("_rows"))
+    inside = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = sizes.select(*groups, "_range", (F.sum("_rows").over(inside.orderBy("_range")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(inside).alias("_n"))
+    names = {c: f"_own_{c}" for c in groups}
+    met = before.withColumnsRenamed(names)
+    same = F.col("_range") == F.col("_own_range")
+    for c, own in names.items():
+        same &= F.col(c).eqNullSafe(F.col(own))
+    placed = rows.join(met.withColumnRenamed("_range", "_own_range"), same)
+    k = F.col("_before") + F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_rank", key))
+    return placed.withColumn("_k", k).drop("_rank", "_range", "_own_range", "_before", *names.values())
+
+
 def stratified(df: DataFrame, key: str, stratum: str, validation: float = 0.05, test: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds ``split``. Strata of one row train; of two, the last validates; of three or four, the last two validate and test; else at least one each."""
-    inside = Window.partitionBy(stratum)
-    n, k = F.count("*").over(inside), F.row_number().over(inside.orderBy(shuffled(F.col(key), seed), key))
+    n, k = F.col("_n"), F.col("_k")
     share = lambda r: F.greatest(F.lit(1), F.round(n * F.lit(r)).cast("int"))
     v = F.when(n == 1, 0).when(n < 5, 1).otherwise(share(validation))
     s = F.when(n < 3, 0).when(n < 5, 1).otherwise(share(test))
-    return df.withColumn("split", F.when(k > n - s, "test").when(k > n - s - v, "validation").otherwise("train"))
-
+    return ranked(df, key, stratum, seed).withColumn("split", F.when(k > n - s, "test").when(k > n - s - v, "validation").otherwise("train")).drop("_k", "_n")
 
-def ratio_split(df: DataFrame, key: str, train: float, validation: float, seed: int = 42, buckets: int = 256) -> DataFrame:
-    """Adds ``split`` with exactly int(n*train) and int(n*validation) rows of the first two.
 
-    Ranks are global: rows are ranked inside hash buckets, and the rows of the
-    buckets before are added, so no task sorts all rows.
-    """
-    bucket = F.conv(F.substring(shuffled(F.col(key), seed), 1, 2), 16, 10).cast("int")
-    rows = df.withColumn("_rank", shuffled(F.col(key), seed)).withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    placed = rows.join(F.broadcast(before), "_bucket")  # one row per bucket, 256 at most
-    k = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_rank", key))
-    first = F.floor(F.col("_all") * F.lit(train))
-    second = first + F.floor(F.col("_all") * F.lit(validation))
-    return placed.withColumn("_k", k).withColumn("split", F.when(F.col("_k") <= first, "train").when(F.col("_k") <= second, "validation").otherwise("test")).drop("_rank", "_bucket", "_before", "_all", "_k")
+def ratio_split(df: DataFrame, key: str, train: float, validation: float, seed: int = 42) -> DataFrame:
+    """Adds ``split`` with exactly int(n*train) and int(n*validation) rows of the first two."""
+    first = F.floor(F.col("_n") * F.lit(train))
+    second = first + F.floor(F.col("_n") * F.lit(validation))
+    return ranked(df, key, None, seed).withColumn("split", F.when(F.col("_k") <= first, "train").when(F.col("_k") <= second, "validation").otherwise("test")).drop("_k", "_n")
 
 
 def group_split(df: DataFrame, group: str, train: float = 0.9, validation: float = 0.05, seed: int = 42) -> DataFrame:
@@ -58,7 +69,7 @@ def group_split(df: DataFrame, group: str, train: float = 0.9, validation: float
 
     Groups in seeded order fill train, then validation, then test: a group
     goes where the rows before it end. Only group sizes are ordered, ranked in
-    two levels like :func:`ratio_split`.
+    two levels like :func:`ranked`.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_rank", shuffled(F.col(group), seed))
     sizes = sizes.withColumn("_bucket", F.substring("_rank", 1, 2))
@@ -72,5 +83,4 @@ def group_split(df: DataFrame, group: str, train: float = 0.9, validation: float
 
 def take(df: DataFrame, key: str, stratum: str, wanted: DataFrame, seed: int = 42) -> DataFrame:
     """The first ``quota`` rows of each stratum in seeded order; ``wanted`` has category and quota."""
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(F.col(key), seed), key))
-    return df.withColumn("_k", k).join(wanted.select(F.col("category").alias(stratum), "quota"), stratum).where("_k <= quota").drop("_k", "quota")
+    return ranked(df, key, stratum, seed).join(wanted.select(F.col("category").alias(stratum), "quota"), stratum).where("_k <= quota").drop("_k", "_n", "quota")

@@ -49,7 +49,7 @@ def licence(text: Column, declared: Column, source: Column) -> Column:
         name = name.when(text.rlike(f"(?i){pattern}"), found)
     origin = F.lower(F.coalesce(source, F.lit("")))
     name = name.when(origin.contains("nptel"), "CC-BY-NC-SA-4.0").when(origin.contains("arxiv"), "arXiv Non-exclusive License").otherwise("UNKNOWN")
-    return F.struct(name.alias("name"), (name != "UNKNOWN").alias("known"), (~name.isin(*PERMISSIVE)).alias("internal_only"))
+    return T.let(name, lambda n: F.struct(n.alias("name"), (n != "UNKNOWN").alias("known"), (~n.isin(*PERMISSIVE)).alias("internal_only")))
 
 
 def rights(declared: Column) -> Column:
@@ -72,20 +72,26 @@ def topic(title: Column, text: Column) -> Column:
 
 def audit(text: Column, shortest: int = 100) -> Column:
     """Struct (score, status) of a text: short, broken characters, repeated lines, characters that do not print."""
-    bare = T.strip(F.coalesce(text, F.lit("")))
-    lines = F.filter(F.transform(F.split(bare, "\n"), T.strip), lambda x: x != "")
-    broken = T.occurrences(bare, "�")
-    repeats = F.lit(1.0) - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    unseen = F.length(bare) - F.length(F.regexp_replace(bare, r"[[\p{C}\p{Z}]&&[^ \n\t\r]]", ""))
-    score = (
-        F.lit(1.0)
-        - F.when(F.length(bare) < shortest, 0.3).otherwise(0.0)
-        - F.least(F.lit(0.4), broken * 0.05)
-        - F.when((F.size(lines) >= 4) & (repeats > 0.25), 0.25).otherwise(0.0)
-        - F.when(unseen > 0.05 * F.length(bare), 0.4).otherwise(0.0)
-    )
-    score = F.when(bare == "", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), score), 4))
-    return F.struct(score.alias("score"), F.when(score >= 0.85, "PASSED").when(score >= 0.5, "WARNING").otherwise("REJECTED").alias("status"))
+
+    def measured(bare, lines):
+        broken = T.occurrences(bare, "�")
+        repeats = F.lit(1.0) - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+        unseen = F.length(bare) - F.length(F.regexp_replace(bare, r"[[\p{C}\p{Z}]&&[^ \n\t\r]]", ""))
+        score = (
+            F.lit(1.0)
+            - F.when(F.length(bare) < shortest, 0.3).otherwise(0.0)
+            - F.least(F.lit(0.4), broken * 0.05)
+            - F.when((F.size(lines) >= 4) & (repeats > 0.25), 0.25).otherwise(0.0)
+            - F.when(unseen > 0.05 * F.length(bare), 0.4).otherwise(0.0)
+        )
+        return F.when(bare == "", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), score), 4))
+
+    def judged(score):
+        return F.struct(score.alias("score"), F.when(score >= 0.85, "PASSED").when(score >= 0.5, "WARNING").otherwise("REJECTED").alias("status"))
+
+    lines_of = lambda bare: F.filter(F.transform(F.split(bare, "\n"), T.strip), lambda x: x != "")
+    score = T.let(T.strip(F.coalesce(text, F.lit(""))), lambda bare: T.let(lines_of(bare), lambda lines: measured(bare, lines)))
+    return T.let(score, judged)
 
 
 def state(score: Column, open_fence: Column, least: float = 0.85) -> Column:

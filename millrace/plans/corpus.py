@@ -31,8 +31,9 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE dup) AS n_exact_duplicat
 def corpus_health(t: Tables):
     docs = t.documents.select("doc_id", "lang", "text")
     firsts = docs.withColumn("h", bare_hash()).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
-    grams = t.benchmark.select(F.explode(T.shingles(x())).alias("g")).distinct()
-    shared = docs.select("doc_id", F.explode(T.shingles(x())).alias("g")).join(grams, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    hashed = lambda: F.explode(F.transform(T.shingles(x()), lambda g: F.xxhash64(g))).alias("g")
+    grams = t.benchmark.select(hashed()).distinct()
+    shared = docs.select("doc_id", hashed()).join(grams, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
     flags = docs.select("doc_id", "lang").join(firsts, "doc_id", "left").join(shared, "doc_id", "left")
     dup = F.count_if(F.col("first").isNull())
     return flags.groupBy("lang").agg(F.count("*").alias("n_docs"), dup.alias("n_exact_duplicates"), F.count_if(F.coalesce("shared", F.lit(0)) >= 8).alias("n_touching_benchmark"), F.round(dup / F.count("*"), 6).alias("duplicate_rate"))
@@ -57,8 +58,7 @@ def _(t: Tables):
 
 
 def near(t: Tables, grams, percent: int):
-    g = M.exploded(t.documents.select("doc_id", "text"), "doc_id", grams)
-    return M.pairs(g, g, percent, same=True)
+    return M.pairs(M.gram_sets(t.documents, "doc_id", grams), None, percent)
 
 
 def pair_sql(grams: str, percent: int) -> str:
@@ -79,8 +79,7 @@ def _(t: Tables):
 @query("dd4_near_dedup_char_grams")
 def _(t: Tables):
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.char_grams(x()).alias("g"))
-    g = M.exploded(turns, "id", F.col("g"))
-    return M.greedy_keep(turns.select("id"), M.pairs(g, g, 85, same=True))
+    return M.greedy_keep(turns.select("id"), M.pairs(M.gram_sets(turns, "id", F.col("g")), None, 85))
 
 
 SIGN = "list_transform(range(0, 16), lambda s: list_min(list_transform(gs, lambda g: xor(CAST('0x' || substr(md5(g), 25, 8) AS BIGINT), s * 2654435761 % 4294967296))))"
@@ -189,21 +188,20 @@ BENCH = f"bg AS (SELECT item_id AS b, unnest(gs) AS gram, len(gs) AS nb FROM (SE
 
 @query("lk4_benchmark_contamination", f"WITH {BENCH}, c AS (SELECT a, b, count(*) AS shared, any_value(nb) AS nb FROM dg JOIN bg USING (gram) GROUP BY a, b) SELECT a AS doc_id, b AS item_id, shared, round(shared / nb, 6) AS coverage FROM c WHERE shared * 100 >= 85 * nb")
 def _(t: Tables):
-    b = M.exploded(t.benchmark, "item_id", T.shingles(x(), short="none")).toDF("item_id", "nb", "gram")
-    d = M.exploded(t.documents, "doc_id", T.shingles(x(), short="none")).select(F.col("id").alias("doc_id"), "gram")
+    b = M.exploded(M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="none"))).toDF("item_id", "nb", "gram")
+    d = M.exploded(M.gram_sets(t.documents, "doc_id", T.shingles(x(), short="none"))).select(F.col("id").alias("doc_id"), "gram")
     c = d.join(b, "gram").groupBy("doc_id", "item_id", "nb").agg(F.count("*").alias("shared"))
     return c.where(F.col("shared") * 100 >= F.col("nb") * 85).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("nb"), 6).alias("coverage"))
 
 
 @query("jn7_benchmark_jaccard", f"WITH {BENCH}, c AS (SELECT a, b, count(*) AS shared, any_value(na) AS na, any_value(nb) AS nb FROM dg JOIN bg USING (gram) GROUP BY a, b) SELECT a AS a, b AS b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM c WHERE shared * 100 >= 50 * (na + nb - shared)")
 def _(t: Tables):
-    return M.pairs(M.exploded(t.documents, "doc_id", T.shingles(x(), short="none")), M.exploded(t.benchmark, "item_id", T.shingles(x(), short="none")), 50)
+    return M.pairs(M.gram_sets(t.documents, "doc_id", T.shingles(x(), short="none")), M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="none")), 50)
 
 
 @query("jn8_benchmark_self_similarity", f"WITH g AS (SELECT item_id AS id, unnest(gs) AS gram, len(gs) AS n FROM (SELECT item_id, {S.shingles('text', short='tokens')} AS gs FROM benchmark)), p AS (SELECT l.id AS a, r.id AS b, count(*) AS shared, any_value(l.n) AS na, any_value(r.n) AS nb FROM g l JOIN g r ON l.gram = r.gram AND l.id < r.id GROUP BY 1, 2) SELECT a, b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared * 100 >= 10 * (na + nb - shared)")
 def _(t: Tables):
-    g = M.exploded(t.benchmark, "item_id", T.shingles(x(), short="tokens"))
-    return M.pairs(g, g, 10, same=True)
+    return M.pairs(M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="tokens")), None, 10)
 
 
 @query("jn10_theta_residual", f"WITH {pair_sql(S.shingles('text'), 70)} SELECT a, b, CASE WHEN jaccard >= 0.9 AND l.source = r.source THEN 'DUPLICATE' ELSE 'SIMILAR' END AS kind FROM pairs JOIN documents l ON l.doc_id = a JOIN documents r ON r.doc_id = b WHERE l.lang = r.lang")

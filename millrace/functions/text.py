@@ -175,6 +175,18 @@ def shingles(text: Column, n: int = 3, short: str = "whole") -> Column:
     return let(tokens(text), made)
 
 
+def gram_hashes(text: Column, n: int = 3, short: str = "whole") -> Column:
+    """Distinct word n-grams as 64-bit hashes, made from the hashes of the words; short texts as in :func:`shingles`."""
+    none = F.array().cast("array<long>")
+
+    def made(parts):
+        few = {"whole": F.when(F.size(parts) > 0, F.array(F.xxhash64(parts))).otherwise(none), "tokens": parts, "none": none}[short]
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(parts, i + k) for k in range(n)]))
+        return F.array_distinct(F.when(F.size(parts) >= n, runs).otherwise(few))
+
+    return let(F.transform(tokens(text), lambda w: F.xxhash64(w)), made)
+
+
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the collapsed lower-case text; a short text is one."""
 

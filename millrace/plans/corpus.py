@@ -31,7 +31,7 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE dup) AS n_exact_duplicat
 def corpus_health(t: Tables):
     docs = t.documents.select("doc_id", "lang", "text")
     firsts = docs.withColumn("h", bare_hash()).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
-    hashed = lambda: F.explode(F.transform(T.shingles(x()), lambda g: F.xxhash64(g))).alias("g")
+    hashed = lambda: F.explode(T.gram_hashes(x())).alias("g")
     grams = t.benchmark.select(hashed()).distinct()
     shared = docs.select("doc_id", hashed()).join(grams, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
     flags = docs.select("doc_id", "lang").join(firsts, "doc_id", "left").join(shared, "doc_id", "left")
@@ -68,18 +68,18 @@ p AS (SELECT l.id AS a, r.id AS b, count(*) AS shared, any_value(l.n) AS na, any
 
 @query("jn6_near_pairs", f"WITH {pair_sql(S.shingles('text'), 85)} SELECT * FROM pairs")
 def _(t: Tables):
-    return near(t, T.shingles(x()), 85)
+    return near(t, T.gram_hashes(x()), 85)
 
 
 @query("dd3_near_dedup_greedy")
 def _(t: Tables):
-    return M.greedy_keep(t.documents.select(F.col("doc_id").alias("id")), near(t, T.shingles(x()), 85)).select(F.col("id").alias("doc_id"), "kept")
+    return M.greedy_keep(t.documents.select(F.col("doc_id").alias("id")), near(t, T.gram_hashes(x()), 85)).select(F.col("id").alias("doc_id"), "kept")
 
 
 @query("dd4_near_dedup_char_grams")
 def _(t: Tables):
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.char_grams(x()).alias("g"))
-    return M.greedy_keep(turns.select("id"), M.pairs(M.gram_sets(turns, "id", F.col("g")), None, 85))
+    return M.greedy_keep(turns.select("id"), M.pairs(M.gram_sets(turns, "id", F.transform("g", lambda g: F.xxhash64(g))), None, 85))
 
 
 SIGN = "list_transform(range(0, 16), lambda s: list_min(list_transform(gs, lambda g: xor(CAST('0x' || substr(md5(g), 25, 8) AS BIGINT), s * 2654435761 % 4294967296))))"
@@ -120,7 +120,7 @@ def _(t: Tables):
 
 @query("dd9_duplicate_clusters", f"WITH {pair_sql(S.shingles('text'), 90)} SELECT b AS doc_id, min(a) AS star FROM pairs GROUP BY b")
 def _(t: Tables):
-    return near(t, T.shingles(x()), 90).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
+    return near(t, T.gram_hashes(x()), 90).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
 
 
 @query("dd10_duplicate_sample", f"WITH {HASHED}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id FROM h) SELECT doc_id, first_id FROM f WHERE doc_id <> first_id ORDER BY doc_id LIMIT 50")
@@ -160,7 +160,7 @@ def _(t: Tables):
 @query("lk2_near_split_leakage", f"WITH {SPLIT}, {pair_sql(S.shingles('text'), 85)} SELECT l.split AS one, r.split AS two, count(*) AS n_pairs FROM pairs JOIN sp l ON l.doc_id = a JOIN sp r ON r.doc_id = b WHERE l.split <> r.split GROUP BY ALL")
 def _(t: Tables):
     s = by_hash(t).select("doc_id", "split")
-    p = near(t, T.shingles(x()), 85)
+    p = near(t, T.gram_hashes(x()), 85)
     both = p.join(s.toDF("a", "one"), "a").join(s.toDF("b", "two"), "b").where("one <> two")
     return both.groupBy("one", "two").agg(F.count("*").alias("n_pairs"))
 
@@ -188,26 +188,26 @@ BENCH = f"bg AS (SELECT item_id AS b, unnest(gs) AS gram, len(gs) AS nb FROM (SE
 
 @query("lk4_benchmark_contamination", f"WITH {BENCH}, c AS (SELECT a, b, count(*) AS shared, any_value(nb) AS nb FROM dg JOIN bg USING (gram) GROUP BY a, b) SELECT a AS doc_id, b AS item_id, shared, round(shared / nb, 6) AS coverage FROM c WHERE shared * 100 >= 85 * nb")
 def _(t: Tables):
-    b = M.exploded(M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="none"))).toDF("item_id", "nb", "gram")
-    d = M.exploded(M.gram_sets(t.documents, "doc_id", T.shingles(x(), short="none"))).select(F.col("id").alias("doc_id"), "gram")
+    b = M.exploded(M.gram_sets(t.benchmark, "item_id", T.gram_hashes(x(), short="none"))).toDF("item_id", "nb", "gram")
+    d = M.exploded(M.gram_sets(t.documents, "doc_id", T.gram_hashes(x(), short="none"))).select(F.col("id").alias("doc_id"), "gram")
     c = d.join(b, "gram").groupBy("doc_id", "item_id", "nb").agg(F.count("*").alias("shared"))
     return c.where(F.col("shared") * 100 >= F.col("nb") * 85).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("nb"), 6).alias("coverage"))
 
 
 @query("jn7_benchmark_jaccard", f"WITH {BENCH}, c AS (SELECT a, b, count(*) AS shared, any_value(na) AS na, any_value(nb) AS nb FROM dg JOIN bg USING (gram) GROUP BY a, b) SELECT a AS a, b AS b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM c WHERE shared * 100 >= 50 * (na + nb - shared)")
 def _(t: Tables):
-    return M.pairs(M.gram_sets(t.documents, "doc_id", T.shingles(x(), short="none")), M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="none")), 50)
+    return M.pairs(M.gram_sets(t.documents, "doc_id", T.gram_hashes(x(), short="none")), M.gram_sets(t.benchmark, "item_id", T.gram_hashes(x(), short="none")), 50)
 
 
 @query("jn8_benchmark_self_similarity", f"WITH g AS (SELECT item_id AS id, unnest(gs) AS gram, len(gs) AS n FROM (SELECT item_id, {S.shingles('text', short='tokens')} AS gs FROM benchmark)), p AS (SELECT l.id AS a, r.id AS b, count(*) AS shared, any_value(l.n) AS na, any_value(r.n) AS nb FROM g l JOIN g r ON l.gram = r.gram AND l.id < r.id GROUP BY 1, 2) SELECT a, b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared * 100 >= 10 * (na + nb - shared)")
 def _(t: Tables):
-    return M.pairs(M.gram_sets(t.benchmark, "item_id", T.shingles(x(), short="tokens")), None, 10)
+    return M.pairs(M.gram_sets(t.benchmark, "item_id", T.gram_hashes(x(), short="tokens")), None, 10)
 
 
 @query("jn10_theta_residual", f"WITH {pair_sql(S.shingles('text'), 70)} SELECT a, b, CASE WHEN jaccard >= 0.9 AND l.source = r.source THEN 'DUPLICATE' ELSE 'SIMILAR' END AS kind FROM pairs JOIN documents l ON l.doc_id = a JOIN documents r ON r.doc_id = b WHERE l.lang = r.lang")
 def _(t: Tables):
     d = t.documents.select("doc_id", "lang", "source")
-    p = near(t, T.shingles(x()), 70).join(d.toDF("a", "la", "sa"), "a").join(d.toDF("b", "lb", "sb"), "b").where("la = lb")
+    p = near(t, T.gram_hashes(x()), 70).join(d.toDF("a", "la", "sa"), "a").join(d.toDF("b", "lb", "sb"), "b").where("la = lb")
     return p.select("a", "b", F.when((F.col("jaccard") >= 0.9) & (F.col("sa") == F.col("sb")), "DUPLICATE").otherwise("SIMILAR").alias("kind"))
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import fresh
+
 #: Order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "tel")
 BASE_KINDS = KINDS[:4]
@@ -178,9 +180,11 @@ def masked(docs: DataFrame) -> DataFrame:
             texts = batch.column(i).to_pylist()
             yield batch.set_column(i, batch.schema.field(i), pa.array([redact(t, find_spans(t)) for t in texts], pa.string()))
 
-    out = docs.withColumn("_before", F.xxhash64("text")).mapInArrow(scan, docs.withColumn("_before", F.xxhash64("text")).schema)
-    changed = F.col("_before") != F.xxhash64("text")
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    before = fresh(docs, "_before")
+    marked = docs.withColumn(before, F.xxhash64("text"))
+    out = marked.mapInArrow(scan, marked.schema)
+    changed = F.col(before) != F.xxhash64("text")
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -43,3 +43,19 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns
         docs = out
+
+
+def test_odd_rows_pass_every_stage(spark):
+    text = "A plain text of some words that stands here for all the others. " * 3
+    names = ["_own", "_mark", "toxic_score", "_low", "_before", "kept", "mark", "component"]
+    rows = [(1, text), (1, text), (2, text + "more"), (3, None), (None, ""), (4, "x " * 150_000), (5, "Write to a.b@example.com now, please do.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[k] * len(names)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for empty in (False, True):
+        left = docs.where("false") if empty else docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, "/root/testdata/sf0.001")
+            assert left.columns == docs.columns
+        found = [r.doc_id for r in left.select("doc_id").collect()]
+        assert sorted(i or 0 for i in found) == ([] if empty else [0, 1, 3, 4, 5])
+        pieces = corpus_pipeline.pack_sequences(spark, left, "/root/testdata/sf0.001").toPandas()
+        assert sorted(set(pieces.doc_id.fillna(0).astype(int))) == ([] if empty else [0, 1, 3, 4, 5])

@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read back as the next stage's ``docs``. All but the last keep the
 columns of ``documents``.
+
+Defined cases, in every stage: a null text counts as empty, scores as an empty
+bag, is no copy and no leak, and is packed as its end id alone (masking leaves
+it null); null ids are carried; texts of any length are read whole; of repeated
+rows one stays, as they are copies of each other, but rows without words all
+stay; of copies the smallest id stays, and ties go by the text's hash; an empty
+table gives no rows; extra columns are kept up to the last stage, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import fresh
+from millrace.session import fresh, written
 
 MIN_WORDS = 10
 MIN_STRETCH = 20
@@ -121,6 +121,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = digests(docs, min_words)
     place = F.struct("doc_id", "mark", "start", "end")
     first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join has no aggregate beside it and a hot line's rows can be split.
+    first = written(first, "repeated-units")
     return found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "end")
 
 

@@ -275,8 +275,9 @@ def _(t: Tables):
 WITH {S.REC}, p AS (SELECT conv_id, sha256({S.collapse("array_to_string(list_transform(list_filter(messages, lambda x: x.role = 'user'), lambda x: x.content), ' ')")}) AS h FROM rec)
 SELECT conv_id, min(conv_id) OVER (PARTITION BY h) AS first_id, count(*) OVER (PARTITION BY h) > 1 AS duplicated FROM p""")
 def _(t: Tables):
-    w = Window.partitionBy("h")
-    return recs(t).select("conv_id", R.prompt_hash(m()).alias("h")).select("conv_id", F.min("conv_id").over(w).alias("first_id"), (F.count("*").over(w) > 1).alias("duplicated"))
+    hashed = recs(t).select("conv_id", R.prompt_hash(m()).alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("conv_id").alias("first_id"), F.count("*").alias("n"))
+    return hashed.join(groups, "h").select("conv_id", "first_id", (F.col("n") > 1).alias("duplicated"))
 
 
 @query("lk6_answer_leakage", "WITH pr AS (SELECT a.conv_id, a.turn, u.text AS usr, a.text AS ans FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn < a.turn AND u.role = 'user' WHERE a.role = 'assistant') SELECT conv_id, turn, bool_or(length(ans) > 30 AND contains(usr, ans)) AS leaked FROM pr GROUP BY ALL")
@@ -291,8 +292,9 @@ def _(t: Tables):
 WITH {S.REC}, h AS (SELECT conv_id, sha256(array_to_string(list_transform(messages, lambda m: {S.collapse("m.content")} || chr(31) || m.role), chr(30))) AS h FROM rec)
 SELECT conv_id, min(conv_id) OVER (PARTITION BY h) AS matched_id, conv_id = min(conv_id) OVER (PARTITION BY h) AS kept FROM h""")
 def _(t: Tables):
-    first = F.min("conv_id").over(Window.partitionBy("h"))
-    return recs(t).select("conv_id", R.content_hash(m()).alias("h")).select("conv_id", first.alias("matched_id"), (F.col("conv_id") == first).alias("kept"))
+    hashed = recs(t).select("conv_id", R.content_hash(m()).alias("h"))
+    firsts = hashed.groupBy("h").agg(F.min("conv_id").alias("matched_id"))
+    return hashed.join(firsts, "h").select("conv_id", "matched_id", (F.col("conv_id") == F.col("matched_id")).alias("kept"))
 
 
 @query("txt4_structure_adapter", """

@@ -39,11 +39,14 @@ def unique_payloads(events: DataFrame) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str, folder: str, label: str) -> DataFrame:
-    """Run a stream over all that is there and return its last result as a table of the shared folder."""
+    """Run a stream over all that is there and return its last result as a table of the shared folder.
+
+    A batch that runs again after a failure overwrites what it wrote before.
+    """
     path = f"{folder}/{label}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out").select(df.columns)

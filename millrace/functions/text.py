@@ -127,6 +127,39 @@ def no_headers(text: Column, more: tuple[str, ...] = ()) -> Column:
     return text
 
 
+# What a line of a formula that was cut apart may be, which signs a formula must hold, and where such a line ends at most.
+FRAGMENTS = ("(", ")", "[", "]", "{", "}", "+", "-", "=", "±", "×", "•", "∂", "∇", "∫", "∫∫", "∫∫∫", "cv", "s", "v", "ds", "dt", "dx", "dy", "dz", "dxdydz", "ρ", "σ", "λ", "θ")
+FRAGMENT = r"^[∂∇+\-=()\[\]·^/\\\s\p{L}\p{N}\p{M}_]+$"
+FORMULA = r"∂|∇|∫|∑|ρ|σ|λ|θ|vec|hat|alpha|beta|psi"
+RELATION = r"[=+-]|\(\d+(?:\.\d+)*\)"
+LONGEST_FRAGMENT = 25
+# Two code points that are no characters stand for "this line is a fragment" and "joined here".
+MARK, SEAM = "\ufdd0", "\ufdd1"
+
+
+def join_formulas(text: Column) -> Column:
+    """Runs of short formula lines become one ``$$...$$`` block if they hold a formula, and stay lines (stripped) if not.
+
+    Fragments are marked, a pattern joins marked neighbours, and each run is
+    judged once: linear in the text, without a fold. Blank lines end a run and
+    become empty; U+FDD0 and U+FDD1, which are no characters, are taken out.
+    """
+
+    def marked(line, bare):
+        short = (F.length(bare) <= LONGEST_FRAGMENT) & (bare.isin(*FRAGMENTS) | bare.rlike(f"(?U){FRAGMENT}")) & ~(bare.endswith(".") & (F.length(bare) > 6))
+        return F.when(bare == "", "").when(short, F.concat(F.lit(MARK), bare)).otherwise(line)
+
+    def judged(run):
+        block = F.replace(run, F.lit(SEAM), F.lit(" "))
+        whole = F.concat(F.lit("\n$$"), block, F.lit("$$\n"))
+        return F.when(block.rlike(FORMULA) & block.rlike(RELATION), whole).otherwise(F.replace(run, F.lit(SEAM), F.lit("\n")))
+
+    lines = F.transform(F.split(F.translate(text, MARK + SEAM, ""), "\n"), lambda line: let(strip(line), lambda bare: marked(line, bare)))
+    joined = F.regexp_replace(F.array_join(lines, "\n"), f"({MARK}[^\n]*)\n(?={MARK})", f"$1{SEAM}")
+    runs = F.transform(F.split(joined, "\n"), lambda run: F.when(run.startswith(MARK), judged(F.translate(run, MARK, ""))).otherwise(run))
+    return F.array_join(runs, "\n")
+
+
 def spaces(text: Column) -> Column:
     """No-break blanks as blanks, no zero-width ones, at most one empty line, one blank in a row."""
     text = F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))
@@ -135,7 +168,7 @@ def spaces(text: Column) -> Column:
 
 def document(text: Column) -> Column:
     """The whole chain for extracted documents, in order."""
-    return spaces(dehyphenate(no_page_numbers(no_headers(nfkc(glyphs(text))))))
+    return spaces(join_formulas(dehyphenate(no_page_numbers(no_headers(nfkc(glyphs(text)))))))
 
 
 def redact_log(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import grounding as G
 from millrace.operators import quality as Q
 from millrace.operators import records as R
 from millrace.plans import sqltext as S
@@ -67,21 +68,37 @@ def _(t: Tables):
     return joined.groupBy("lang").agg(F.count("*").alias("total"), F.count("quality").alias("scored"), F.count_if(F.col("quality").isNull()).alias("unscored"), F.count_if(F.coalesce(F.col("quality"), F.lit(1)) >= 0.85).alias("accepted"), F.round(F.avg("quality"), 6).alias("mean_score"))
 
 
-@query("flt9_scientific_qa", f"""
-WITH a AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS ans FROM conversations GROUP BY conv_id),
-b AS (SELECT conv_id, ans, {S.count("ans", "$$")} AS d, {S.count("replace(ans, '$$', '')", "$")} AS i FROM a)
-SELECT conv_id, d % 2 = 0 AND i % 2 = 0 AS balanced, regexp_matches(ans, '\\b\\d+(?:\\.\\d+)?(?:e[+-]?\\d+)?\\b') AS has_numbers, regexp_matches(ans, '(?i)\\[(?:citation\\s+needed|\\?|xx|todo)\\]') AS placeholder,
- CASE WHEN NOT (d % 2 = 0 AND i % 2 = 0) OR regexp_matches(ans, '(?i)\\[(?:citation\\s+needed|\\?|xx|todo)\\]') THEN 'FAILED' ELSE 'VERIFIED' END AS status FROM b""")
+def letters_sql(x: str) -> str:
+    return f"list_distinct(list_filter({S.tokens(x)}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$')))"
+
+
+def nested_sql(rows: str, keys: str, text: str) -> str:
+    """Two recursive tables: brackets of ``text`` with inner pairs taken out again and again, and whether nothing is left."""
+    pair = r"\(\)|\[\]|\{\}"
+    return rf"""bk AS (SELECT {keys}, regexp_replace({text}, '[^(){{}}\[\]]', '', 'g') AS s FROM {rows} UNION ALL SELECT {keys}, regexp_replace(s, '{pair}', '', 'g') FROM bk WHERE regexp_matches(s, '{pair}')),
+ne AS (SELECT {keys}, bool_or(s = '') AS nested FROM bk GROUP BY ALL)"""
+
+
+ANSWERS = "coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') || CASE WHEN conv_id % 4 = 0 THEN ' so $E = m(c^2$ [?]' WHEN conv_id % 4 = 1 THEN ' and $$x = (3)$$ kg' ELSE '' END"
+
+
+@query("flt9_scientific_qa", rf"""
+WITH RECURSIVE a AS (SELECT conv_id, {ANSWERS} AS ans, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS usr FROM conversations GROUP BY conv_id),
+b AS (SELECT conv_id, ans, usr, {S.count("ans", "$$")} % 2 = 0 AND {S.count("replace(ans, '$$', '')", "$")} % 2 = 0 AS pairs, regexp_extract_all(ans, '(?s)\$\$.*?\$\$|\$[^$]+\$') AS eqs, regexp_matches(usr, '(?i)how (?:much|many)|calculate|compute') AS quant, {letters_sql("usr")} AS su, {letters_sql("ans")} AS sa FROM a),
+eq AS (SELECT conv_id, unnest(eqs) AS e FROM b), {nested_sql("eq", "conv_id, e", "e")}, ok AS (SELECT conv_id, bool_and(nested) AS nested FROM ne GROUP BY conv_id),
+c AS (SELECT *, pairs AND coalesce(nested, true) AS even, regexp_matches(ans, '(?i)\[(?:citation\s+needed|\?|xx|todo)\]') AS hole, regexp_matches(ans, '\b\d+(?:\.\d+)?(?:e[+-]?\d+)?\b') AS nums FROM b LEFT JOIN ok USING (conv_id))
+SELECT conv_id, CAST(len(eqs) AS BIGINT) AS n_equations, even, nums AS has_numbers, hole AS placeholder, CASE WHEN len(su) > 0 AND len(sa) > 0 THEN round(len(list_intersect(su, sa)) / len(su), 6) ELSE 1.0 END AS overlap,
+ CASE WHEN NOT even OR hole OR (quant AND NOT nums) THEN 'FAILED' WHEN quant AND len(eqs) = 0 THEN 'VALIDATION_UNCERTAIN' ELSE 'VERIFIED' END AS status FROM c""")
 def _(t: Tables):
-    ans = F.array_join(R.of_role(m(), "assistant"), " ")
-    rows = recs(t).select("conv_id", ans.alias("ans"))
-    a = F.col("ans")
-    even = (T.occurrences(a, "$$") % 2 == 0) & (T.occurrences(F.replace(a, F.lit("$$"), F.lit("")), "$") % 2 == 0)
-    hole = a.rlike(r"(?i)\[(?:citation\s+needed|\?|xx|todo)\]")
-    return rows.select("conv_id", even.alias("balanced"), a.rlike(r"\b\d+(?:\.\d+)?(?:e[+-]?\d+)?\b").alias("has_numbers"), hole.alias("placeholder"), F.when(~even | hole, "FAILED").otherwise("VERIFIED").alias("status"))
+    k = F.pmod("conv_id", F.lit(4))
+    more = F.when(k == 0, " so $E = m(c^2$ [?]").when(k == 1, " and $$x = (3)$$ kg").otherwise("")
+    said = recs(t).select("conv_id", F.array_join(R.of_role(m(), "user"), " ").alias("usr"), F.concat(F.array_join(R.of_role(m(), "assistant"), " "), more).alias("ans"))
+    quantitative = F.col("usr").rlike("(?i)how (?:much|many)|calculate|compute")
+    found = said.select("conv_id", G.scientific(F.col("usr"), F.col("ans"), quantitative).alias("f"))
+    return found.select("conv_id", "f.n_equations", "f.even", "f.has_numbers", "f.placeholder", "f.overlap", "f.status")
 
 
-@query("flt10_balanced_brackets")
+@query("flt10_balanced_brackets", f"WITH RECURSIVE {nested_sql('documents', 'doc_id', 'text')} SELECT doc_id, nested AS balanced FROM ne")
 def _(t: Tables):
     return t.documents.select("doc_id", T.balanced(F.col("text")).alias("balanced"))
 
@@ -99,10 +116,28 @@ def exchanges(t: Tables):
     return rows.withColumn("shared", F.size(F.array_intersect("su", "sa")))
 
 
-@query("flt11_grounding", f"WITH {PAIRED} SELECT conv_id, turn, round(shared / greatest(len(sa), 1), 6) AS overlap, shared / greatest(len(sa), 1) >= 0.2 AS grounded FROM ov")
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in G.STOPWORDS) + "]"
+# Every third answer gets an equation or a table of its own, so that each rule meets rows on both sides.
+SHOWN = "ex AS (SELECT conv_id, turn, usr, ans || CASE (conv_id + turn) % 5 WHEN 0 THEN ' $$zeta + omicron = upsilon + xi$$' WHEN 1 THEN chr(10) || '| a | b |' || chr(10) || '| --- | --- |' WHEN 2 THEN ' (see' ELSE '' END AS ans FROM pr)"
+GROUNDED = rf"""{PAIRED}, {SHOWN}, {nested_sql("ex", "conv_id, turn", "usr || ' ' || ans")},
+kw AS (SELECT *, list_filter({letters_sql("ans")}, lambda w: NOT list_contains({STOP_LIST}, w)) AS ka, list_filter({letters_sql("usr")}, lambda w: NOT list_contains({STOP_LIST}, w)) AS ku,
+ regexp_extract_all(ans, '(?s)\$\$(.*?)\$\$', 1) AS shown, regexp_matches(usr, '(?s)\$\$.{{3,}}\$\$|\$[^$\n]{{3,}}\$') AS src_eq FROM ex JOIN ne USING (conv_id, turn)),
+fa AS (SELECT conv_id, turn, usr, ans, nested AND {S.count("usr || ' ' || ans", "```")} % 2 = 0 AND {S.count("usr || ' ' || ans", "$$")} % 2 = 0 AS even,
+ CASE WHEN src_eq THEN 0 ELSE len(list_filter(flatten(list_transform(shown, lambda e: regexp_extract_all(e, '[a-zA-Z∂∇∫∑ρσλθ\\]+'))), lambda s: length(s) > 1 AND NOT contains(lower(usr), lower(s)) AND NOT starts_with(s, '\'))) END AS n_unknown,
+ (contains(ans, '| --- |') OR contains(ans, '|:---:|')) AND NOT regexp_matches(usr, '(?m)^[ \t]*\|.*\|[ \t]*$') AS made, CASE WHEN len(ka) = 0 THEN 1.0 ELSE len(list_intersect(ka, ku)) / len(ka) END AS overlap FROM kw),
+gd AS (SELECT *, CASE WHEN NOT even THEN 'delimiters' WHEN n_unknown > 2 THEN 'symbols' WHEN made THEN 'table' WHEN overlap < 0.2 THEN 'overlap' END AS reason FROM fa)"""
+
+
+def shown(t: Tables):
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    more = F.when(k == 0, " $$zeta + omicron = upsilon + xi$$").when(k == 1, "\n| a | b |\n| --- | --- |").when(k == 2, " (see").otherwise("")
+    rows = exchanges(t).select("conv_id", "turn", "usr", F.concat("ans", more).alias("ans"))
+    return rows.withColumn("g", G.evaluate(F.col("usr"), F.col("ans"), F.col("usr")))
+
+
+@query("flt11_grounding", f"WITH RECURSIVE {GROUNDED} SELECT conv_id, turn, even, CAST(n_unknown AS BIGINT) AS n_unknown, round(overlap, 6) AS overlap, reason, reason IS NULL AS grounded FROM gd")
 def _(t: Tables):
-    share = F.col("shared") / F.greatest(F.size("sa"), F.lit(1))
-    return exchanges(t).select("conv_id", "turn", F.round(share, 6).alias("overlap"), (share >= 0.2).alias("grounded"))
+    return shown(t).select("conv_id", "turn", "g.even", "g.n_unknown", F.round("g.overlap", 6).alias("overlap"), "g.reason", F.col("g.reason").isNull().alias("grounded"))
 
 
 @query("flt12_instruction_validator", f"""
@@ -114,36 +149,25 @@ def _(t: Tables):
 
 
 @query("flt13_composite_six", f"""
-WITH {PAIRED}, s AS (SELECT conv_id, turn, least(1.0, shared / greatest(least(len(su), len(sa)), 1) + 0.5) AS g, CASE WHEN len(sa) >= 40 THEN 0.95 ELSE 0.8 END AS c, CASE WHEN len(su) >= 8 THEN 0.95 ELSE 0.85 END AS r FROM ov)
-SELECT conv_id, turn, round(0.25 * g + 0.25 * c + 0.15 * r + 0.1 * 0.9 + 0.1 * 0.9 + 0.15 * 0.95, 4) AS score FROM s""")
+WITH RECURSIVE {GROUNDED}, d AS (SELECT conv_id, turn, even, least(1.0, overlap + 0.5) AS g, len({S.words("usr")}) AS uw, len({S.words("ans")}) AS aw, contains(usr || ans, chr(65533)) AS bad,
+ list_filter(list_transform(string_split(ans, chr(10)), lambda x: {S.strip("x")}), lambda x: x <> '') AS l FROM gd),
+e AS (SELECT *, len(l) > 0 AND 1.0 - len(list_distinct(l)) / len(l) > 0.30 AS rep FROM d)
+SELECT conv_id, turn, round(CAST(0.25 * (CASE WHEN even THEN 0.95 ELSE 0.70 END) + 0.25 * g + 0.15 * (CASE WHEN uw < 5 THEN 0.75 ELSE 0.95 END) + 0.1 * (0.94 - CASE WHEN bad THEN 0.3 ELSE 0 END - CASE WHEN rep THEN 0.25 ELSE 0 END)
+ + 0.1 * (0.92 - CASE WHEN aw < 20 THEN 0.3 ELSE 0 END - CASE WHEN rep THEN 0.2 ELSE 0 END) + 0.15 * (CASE WHEN bad THEN 0.65 ELSE 0.95 END) AS DOUBLE), 4) AS score FROM e""")
 def _(t: Tables):
-    g = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.least(F.size("su"), F.size("sa")), F.lit(1)) + 0.5)
-    c = F.when(F.size("sa") >= 40, 0.95).otherwise(0.8)
-    r = F.when(F.size("su") >= 8, 0.95).otherwise(0.85)
-    return exchanges(t).select("conv_id", "turn", F.round(g * 0.25 + c * 0.25 + r * 0.15 + F.lit(0.1 * 0.9) + F.lit(0.1 * 0.9) + F.lit(0.15 * 0.95), 4).alias("score"))
+    score = G.composite_six(F.col("usr"), F.col("ans"), F.least(F.lit(1.0), F.col("g.overlap") + 0.5), F.col("g.even"))
+    return shown(t).select("conv_id", "turn", F.round(score, 4).alias("score"))
 
 
 @query("flt14_composite_nine", f"""
-WITH {PAIRED}, d AS (SELECT conv_id, turn, least(1.0, shared / greatest(len(sa), 1) + 0.35) AS g, len({S.words("ans")}) AS aw, len({S.words("usr")}) AS uw,
- CASE WHEN contains(ans, '###') OR contains(ans, chr(10) || chr(10)) THEN 0.95 ELSE 0.85 END AS cl, CASE WHEN regexp_matches(lower(ans), 'because|therefore|thus|hence|leads to|consequently|step') THEN 0.95 ELSE 0.88 END AS re FROM ov),
-s AS (SELECT conv_id, turn, g, (CASE WHEN g >= 0.8 THEN 0.95 ELSE 0.7 END) * 0.2 + g * 0.25 + (CASE WHEN uw >= 8 THEN 0.95 ELSE 0.85 END) * 0.1 + cl * 0.1 + (CASE WHEN aw >= 60 THEN 0.95 WHEN aw >= 30 THEN 0.85 ELSE 0.7 END) * 0.1 + 0.95 * 0.1 + re * 0.05 + 0.05 + 0.05 AS score FROM d)
-SELECT conv_id, turn, round(score, 4) AS score, score >= 0.85 AND g >= 0.8 AS passed FROM s""")
+WITH RECURSIVE {GROUNDED}, d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0.0 ELSE least(1.0, overlap + 0.35) END AS g, len({S.words("usr")}) AS uw, len({S.words("ans")}) AS aw FROM gd),
+s AS (SELECT conv_id, turn, g, reason, CAST(0.2 * (CASE WHEN even AND g >= 0.8 THEN 0.95 ELSE 0.7 END) + 0.25 * g + 0.1 * (CASE WHEN uw >= 8 THEN 0.95 ELSE 0.85 END) + 0.1 * (CASE WHEN contains(ans, '###') OR contains(ans, chr(10) || chr(10)) THEN 0.95 ELSE 0.85 END)
+ + 0.1 * (CASE WHEN aw >= 60 THEN 0.95 WHEN aw >= 30 THEN 0.85 ELSE 0.7 END) + 0.1 * (CASE WHEN n_unknown = 0 THEN 0.95 ELSE 0.6 END) + 0.05 * (CASE WHEN regexp_matches(lower(ans), 'because|therefore|thus|hence|leads to|consequently|step') THEN 0.95 ELSE 0.88 END)
+ + 0.05 * (CASE WHEN NOT contains(ans, '$$') THEN 1.0 WHEN even THEN 0.98 ELSE 0.4 END) + 0.05 * (CASE WHEN NOT contains(ans, '| --- |') THEN 1.0 WHEN NOT made THEN 0.98 ELSE 0.4 END) AS DOUBLE) AS score FROM d)
+SELECT conv_id, turn, round(score, 4) AS score, round(g, 6) AS grounding, score >= 0.85 AND g >= 0.8 AND reason IS NULL AS passed FROM s""")
 def _(t: Tables):
-    g = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.size("sa"), F.lit(1)) + 0.35)
-    aw, uw, ans = T.n_words(F.col("ans")), T.n_words(F.col("usr")), F.col("ans")
-    parts = (
-        (F.when(g >= 0.8, 0.95).otherwise(0.7), 0.2),
-        (g, 0.25),
-        (F.when(uw >= 8, 0.95).otherwise(0.85), 0.1),
-        (F.when(ans.contains("###") | ans.contains("\n\n"), 0.95).otherwise(0.85), 0.1),
-        (F.when(aw >= 60, 0.95).when(aw >= 30, 0.85).otherwise(0.7), 0.1),
-        (F.lit(0.95), 0.1),
-        (F.when(F.lower(ans).rlike("because|therefore|thus|hence|leads to|consequently|step"), 0.95).otherwise(0.88), 0.05),
-        (F.lit(1.0), 0.05),
-        (F.lit(1.0), 0.05),
-    )
-    score = sum((value * weight for value, weight in parts), F.lit(0.0))
-    return exchanges(t).select("conv_id", "turn", F.round(score, 4).alias("score"), ((score >= 0.85) & (g >= 0.8)).alias("passed"))
+    found = shown(t).select("conv_id", "turn", G.composite_nine(F.col("usr"), F.col("ans"), F.col("g")).alias("s"))
+    return found.select("conv_id", "turn", F.round("s.score", 4).alias("score"), F.round("s.grounding", 6).alias("grounding"), "s.passed")
 
 
 METRICS = f"""ev AS (SELECT conv_id, turn, usr AS ref, ans, {S.strip("ans")} AS st FROM pr),

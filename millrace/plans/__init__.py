@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "records", "corpus", "platform")
+MODULES = ("texts", "records", "corpus", "platform", "release")
 
 
 def load() -> None:

@@ -45,12 +45,6 @@ def _(t: Tables):
     return arrays.select("conv_id", F.explode(F.from_json("j", "array<struct<turn:long,role:string>>")).alias("r")).select("conv_id", "r.turn", "r.role")
 
 
-@query("src4_csv_scan", "SELECT p_partkey, p_name, p_size, round(p_retailprice, 4) AS p_retailprice FROM part")
-def _(t: Tables):
-    row = F.from_csv(F.to_csv(F.struct("p_partkey", "p_name", "p_size", "p_retailprice")), "p_partkey long, p_name string, p_size int, p_retailprice double")
-    return t.part.select(row.alias("r")).select("r.p_partkey", "r.p_name", "r.p_size", F.round("r.p_retailprice", 4).alias("p_retailprice"))
-
-
 @query("src6_text_titles", f"SELECT doc_id, {S.strip('string_split(text, chr(10))[1]')} AS title, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
 def _(t: Tables):
     parts = F.split("text", "\n")
@@ -172,11 +166,6 @@ def _(t: Tables):
     return t.spark.read.schema("doc_id long, text string").json(path).select("doc_id", F.md5(x().cast("binary")).alias("text_md5"))
 
 
-@query("snk3_convert_format", "SELECT p_partkey, md5(p_brand || ',' || p_partkey || ',' || p_size || ',' || p_type) AS row_md5 FROM part")
-def _(t: Tables):
-    return t.part.select("p_partkey", F.md5(raw.csv_line(["p_partkey", "p_brand", "p_type", "p_size"]).cast("binary")).alias("row_md5"))
-
-
 @query("snk4_split_writer", f"WITH {SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split")
 def _(t: Tables):
     path = f"{work_folder(t.spark)}/splits-{uuid.uuid4().hex}"
@@ -184,37 +173,6 @@ def _(t: Tables):
     return t.spark.read.schema("doc_id long, split string").parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("snk2_digest", "SELECT source, count(*) AS n, bit_xor(CAST('0x' || substr(sha256(text), 1, 15) AS BIGINT)) AS digest FROM documents GROUP BY source")
-def _(t: Tables):
-    part = F.conv(F.substring(F.sha2(x().cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.bit_xor(part).alias("digest"))
-
-
-@query("snk7_manifest", "SELECT lang, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(sha256(text)) AS first_sha, max(sha256(text)) AS last_sha FROM documents GROUP BY lang")
-def _(t: Tables):
-    sha = F.sha2(x().cast("binary"), 256)
-    return t.documents.groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.min(sha).alias("first_sha"), F.max(sha).alias("last_sha"))
-
-
-@query("snk8_append_and_resume", "SELECT count(*) AS done, (SELECT count(*) FROM documents) - count(*) AS left_over FROM documents WHERE doc_id % 3 = 0")
-def _(t: Tables):
-    path = f"{work_folder(t.spark)}/results-{uuid.uuid4().hex}"
-    for k in (0, 3):
-        t.documents.where(f"doc_id % 6 = {k}").select("doc_id").write.mode("append").parquet(path)
-    done = t.spark.read.schema("doc_id long").parquet(path)
-    left = t.documents.select("doc_id").join(done, "doc_id", "left_anti").agg(F.count("*").alias("left_over"))
-    return done.agg(F.count("*").alias("done")).join(F.broadcast(left))  # one row each
-
-
-@query("gt7_integrity", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' WHEN a.h <> b.h THEN 'mismatch' ELSE 'ok' END AS state FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 13 = 0 THEN lang ELSE text END) AS h FROM documents WHERE doc_id % 17 <> 0) b ON a.doc_id = b.doc_id")
-def _(t: Tables):
-    md5 = lambda c: F.md5(c.cast("binary"))
-    a = t.documents.where("doc_id % 11 <> 0").select("doc_id", md5(x()).alias("ha"))
-    b = t.documents.where("doc_id % 17 <> 0").select("doc_id", md5(F.when(F.col("doc_id") % 13 == 0, F.col("lang")).otherwise(x())).alias("hb"))
-    state = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "unexpected").when(F.col("ha") != F.col("hb"), "mismatch").otherwise("ok")
-    return a.join(b, "doc_id", "full").select("doc_id", state.alias("state"))
-
-
 @query("gen1_chunker")
 def _(t: Tables):
     c = C.chunks(t.documents, 256)
@@ -352,37 +310,6 @@ def _(t: Tables):
     return t.documents.where("n_chars < 200").select("doc_id", "n_chars").orderBy("doc_id").limit(50)
 
 
-FACTS = f"WITH {SPLIT}, f AS (SELECT count(*) AS n, count(DISTINCT md5(text)) AS u, count(DISTINCT source) AS s, count(DISTINCT lang) AS l, count(*) FILTER (WHERE split = 'train') / count(*) AS tr, max(n_chars) AS longest, (SELECT avg(quality) FROM labels) AS q FROM sp)"
-
-
-def gate_facts(t: Tables):
-    q = t.labels.agg(F.avg("quality").alias("q"))
-    s = by_hash(t).agg(F.count("*").alias("n"), F.count_distinct(F.md5(x().cast("binary"))).alias("u"), F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l"), (F.count_if(F.col("split") == "train") / F.count("*")).alias("tr"), F.max("n_chars").alias("longest"))
-    return s.join(F.broadcast(q))  # one row each
-
-
-def gates(name: str, rules: dict[str, str]) -> None:
-    """Register a table of gates: one row each, with its verdict from the facts."""
-    sql = " UNION ALL ".join(f"SELECT '{g}' AS gate, CASE WHEN {rule} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM f" for g, rule in rules.items())
-
-    @query(name, f"{FACTS} {sql}")
-    def _(t: Tables):
-        made = F.array(*[F.struct(F.lit(g).alias("gate"), F.expr(f"CASE WHEN {rule} THEN 'PASS' ELSE 'FAIL' END").alias("verdict")) for g, rule in rules.items()])
-        return gate_facts(t).select(F.explode(made).alias("g")).select("g.gate", "g.verdict")
-
-
-gates("gt1_readiness_gates", {"record_count": "n >= 100", "duplicate_rate": "1 - u / n <= 0.05", "source_diversity": "s >= 5", "language_diversity": "l >= 2", "train_share": "tr BETWEEN 0.75 AND 0.98", "mean_quality": "q >= 0.85", "overlength": "longest <= 65536"})
-gates("gt2_scorecard", {"schema": "n > 0", "provenance": "s > 0", "quality": "q >= 0.8", "split": "tr > 0.5 AND tr < 1", "deduplication": "u >= 0.9 * n"})
-gates("gt3_final_gates", {"G1": "n > 0", "G2": "u > 0", "G3": "s >= 5", "G4": "l >= 4", "G5": "tr >= 0.75", "G6": "q >= 0.5", "G7": "longest > 0"})
-gates("gt4_pilot_dimensions", {"split": "abs(tr - 0.9) <= 0.05", "sources": "s >= 2", "duplicates": "1 - u / n <= 0.05"})
-
-
-@query("ck2_skip_completed", "SELECT count(*) AS pending FROM documents WHERE doc_id % 4 <> 0")
-def _(t: Tables):
-    done = t.documents.where("doc_id % 4 = 0").select("doc_id")
-    return t.documents.select("doc_id").join(done, "doc_id", "left_anti").agg(F.count("*").alias("pending"))
-
-
 def drained(t: Tables, df, mode: str, label: str):
     return E.drained(df, mode, work_folder(t.spark), f"{label}-{uuid.uuid4().hex}")
 

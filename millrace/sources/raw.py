@@ -56,6 +56,32 @@ def headings(html: Column) -> Column:
     return F.transform(found, lambda h: F.trim(F.regexp_replace(h, "<[^>]*>", "")))
 
 
-def csv_line(columns: list[str]) -> Column:
-    """A row as CSV text in sorted column order."""
-    return F.to_csv(F.struct(*sorted(columns)))
+def convert(spark: SparkSession, source: str, target: str, path_in: str, path_out: str) -> None:
+    """Rewrite the files below a path: csv or json to jsonl, or jsonl to csv with the sorted union of all keys as header.
+
+    Values of CSV stay strings; nested values become JSON text in CSV. Other pairs of formats raise.
+    """
+    if (source, target) not in (("csv", "jsonl"), ("json", "jsonl"), ("jsonl", "csv")):
+        raise ValueError(f"no conversion from {source} to {target}")
+    if target == "jsonl":
+        rows = spark.read.option("header", "true").csv(path_in) if source == "csv" else spark.read.option("multiLine", "true").json(path_in)
+        rows.write.json(path_out)
+        return
+    rows = spark.read.json(path_in)
+    nested = {f.name for f in rows.schema if f.dataType.typeName() in ("struct", "array", "map")}
+    flat = [F.to_json(f"`{c}`").alias(c) if c in nested else F.col(f"`{c}`") for c in sorted(rows.columns)]
+    rows.select(*flat).write.option("header", "true").csv(path_out)
+
+
+def validity(spark: SparkSession, path: str) -> DataFrame:
+    """One row on the files below a path: total_files, valid_files, empty_files, total_bytes.
+
+    Only names and sizes are listed, no contents. A path that does not exist or a
+    file that cannot be read raises. Spark passes over empty files when it plans
+    a scan, so the listing is the file system's own.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root)
+    full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("valid_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))
+    total = F.lit(listed.getFileCount()).cast("long")
+    return full.select(total.alias("total_files"), "valid_files", (total - F.col("valid_files")).alias("empty_files"), "total_bytes")

@@ -181,6 +181,16 @@ def redact_log(text: Column) -> Column:
     return text
 
 
+# Parts of keys whose values an event must not show.
+HIDDEN_KEYS = "password|secret|token|api_key|cookie|auth"
+
+
+def redact_json(text: Column) -> Column:
+    """JSON text with the values of telling keys replaced, at any depth; objects and lists below such a key go if they hold no further ones."""
+    value = r'"(?:[^"\\]|\\.)*+"|\{[^{}]*+\}|\[[^\[\]]*+\]|[^\s,{}\[\]"]++'
+    return F.regexp_replace(text, rf'(?i)("[^"]*(?:{HIDDEN_KEYS})[^"]*"\s*:\s*)(?:{value})', '$1"[REDACTED]"')
+
+
 def occurrences(text: Column, part: str) -> Column:
     """How often ``part`` occurs, not overlapping."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")

@@ -96,3 +96,55 @@ def equations(text: Column) -> Column:
     display = F.regexp_extract_all(text, F.lit(r"(?s)\$\$(.*?)\$\$"), F.lit(1))
     inline = F.regexp_extract_all(F.regexp_replace(text, r"(?s)\$\$.*?\$\$", " "), F.lit(r"\$([^$\n]+)\$"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(F.concat(display, inline), T.strip), lambda e: F.length(e) > 2))
+
+
+def hash_sections(text: Column) -> Column:
+    """Array of (title, paragraphs) of a text with ``#`` headings; null title before the first one, sections without paragraphs go.
+
+    A line that starts with ``#`` opens a section; every other line that is not blank is a paragraph. Nothing is shuffled.
+    """
+    filled = lambda lines: F.filter(F.transform(lines, T.strip), lambda p: p != "")
+
+    def parsed(lines):
+        headed = lines[0].startswith("#")
+        title = F.when(headed, T.strip(F.regexp_replace(lines[0], "^#+", "")))
+        rest = F.when(headed, F.slice(lines, 2, F.size(lines))).otherwise(lines)
+        return F.struct(title.alias("title"), filled(rest).alias("paragraphs"))
+
+    parts = F.split(text, "(?dm)^(?=#)")
+    return F.filter(F.transform(parts, lambda part: T.let(F.split(part, "\n"), parsed)), lambda s: F.size(s["paragraphs"]) > 0)
+
+
+def hash_title(text: Column, name: Column) -> Column:
+    """The first ``# `` heading of the first ten lines, else ``name``."""
+    first = F.get(F.filter(F.slice(F.split(text, "\n"), 1, 10), lambda line: line.startswith("# ")), F.lit(0))
+    return F.coalesce(T.strip(F.substring(first, F.lit(3), F.length(first))), name)
+
+
+# Fixed value: the line below a table's headings.
+RULE_LINE = r"^\|?[\s\-:]+(?:\|[\s\-:]+)+\|?$"
+
+
+def tables(text: Column) -> Column:
+    """Array of (headers, rows) of the pipe tables of a text, in order; rows are filled up or cut to the headers' number.
+
+    A table is a run of two lines or more that start and end with a pipe. The
+    pattern's repeats are possessive, so a long run costs neither stack nor retries.
+    """
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), T.strip)
+
+    def parsed(lines):
+        headers = cells(lines[0])
+        body = F.when(lines[1].rlike(RULE_LINE), F.slice(lines, 3, F.size(lines))).otherwise(F.slice(lines, 2, F.size(lines)))
+        return T.let(headers, lambda h: F.struct(h.alias("headers"), F.transform(body, lambda line: F.slice(F.concat(cells(line), F.array_repeat(F.lit(""), F.size(h))), F.lit(1), F.size(h))).alias("rows")))
+
+    runs = F.regexp_extract_all(text, F.lit(r"(?dm)(?:^[^\S\n]*\|[^\n]*\|[^\S\n]*(?:\n|\z))++"), F.lit(0))
+    lined = F.transform(runs, lambda run: F.filter(F.transform(F.split(run, "\n"), T.strip), lambda line: line != ""))
+    return F.transform(F.filter(lined, lambda lines: F.size(lines) > 1), parsed)
+
+
+def table_markdown(table: Column) -> Column:
+    """A parsed table as Markdown."""
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    rule = row(F.transform(table["headers"], lambda _: F.lit("---")))
+    return F.array_join(F.concat(F.array(row(table["headers"]), rule), F.transform(table["rows"], row)), "\n")

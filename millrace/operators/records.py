@@ -70,3 +70,48 @@ def prompt_and_completion(messages: Column) -> Column:
     last = F.element_at(messages, -1)
     prompt = F.array_join(F.transform(F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0))), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return F.when((F.size(messages) > 1) & (last["role"] == "assistant"), F.struct(prompt.alias("prompt"), last["content"].alias("completion")))
+
+
+# The keys of the five shapes in which records come.
+SHAPES = "messages array<struct<role string, content string>>, conversations array<struct<`from` string, role string, value string, content string>>, prompt string, response string, system string, instruction string, input string, output string, question string, answer string"
+
+
+def adapt(raw: Column) -> Column:
+    """Messages (role, content) of a record in JSON, by the first shape whose keys are filled:
+    messages, conversations, prompt and response (with system), instruction (with input) and output, question and answer.
+
+    Roles are mapped and contents normalised; no known shape, or no JSON, gives no messages.
+    """
+
+    def clean(text):
+        return T.trim_lines(T.plain_lines(F.coalesce(text, F.lit(""))))
+
+    def message(role, content):
+        return F.struct(role.alias("role"), content.alias("content"))
+
+    user, assistant = F.lit("user"), F.lit("assistant")
+
+    def read(r):
+        task = F.when(clean(r["input"]) != "", F.concat(clean(r["instruction"]), F.lit("\n\n"), clean(r["input"]))).otherwise(clean(r["instruction"]))
+        pair = lambda a, b: F.array(message(user, a), message(assistant, b))
+        systems = F.when(F.coalesce(r["system"], F.lit("")) != "", F.array(message(F.lit("system"), clean(r["system"])))).otherwise(F.slice(pair(F.lit(""), F.lit("")), 1, 0))
+        return (
+            F.when(r["messages"].isNotNull(), F.transform(r["messages"], lambda m: message(T.role(m["role"]), clean(m["content"]))))
+            .when(r["conversations"].isNotNull(), F.transform(r["conversations"], lambda m: message(T.role(F.coalesce(m["from"], m["role"])), clean(F.coalesce(m["value"], m["content"])))))
+            .when(r["prompt"].isNotNull() & r["response"].isNotNull(), F.concat(systems, pair(clean(r["prompt"]), clean(r["response"]))))
+            .when(r["instruction"].isNotNull() & r["output"].isNotNull(), pair(task, clean(r["output"])))
+            .when(r["question"].isNotNull() & r["answer"].isNotNull(), pair(clean(r["question"]), clean(r["answer"])))
+            .otherwise(F.slice(pair(F.lit(""), F.lit("")), 1, 0))
+        )
+
+    return T.let(F.from_json(raw, SHAPES), read)
+
+
+def label_array(messages: Column, ignored: int = -100) -> Column:
+    """Labels of the words of the chat markup: what an assistant says, with its end mark, by crc32 of the word; all else ``ignored``."""
+
+    def of(m):
+        said = F.concat(T.words(m["content"]), F.array(F.lit("<|im_end|>")))
+        return F.concat(F.array(F.lit(ignored).cast("long")), F.transform(said, lambda w: F.when(m["role"] == "assistant", F.crc32(w.cast("binary"))).otherwise(ignored)))
+
+    return F.flatten(F.transform(messages, of))

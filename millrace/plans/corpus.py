@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import allocation as A
+from millrace.operators import release as L
 from millrace.operators import similarity as M
 from millrace.plans import sqltext as S
 from millrace.plans.registry import Tables, query
+from millrace.session import written
 
 
 def x():
@@ -177,10 +179,18 @@ def _(t: Tables):
     return long.groupBy("kind", "key").agg(F.count_distinct("split").alias("n")).where("n > 1").groupBy("kind").agg(F.count("*").alias("n_keys"))
 
 
-@query("lk7_isolation", f"WITH {SPLIT} SELECT split, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM sp GROUP BY split")
+@query("lk7_isolation", f"""WITH {SPLIT}, k AS (SELECT sha256(text) AS h, count(DISTINCT split) > 1 AS shared FROM sp GROUP BY 1)
+SELECT split, count(*) AS n, count(*) FILTER (WHERE shared) AS n_shared, count(*) FILTER (WHERE shared) = 0 AS isolated, true AS unchanged FROM sp JOIN k ON sha256(text) = h GROUP BY split""")
 def _(t: Tables):
-    digest = F.conv(F.substring(F.md5(x().cast("binary")), 1, 8), 16, 10).cast("long")
-    return by_hash(t).groupBy("split").agg(F.count("*").alias("n"), F.sum(digest).alias("checksum"))
+    # The digests recorded when the splits were frozen, against those of the splits as they are.
+    frozen = written(L.ordered_digest(by_hash(t), "split", "doc_id", x()), "frozen").select("split", F.col("digest").alias("frozen"))
+    now = L.ordered_digest(by_hash(t), "split", "doc_id", x())
+    h = F.sha2(x().cast("binary"), 256)
+    per_text = by_hash(t).groupBy(h.alias("h"), "split").agg(F.count("*").alias("c"))
+    shared = per_text.groupBy("h").agg((F.count("*") > 1).alias("shared"))
+    counts = per_text.join(shared, "h").groupBy("split").agg(F.coalesce(F.sum(F.when(F.col("shared"), F.col("c"))), F.lit(0)).alias("n_shared"))
+    joined = now.join(counts, "split").join(frozen, "split", "left")
+    return joined.select("split", "n", "n_shared", (F.col("n_shared") == 0).alias("isolated"), F.col("digest").eqNullSafe(F.col("frozen")).alias("unchanged"))
 
 
 BENCH = f"bg AS (SELECT item_id AS b, unnest(gs) AS gram, len(gs) AS nb FROM (SELECT item_id, {S.shingles('text', short='none')} AS gs FROM benchmark)), dg AS (SELECT doc_id AS a, unnest(gs) AS gram, len(gs) AS na FROM (SELECT doc_id, {S.shingles('text', short='none')} AS gs FROM documents))"

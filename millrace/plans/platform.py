@@ -51,6 +51,26 @@ def _(t: Tables):
     return t.documents.select("doc_id", T.strip(parts[0]).alias("title"), F.size(parts).cast("long").alias("n_lines"))
 
 
+MARKED_SQL = "replace(text, '. ', '.' || chr(10) || '## Part ' || lang || ' #' || chr(10))"
+
+
+def marked():
+    return F.replace(x(), F.lit(". "), F.concat(F.lit(".\n## Part "), F.col("lang"), F.lit(" #\n")))
+
+
+@query("src6_text_sections", rf"""
+WITH a AS (SELECT doc_id, source, string_split(CASE WHEN lang = 'en' THEN '# ' || source || ' title' || chr(10) ELSE '' END || {MARKED_SQL}, chr(10)) AS l FROM documents),
+b AS (SELECT doc_id, CASE WHEN len(list_filter(l[1:10], lambda x: starts_with(x, '# '))) > 0 THEN {S.strip("substr(list_filter(l[1:10], lambda x: starts_with(x, '# '))[1], 3)")} ELSE source END AS doc_title, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a),
+c AS (SELECT *, starts_with(line, '#') AS head, sum(CAST(starts_with(line, '#') AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS s, {S.strip("line")} AS bare FROM b),
+d AS (SELECT doc_id, s, any_value(doc_title) AS doc_title, max(CASE WHEN head THEN {S.strip("regexp_replace(line, '^#+', '')")} END) AS title, count(*) FILTER (WHERE NOT head AND bare <> '') AS n, md5(string_agg(bare, chr(10) ORDER BY i) FILTER (WHERE NOT head AND bare <> '')) AS text_md5 FROM c GROUP BY doc_id, s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS section, coalesce(title, doc_title) AS title, n AS n_paragraphs, text_md5 FROM d WHERE n > 0""")
+def _(t: Tables):
+    text = F.concat(F.when(F.col("lang") == "en", F.concat(F.lit("# "), "source", F.lit(" title\n"))).otherwise(""), marked())
+    docs = t.documents.select("doc_id", "source", text.alias("text"))
+    rows = docs.select("doc_id", C.hash_title(x(), F.col("source")).alias("doc_title"), F.posexplode(C.hash_sections(x())).alias("k", "s"))
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("section"), F.coalesce("s.title", "doc_title").alias("title"), F.size("s.paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("s.paragraphs", "\n").cast("binary")).alias("text_md5"))
+
+
 @query("src7_document_fields", "SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN lang ELSE source END) AS body_md5 FROM documents")
 def _(t: Tables):
     k = F.col("doc_id") % 3
@@ -210,6 +230,21 @@ def _(t: Tables):
     return C.pipe_tables(t.documents).withColumn("first", F.col("first").cast("long"))
 
 
+@query("gen6_table_cells", rf"""
+WITH a AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || '| a | ' || lang || ' | c |' || chr(10) || '| --- | :-: | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || ' | 3 | 4 | 5 | 6 |' || chr(10)), chr(10)) AS l FROM documents),
+b AS (SELECT doc_id, {S.strip("line")} AS line, i FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a)),
+c AS (SELECT doc_id, line, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b WHERE line LIKE '|%|' AND length(line) > 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, run) AS n, list_transform(string_split(regexp_replace(line, '^\|+|\|+$', '', 'g'), '|'), lambda c: {S.strip("c")}) AS cells FROM c),
+e AS (SELECT *, first_value(cells) OVER (PARTITION BY doc_id, run ORDER BY i) AS h FROM d WHERE n > 1),
+f AS (SELECT doc_id, run, k, h, list_transform(range(1, len(h) + 1), lambda j: coalesce(cells[j], '')) AS cells FROM e WHERE NOT (k = 2 AND regexp_matches(line, '^\|?[\s\-:]+(?:\|[\s\-:]+)+\|?$')))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS number, array_to_string(any_value(h), ',') AS headers, count(*) - 1 AS n_rows,
+ md5(string_agg('| ' || array_to_string(cells, ' | ') || ' |' || CASE WHEN k = 1 THEN chr(10) || '| ' || array_to_string(list_transform(h, lambda c: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY k)) AS markdown_md5 FROM f GROUP BY doc_id, run""")
+def _(t: Tables):
+    text = F.replace(x(), F.lit(". "), F.concat(F.lit(".\n| a | "), F.col("lang"), F.lit(" | c |\n| --- | :-: | --- |\n| 1 | 2 |\n | 3 | 4 | 5 | 6 |\n")))
+    rows = t.documents.select("doc_id", F.posexplode(C.tables(text)).alias("k", "t"))
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("number"), F.array_join("t.headers", ",").alias("headers"), F.size("t.rows").cast("long").alias("n_rows"), F.md5(C.table_markdown(F.col("t")).cast("binary")).alias("markdown_md5"))
+
+
 @query("gen9_explode_lines", f"WITH {LINES} SELECT doc_id, place, md5(line) AS line_md5 FROM ln WHERE line <> ''")
 def _(t: Tables):
     return C.lines(t.documents).where("line <> ''").select("doc_id", F.col("place").cast("long").alias("place"), F.md5(F.col("line").cast("binary")).alias("line_md5"))

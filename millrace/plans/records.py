@@ -321,13 +321,28 @@ def _(t: Tables):
     return hashed.join(firsts, "h").select("conv_id", "matched_id", (F.col("conv_id") == F.col("matched_id")).alias("kept"))
 
 
-@query("txt4_structure_adapter", """
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, md5(text) AS content_md5 FROM conversations""")
+TRIMMED = r"regexp_replace(regexp_replace(replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\x0B\f]+(\n|$)', '\1', 'g'), '^\n+|\n+$', '', 'g')"
+
+
+@query("txt4_structure_adapter", rf"""
+WITH {PAIRED}, e AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, {TRIMMED.format(c="usr")} AS u, {TRIMMED.format(c="ans")} AS a FROM pr)
+SELECT conv_id, turn, CASE k WHEN 5 THEN '' WHEN 2 THEN 'system,user,assistant' ELSE 'user,assistant' END AS roles,
+ CASE k WHEN 5 THEN md5('') WHEN 2 THEN md5('Be brief.' || '|' || u || '|' || a) WHEN 3 THEN md5(u || chr(10) || chr(10) || 'en' || '|' || a) ELSE md5(u || '|' || a) END AS content_md5 FROM e""")
 def _(t: Tables):
-    c = t.conversations
-    shape = F.pmod("conv_id", F.lit(3))
-    side = F.when(F.col("role") == "system", "system").when(F.col("turn") % 2 == 0, "human").otherwise("gpt")
-    raw = F.when(shape == 0, F.to_json(F.struct(F.struct(side.alias("from"), F.col("text").alias("value")).alias("turn")))).when(shape == 1, F.to_json(F.struct(F.struct(T.role(side).alias("role"), F.col("text").alias("content")).alias("turn")))).otherwise(F.to_json(F.struct(F.struct(side.alias("speaker"), F.col("text").alias("text")).alias("turn"))))
-    kind = "turn struct<from:string,value:string,role:string,content:string,speaker:string,text:string>"
-    j = c.select("conv_id", "turn", F.from_json(raw, kind)["turn"].alias("j"))
-    return j.select("conv_id", "turn", T.role(F.coalesce("j.role", "j.from", "j.speaker")).alias("role"), F.md5(F.coalesce("j.content", "j.value", "j.text").cast("binary")).alias("content_md5"))
+    u, a = F.col("usr"), F.col("ans")
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    said = lambda who, what, one, two: F.array(F.struct(F.lit(one).alias(who), u.alias(what)), F.struct(F.lit(two).alias(who), a.alias(what)))
+    # Each shape also carries keys of a later one, which must not win.
+    shapes = (
+        F.struct(said("role", "content", "user", "assistant").alias("messages"), F.lit("x").alias("question"), F.lit("x").alias("answer")),
+        F.struct(said("from", "value", "human", "gpt").alias("conversations"), F.lit("x").alias("prompt"), F.lit("x").alias("response")),
+        F.struct(F.lit("Be brief.").alias("system"), u.alias("prompt"), a.alias("response"), F.lit("x").alias("instruction"), F.lit("x").alias("output")),
+        F.struct(u.alias("instruction"), F.lit("en").alias("input"), a.alias("output"), F.lit("x").alias("question"), F.lit("x").alias("answer")),
+        F.struct(u.alias("question"), a.alias("answer"), F.lit("x").alias("response")),
+    )
+    raw = F.to_json(shapes[0])
+    for i, shape in enumerate(shapes):
+        raw = F.when(k == i, F.to_json(shape)).otherwise(raw)
+    read = exchanges(t).select("conv_id", "turn", R.adapt(F.when(k == 5, '{"title": "neither"}').otherwise(raw)).alias("m"))
+    part = lambda name: F.transform("m", lambda m: m[name])
+    return read.select("conv_id", "turn", F.array_join(part("role"), ",").alias("roles"), F.md5(F.array_join(part("content"), "|").cast("binary")).alias("content_md5"))

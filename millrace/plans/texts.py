@@ -159,11 +159,13 @@ def _(t: Tables):
 
 
 @query("txt23_payload_redaction", """
-SELECT event_id, CASE WHEN regexp_matches(event_type, '(?i)password|secret|token|api_key|cookie|auth|sign') THEN '[REDACTED]' ELSE json_extract_string(props, '$.k') END AS shown FROM events""")
+SELECT event_id, '[REDACTED]' AS top, '[REDACTED]' AS deep, event_type AS kept, CAST(user_id AS VARCHAR) AS user_id, '[REDACTED]' AS listed FROM events""")
 def _(t: Tables):
-    payload = F.create_map(F.col("event_type"), F.get_json_object("props", "$.k"))
-    hidden = F.transform_values(payload, lambda k, v: F.when(k.rlike("(?i)password|secret|token|api_key|cookie|auth|sign"), "[REDACTED]").otherwise(v))
-    return t.events.select("event_id", F.element_at(hidden, F.col("event_type")).alias("shown"))
+    inner = F.struct(F.col("event_type").alias("kind"), F.struct(F.col("props").alias("Session_Token")).alias("deeper"))
+    payload = F.to_json(F.struct(F.col("value").alias("password"), "user_id", inner.alias("inner"), F.array("event_type", "props").alias("my_cookies")))
+    shown = t.events.select("event_id", T.redact_json(payload).alias("j"))
+    j = lambda path: F.get_json_object("j", path)
+    return shown.select("event_id", j("$.password").alias("top"), j("$.inner.deeper.Session_Token").alias("deep"), j("$.inner.kind").alias("kept"), j("$.user_id").alias("user_id"), j("$.my_cookies").alias("listed"))
 
 
 @query("txt25_chat_template", f"""
@@ -173,10 +175,13 @@ def _(t: Tables):
 
 
 @query("txt26_label_mask", f"""
-SELECT conv_id, CAST(sum(len({S.words("text")})) AS BIGINT) AS n_words, CAST(coalesce(sum(len({S.words("text")})) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS n_learned FROM conversations GROUP BY conv_id""")
+WITH w AS (SELECT conv_id, turn, role, len({S.words("text")}) AS n FROM conversations)
+SELECT conv_id, CAST(sum(n + 2) AS BIGINT) AS n_labels, CAST(coalesce(sum(n + 1) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS n_learned,
+ array_to_string(flatten(list(list_concat(['-'], list_transform(range(n + 1), lambda i: CASE WHEN role = 'assistant' THEN '+' ELSE '-' END)) ORDER BY turn)), '') AS mask FROM w GROUP BY conv_id""")
 def _(t: Tables):
-    mask = F.flatten(F.transform("messages", lambda m: F.transform(T.words(m["content"]), lambda w: m["role"] == "assistant")))
-    return R.from_turns(t.conversations).select("conv_id", F.size(mask).cast("long").alias("n_words"), F.size(F.filter(mask, lambda x: x)).cast("long").alias("n_learned"))
+    labels = R.from_turns(t.conversations).select("conv_id", R.label_array(F.col("messages")).alias("l"))
+    signs = F.array_join(F.transform("l", lambda v: F.when(v == -100, "-").otherwise("+")), "")
+    return labels.select("conv_id", F.size("l").cast("long").alias("n_labels"), F.size(F.filter("l", lambda v: v != -100)).cast("long").alias("n_learned"), signs.alias("mask"))
 
 
 @query("txt27_prompt_completion", f"""

@@ -130,6 +130,7 @@ def no_headers(text: Column, more: tuple[str, ...] = ()) -> Column:
 # What a line of a formula that was cut apart may be, which signs a formula must hold, and where such a line ends at most.
 FRAGMENTS = ("(", ")", "[", "]", "{", "}", "+", "-", "=", "±", "×", "•", "∂", "∇", "∫", "∫∫", "∫∫∫", "cv", "s", "v", "ds", "dt", "dx", "dy", "dz", "dxdydz", "ρ", "σ", "λ", "θ")
 FRAGMENT = r"^[∂∇+\-=()\[\]·^/\\\s\p{L}\p{N}\p{M}_]+$"
+NUMBERED = r"^\(\d+(?:\.\d+)*\)$"
 FORMULA = r"∂|∇|∫|∑|ρ|σ|λ|θ|vec|hat|alpha|beta|psi"
 RELATION = r"[=+-]|\(\d+(?:\.\d+)*\)"
 LONGEST_FRAGMENT = 25
@@ -146,7 +147,7 @@ def join_formulas(text: Column) -> Column:
     """
 
     def marked(line, bare):
-        short = (F.length(bare) <= LONGEST_FRAGMENT) & (bare.isin(*FRAGMENTS) | bare.rlike(f"(?U){FRAGMENT}")) & ~(bare.endswith(".") & (F.length(bare) > 6))
+        short = (F.length(bare) <= LONGEST_FRAGMENT) & (bare.isin(*FRAGMENTS) | bare.rlike(f"(?U){FRAGMENT}") | bare.rlike(NUMBERED)) & ~(bare.endswith(".") & (F.length(bare) > 6))
         return F.when(bare == "", "").when(short, F.concat(F.lit(MARK), bare)).otherwise(line)
 
     def judged(run):

@@ -86,7 +86,7 @@ FRAGMENT_LIST = ", ".join(f"'{f}'" for f in T.FRAGMENTS)
 WITH a AS (SELECT doc_id, string_split(replace(replace(text, ', ', ',' || chr(10) || '∂ρ' || chr(10) || '= 0' || chr(10) || '(2.1)' || chr(10)), ' of ', chr(10) || 'x' || chr(10) || chr(10)), chr(10)) AS l FROM documents),
 b AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a),
 c AS (SELECT doc_id, i, line, {S.strip("line")} AS bare FROM b),
-d AS (SELECT *, bare <> '' AND length(bare) <= 25 AND (bare IN ({FRAGMENT_LIST}) OR regexp_matches(bare, '^([-∂∇+=()\[\]·^/\\\p{{L}}\p{{N}}\p{{M}}_]|{S.WS})+$')) AND NOT (bare LIKE '%.' AND length(bare) > 6) AS short FROM c),
+d AS (SELECT *, bare <> '' AND length(bare) <= 25 AND (bare IN ({FRAGMENT_LIST}) OR regexp_matches(bare, '^([-∂∇+=()\[\]·^/\\\p{{L}}\p{{N}}\p{{M}}_]|{S.WS})+$') OR regexp_matches(bare, '^\(\d+(?:\.\d+)*\)$')) AND NOT (bare LIKE '%.' AND length(bare) > 6) AS short FROM c),
 e AS (SELECT *, CASE WHEN short THEN i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) END AS run FROM d),
 f AS (SELECT doc_id, min(i) AS i, string_agg(bare, ' ' ORDER BY i) AS block, string_agg(bare, chr(10) ORDER BY i) AS apart FROM e WHERE short GROUP BY doc_id, run),
 g AS (SELECT doc_id, i, CASE WHEN regexp_matches(block, '∂|∇|∫|∑|ρ|σ|λ|θ|vec|hat|alpha|beta|psi') AND (contains(block, '=') OR contains(block, '+') OR contains(block, '-') OR regexp_matches(block, '\(\d+(?:\.\d+)*\)')) THEN chr(10) || '$$' || block || '$$' || chr(10) ELSE apart END AS line FROM f

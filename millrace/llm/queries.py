@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, jaccard, lattice, line_dedup, packing, pii, suffix_dedup, token_store, toxicity, url_rules
+from millrace.llm import decontam, jaccard, lattice, length_packing, line_dedup, orchard, packing, periodic_runs, pii, suffix_dedup, token_store, toxicity, url_rules
 from millrace.session import work_folder
 
 
@@ -57,7 +57,33 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-REGISTERED = (op1_pii, op2_token_store, op3_line_dedup, op4_suffix_dedup, op5_packing, op6_lattice, op7_url_rules, op8_toxicity, op9_jaccard, op10_decontam)
+def op11_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_packing.pack(table(spark, sf_dir, "documents"))
+
+
+REGISTERED = (
+    op1_pii,
+    op2_token_store,
+    op3_line_dedup,
+    op4_suffix_dedup,
+    op5_packing,
+    op6_lattice,
+    op7_url_rules,
+    op8_toxicity,
+    op9_jaccard,
+    op10_decontam,
+    op11_orchard,
+    op12_periodic_runs,
+    op13_length_packing,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_orchard": orchard.SQL}

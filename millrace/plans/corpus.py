@@ -73,15 +73,26 @@ def _(t: Tables):
     return near(t, T.gram_hashes(x()), 85)
 
 
-@query("dd3_near_dedup_greedy")
+def greedy_sql(links: str) -> str:
+    """Rows that greedy keeping drops, one row after the other, from links (a, b)."""
+    return f"""nd AS (SELECT id, nb, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id, list(b) AS nb FROM {links} GROUP BY a)),
+rc AS (SELECT CAST(0 AS BIGINT) AS k, []::BIGINT[] AS lost UNION ALL SELECT rc.k + 1, CASE WHEN list_contains(lost, nd.id) THEN lost ELSE list_concat(lost, nb) END FROM rc JOIN nd ON nd.k = rc.k + 1),
+gone AS (SELECT DISTINCT unnest(lost) AS id FROM rc WHERE k = (SELECT max(k) FROM rc))"""
+
+
+@query("dd3_near_dedup_greedy", f"WITH RECURSIVE {pair_sql(S.shingles('text'), 85)}, {greedy_sql('pairs')} SELECT doc_id, doc_id NOT IN (SELECT id FROM gone) AS kept FROM documents")
 def _(t: Tables):
-    return M.greedy_keep(t.documents.select(F.col("doc_id").alias("id")), near(t, T.gram_hashes(x()), 85)).select(F.col("id").alias("doc_id"), "kept")
+    return M.near_kept(M.gram_sets(t.documents, "doc_id", T.gram_hashes(x())), 85).select(F.col("id").alias("doc_id"), "kept")
+
+
+FLAT = S.collapse("lower(text)")
+CHARS = f"list_transform([{FLAT}], lambda p: list_distinct(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))))[1]"
 
 
-@query("dd4_near_dedup_char_grams")
+@query("dd4_near_dedup_char_grams", f"WITH RECURSIVE {pair_sql(CHARS, 85).replace('documents', '(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)')}, {greedy_sql('pairs')} SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn NOT IN (SELECT id FROM gone) AS kept FROM conversations")
 def _(t: Tables):
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.char_grams(x()).alias("g"))
-    return M.greedy_keep(turns.select("id"), M.pairs(M.gram_sets(turns, "id", F.transform("g", lambda g: F.xxhash64(g))), None, 85))
+    return M.near_kept(M.gram_sets(turns, "id", F.transform("g", lambda g: F.xxhash64(g))), 85)
 
 
 SIGN = "list_transform(range(0, 16), lambda s: list_min(list_transform(gs, lambda g: xor(CAST('0x' || substr(md5(g), 25, 8) AS BIGINT), s * 2654435761 % 4294967296))))"
@@ -95,8 +106,6 @@ def signatures(t: Tables):
     return rows.select("conv_id", "turn", F.array(*[lowest(s * 2654435761 % 4294967296) for s in range(16)]).alias("sig"))
 
 
-FLAT = S.collapse("lower(text)")
-CHARS = f"list_transform([{FLAT}], lambda p: list_distinct(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))))[1]"
 SIGNED = f"s AS (SELECT conv_id, turn, {SIGN} AS sig FROM (SELECT conv_id, turn, {CHARS} AS gs FROM conversations))"
 
 

@@ -28,7 +28,7 @@ MASKS = "[" + ", ".join(map(str, H.SEEDS)) + "]"
 def keys_sql() -> str:
     bands = ", ".join(f"'b{k}:' || array_to_string(sig[{k * 4 + 1}:{k * 4 + 4}], '-')" for k in range(4))
     grams = f"(SELECT id, sha256({S.strip('text')}) AS h, list_transform({CHARS}, lambda g: CAST('0x' || substr(md5(g), 25, 8) AS BIGINT)) AS d FROM {TURNS})"
-    return f"n AS (SELECT id, h, [{bands}] AS keys, row_number() OVER (ORDER BY id) AS k FROM (SELECT id, h, list_transform({MASKS}, lambda s: list_min(list_transform(d, lambda v: xor(v, s)))) AS sig FROM {grams}))"
+    return f"n AS MATERIALIZED (SELECT id, h, [{bands}] AS keys, row_number() OVER (ORDER BY id) AS k FROM (SELECT id, h, list_transform({MASKS}, lambda s: list_min(list_transform(d, lambda v: xor(v, s)))) AS sig FROM {grams}))"
 
 
 @query("dd6_minhash_dedup", f"""WITH RECURSIVE {keys_sql()},
@@ -43,7 +43,7 @@ def _(t: Tables):
 TURN_PAIRS = pair_sql(CHARS, 85).replace("documents", f"(SELECT id AS doc_id, text FROM {TURNS})")
 
 
-@query("dd6_minhash_verified", f"""WITH RECURSIVE {keys_sql()}, {TURN_PAIRS}, bound AS (SELECT a, b FROM pairs JOIN n l ON l.id = a JOIN n r ON r.id = b WHERE list_has_any(l.keys, r.keys)), {greedy_sql('bound')},
+@query("dd6_minhash_verified", f"""WITH RECURSIVE {keys_sql()}, {TURN_PAIRS}, e AS MATERIALIZED (SELECT id, unnest(keys) AS key FROM n), met AS MATERIALIZED (SELECT DISTINCT l.id AS a, r.id AS b FROM e l JOIN e r ON l.key = r.key AND l.id < r.id), bound AS MATERIALIZED (SELECT a, b FROM pairs JOIN met USING (a, b)), {greedy_sql('bound')},
 f AS (SELECT id, h, id NOT IN (SELECT id FROM gone) AS kept FROM n)
 SELECT id, kept, CASE WHEN NOT kept THEN CASE WHEN h IN (SELECT h FROM f WHERE kept) THEN 'exact' ELSE 'near' END END AS reason FROM f""")
 def _(t: Tables):

@@ -69,6 +69,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def least_literals(width: int) -> int:
+    """Literal words that a window with placeholders must hold: of a short item's own window half the tokens, and two at least."""
+    return MIN_LITERALS if width >= WINDOW else max(2, -(-width // 2))
+
+
 class Windows:
     """All windows of one width in a block: row, place in its text, template hash, whether it holds enough literals, hash without placeholders."""
 
@@ -79,7 +84,7 @@ class Windows:
         loud = words < 2 * capitals  # capitals throughout a window say nothing
         typed, bare, literal = ((s[at + width] - s[at]) * block.down[at] + np.uint64(width) for s in block.sums)
         self.row, self.at, self.loud = block.row[at], at - block.begin[block.row[at]], loud
-        self.enough = np.where(loud, bare_free, free) >= MIN_LITERALS
+        self.enough = np.where(loud, bare_free, free) >= least_literals(width)
         self.literal = mixed(literal)
         self.hash = mixed(np.where(loud, bare, typed))
 

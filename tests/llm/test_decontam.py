@@ -61,8 +61,10 @@ def test_short_items_and_items_with_few_literals(spark):
     dense = "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg now"
     items = [(1, "What is 15 % of 240?"), (2, "a short item of seven words indeed"), (3, dense)]
     docs = [(1, f"{FREE}. What is 15 % of 240? {FREE}"), (2, f"{FREE} A short item of seven words, indeed {FREE}"), (3, f"{FREE}. {dense}. {FREE}"), (4, f"{FREE}. What is 16 % of 240? {dense.replace('6', '66')}")]
+    docs += [(5, f"{FREE}. What is 15 plus 40 minus 8 ? {FREE}"), (6, f"{FREE}. What is 15 plus 40 minus 15 ? {FREE}"), (7, f"{FREE}. Add 9 {FREE}")]
+    items += [(4, "What is 12 plus 34 minus 5 ?"), (5, "Add 3")]
     for most in (D.MAX_BROADCAST_WINDOWS, 0):
-        assert pairs_found(spark, docs, items, most) == {(1, 1), (2, 2), (3, 3)}
+        assert pairs_found(spark, docs, items, most) == {(1, 1), (2, 2), (3, 3), (4, 1), (5, 4), (3, 5), (4, 5)}  # "Add 3" stands there as it is
 
 
 def test_verbatim_windows_count_whatever_the_rest_does(spark):
@@ -101,7 +103,7 @@ def windows(text, width, whole=False):
         part = tokens[at : at + width]
         loud = sum(w for *_, w in part) < 2 * sum(c for _, _, c, _ in part)
         kinds = ["" if loud and k == "name" else k for _, k, _, _ in part]
-        yield at, width, tuple(k and f"<{k}>" or t for (t, *_), k in zip(part, kinds, strict=True)), tuple(t for t, *_ in part), [(k, t.replace(",", "")) for (t, *_), k in zip(part, kinds, strict=True) if k], kinds.count("") >= 6
+        yield at, width, tuple(k and f"<{k}>" or t for (t, *_), k in zip(part, kinds, strict=True)), tuple(t for t, *_ in part), [(k, t.replace(",", "")) for (t, *_), k in zip(part, kinds, strict=True) if k], kinds.count("") >= (6 if width >= 10 else max(2, (width + 1) // 2))
 
 
 def brute(docs, items):

@@ -53,23 +53,32 @@ def normalise(unit: str) -> str:
 def units(text: str | None, min_words: int = MIN_WORDS):
     """(start, end, normalised) of each line, each sentence that is long enough, and the shortest long enough run of sentences from and to each."""
     text, done = text or "", set()
-    starts, ends, words = [], [], [0]
+    starts, ends, words, forms, odd = [], [], [0], [], [0]
     for line in _LINE.finditer(text):
         raw, at = line[0], line.start()
         n = len(raw.split())
         if not n:
             continue
         done.add((at, line.end()))
-        whole = normalise(raw)
+        parts = [m.span() for m in _SENTENCE.finditer(raw)] or [(0, len(raw))]
+        # Each sentence is folded once; a line or run is its sentences' words, unless something but white space, or nothing, stands between two.
+        own = [" ".join(raw[s:e].casefold().split()) for s, e in parts]
+        plain = [e == s and own[k] and own[k + 1] and (raw[e - 1].isspace() or raw[e].isspace()) for k, ((_, e), (s, _)) in enumerate(zip(parts, parts[1:], strict=False))]
+        if parts[0][0] == 0 and parts[-1][1] == len(raw) and all(plain):
+            whole = " ".join(own).strip(_EDGE)
+        else:
+            whole = normalise(raw)
         # A line of signs alone is its own normal form, and no run starts or ends with it.
         yield at, line.end(), whole or raw.strip()
         if not whole:
             continue
-        parts = [m.span() for m in _SENTENCE.finditer(raw)] or [(0, len(raw))]
-        for s, e in parts:
+        first = not starts or text[ends[-1] : at + parts[0][0]].isspace() and own[0] and forms[-1]
+        for (s, e), form, joins in zip(parts, own, [first, *plain], strict=True):
             starts.append(at + s)
             ends.append(at + e)
-            words.append(words[-1] + (n if len(parts) == 1 else len(raw[s:e].split())))
+            words.append(words[-1] + (n if len(parts) == 1 else len(form.split())))
+            forms.append(form)
+            odd.append(odd[-1] + (not joins))
     last = first = 0
     for k in range(len(starts)):
         while last <= len(starts) and words[last] - words[k] < min_words:  # forth: from sentence k to the first end that is far enough
@@ -79,7 +88,7 @@ def units(text: str | None, min_words: int = MIN_WORDS):
         for i, j in ((k, last - 1), (first - 1, k)):
             if 0 <= i and j < len(starts) and (starts[i], ends[j]) not in done:
                 done.add((starts[i], ends[j]))
-                found = normalise(text[starts[i] : ends[j]])
+                found = " ".join(forms[i : j + 1]).strip(_EDGE) if odd[j + 1] == odd[i + 1] else normalise(text[starts[i] : ends[j]])
                 if found:
                     yield starts[i], ends[j], found
 
@@ -108,12 +117,12 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         at = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays([keys.take(at), marks.take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1].astype(np.int32))], names=names)
 
-    # The text hash only tells rows of one id apart, so 32 bits do.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark int, start int, end int, high long, low int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, start int, end int, high long, low int")
 
 
 def text_mark():
-    return F.hash("text")
+    """64 bits that tell rows of one id apart by their texts."""
+    return F.xxhash64("text")
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -108,3 +108,14 @@ def test_runs_reach_over_line_ends(spark):
     docs = [(1, f"Some words here. {head}\n{tail} The end."), (2, f"Others stand there. {head}\n{tail} No end.")]
     got = {r.doc_id: r.kept for r in L.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_stretch=1).collect()}
     assert got == {1: docs[0][1], 2: "Others stand there. No end."}
+
+
+def test_rows_of_one_id_are_told_apart_by_64_bits(spark):
+    """Two texts that one 32-bit hash confuses: only the one whose line repeats elsewhere loses it."""
+    rows = [(1, "row number 21944"), (1, "row number 78811"), (0, "row number 21944"), (None, "row number 78811")]
+    found = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1, min_stretch=1).collect()
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.kept) for r in found)
+    assert kept == [(False, 0, "row number 78811", "row number 78811"), (True, 0, "row number 21944", "row number 21944"), (True, 1, "row number 21944", ""), (True, 1, "row number 78811", "")]
+    unique = [(1, "row number 21944"), (1, "row number 78811"), (0, "row number 21944")]
+    found = L.dedup(spark.createDataFrame(unique, "doc_id long, text string"), min_words=1, min_stretch=1).collect()
+    assert {(r.doc_id, r.text): r.kept for r in found}[1, "row number 78811"] == "row number 78811"

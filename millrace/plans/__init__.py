@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "records", "corpus", "platform", "release", "structure", "clusters")
+MODULES = ("texts", "records", "corpus", "platform", "release", "structure", "clusters", "adapters")
 
 
 def load() -> None:

@@ -367,3 +367,25 @@ def _(t: Tables):
 @query("st4_dedup_stream", "SELECT DISTINCT event_type, props FROM events")
 def _(t: Tables):
     return drained(t, E.unique_payloads(E.stream(t.spark, t.folder, "events")).select("event_type", "props"), "append", "dedup")
+
+
+QUIET = 21_600
+
+
+@query("st3_silent_users", f"SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + {QUIET * 1000} <= epoch_ms((SELECT max(ts) FROM events))")
+def _(t: Tables):
+    with E.rocksdb(t.spark):
+        return drained(t, E.silent(E.stream(t.spark, t.folder, "events"), QUIET), "append", "silent")
+
+
+@query("st3_stale_users", "SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id HAVING epoch_ms((SELECT max(ts) FROM events)) // 1000 - epoch_ms(max(ts)) // 1000 > 21600")
+def _(t: Tables):
+    now = t.events.agg(F.max("ts").cast("timestamp").alias("now"))
+    seen = drained(t, E.last_seen(E.stream(t.spark, t.folder, "events")), "complete", "stale")
+    return E.stale(seen.join(F.broadcast(now)), F.col("now"), QUIET).select("user_id", "last_ts")  # one row
+
+
+@query("st4_recent_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t: Tables):
+    recent = E.unique_recent(E.stream(t.spark, t.folder, "events"), ["user_id", "event_type"], "60 days")
+    return drained(t, recent.select("user_id", "event_type"), "append", "recent")

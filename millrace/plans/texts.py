@@ -168,6 +168,23 @@ def _(t: Tables):
     return shown.select("event_id", j("$.password").alias("top"), j("$.inner.deeper.Session_Token").alias("deep"), j("$.inner.kind").alias("kept"), j("$.user_id").alias("user_id"), j("$.my_cookies").alias("listed"))
 
 
+# Payloads of four shapes: a secret object with objects inside, a secret list of objects, a telling key inside a list, and none at all.
+SECRET_SHAPES = ("""'{"id": ' || event_id || ', "Auth_Info": ' || {secret0} || ', "kind": "' || event_type || '"}'""", """'{"a": {"b": {"my_TOKENS": ' || {secret1} || ', "c": [1, {"d": ' || user_id || '}]}}}'""", """'[{"n": ' || user_id || ', "inner": [{"Cookie": ' || {secret2} || '}, "secret"]}]'""", """'{"sec_ret": {"user": ' || user_id || '}, "text": "password: ' || event_type || '"}'""")
+SECRETS = ("""'{"x": {"y": [' || user_id || ', {"z": "}"}]}, "w": null}'""", """'[{"k": "' || event_type || '"}, [2]]'""", """'"a ' || chr(92) || '" b"'""")
+
+
+def payload_sql(*secrets: str) -> str:
+    shapes = list(SECRET_SHAPES)
+    for k, secret in enumerate(secrets):
+        shapes[k] = shapes[k].replace(f"{{secret{k}}}", secret)
+    return f"CASE event_id % 4 WHEN 0 THEN {shapes[0]} WHEN 1 THEN {shapes[1]} WHEN 2 THEN {shapes[2]} ELSE {shapes[3]} END"
+
+
+@query("txt23_nested_redaction", f"""SELECT event_id, {payload_sql(*["'" + '"[REDACTED]"' + "'"] * 3)} AS shown FROM events""")
+def _(t: Tables):
+    return t.events.select("event_id", T.redact_json(F.expr(payload_sql(*SECRETS))).alias("shown"))
+
+
 @query("txt25_chat_template", f"""
 WITH {S.REC} SELECT conv_id, sha256(array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')) AS text_sha FROM rec""")
 def _(t: Tables):

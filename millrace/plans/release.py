@@ -34,10 +34,12 @@ def md5(c):
 # Files
 
 
-@query("src3_directory_scan", "SELECT role, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns, 0::BIGINT AS failed FROM conversations GROUP BY role")
+@query("src3_directory_scan", "SELECT role, count(*) AS n, CAST(sum(turn) FILTER (WHERE (conv_id + turn) % 5 <> 0) AS BIGINT) AS turns, count(*) FILTER (WHERE (conv_id + turn) % 5 = 0) AS failed FROM conversations GROUP BY role")
 def _(t: Tables):
     path = folder(t, "scan")
-    lines = t.conversations.select("role", F.to_json(F.struct("conv_id", "turn")).alias("value"))
+    whole = F.to_json(F.struct("conv_id", "turn"))
+    # Every fifth line is cut short.
+    lines = t.conversations.select("role", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.substring(whole, 1, 12)).otherwise(whole).alias("value"))
     # Nested folders of .jsonl files, as a user's data folder would have them.
     lines.write.partitionBy("role").option("encoding", "UTF-8").json(f"{path}/a/b")
     rows = t.spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_raw"))
@@ -55,6 +57,16 @@ def _(t: Tables):
     return rows.select("p_partkey", "p_name", "p_size", F.round("p_retailprice", 4).alias("p_retailprice"), F.col("_corrupt").isNotNull().alias("other_width"))
 
 
+@query("src4_csv_other_width", "SELECT p_partkey % 3 = 0 AS other_width, count(*) AS n, count(DISTINCT p_partkey) AS n_keys FROM part GROUP BY 1")
+def _(t: Tables):
+    path = folder(t, "csv")
+    wide = F.col("p_partkey") % 3 == 0
+    t.part.where(~wide).select("p_partkey", "p_name", "p_size", "p_retailprice").write.option("header", "true").csv(f"{path}/one")
+    t.part.where(wide).select("p_partkey", "p_name", "p_size", "p_retailprice", "p_type").write.option("header", "true").csv(f"{path}/two")
+    rows = raw.read_csv(t.spark, f"{path}/*", "p_partkey long, p_name string, p_size int, p_retailprice double")
+    return rows.groupBy(F.col("_corrupt").isNotNull().alias("other_width")).agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("n_keys"))
+
+
 @query("src5_file_discovery", "SELECT lang, count(*) * 33 AS bytes FROM documents GROUP BY lang")
 def _(t: Tables):
     path = folder(t, "discovery")
@@ -72,6 +84,20 @@ def _(t: Tables):
     return found.select("total_bytes", ((F.col("empty_files") <= 1) & (F.col("valid_files") > 0)).alias("all_valid"))
 
 
+@query("flt25_file_states", "SELECT kind, n * 33 AS total_bytes, empty AS empty_files, empty = 0 AND n > 0 AS all_valid FROM (SELECT count(*) AS n FROM documents), (VALUES ('whole', 0::BIGINT, true), ('with_empty', 1, true)) v(kind, empty, filled) UNION ALL SELECT 'nothing', 0, 1, false")
+def _(t: Tables):
+    lines = t.documents.select(F.coalesce(md5(x()), F.lit("-" * 32)).alias("line"))
+    rows = []
+    for kind, parts in (("whole", ("full",)), ("with_empty", ("full", "empty")), ("nothing", ("empty",))):
+        path = folder(t, f"validity-{kind}")
+        for part in parts:
+            (lines if part == "full" else lines.limit(0).coalesce(1)).write.text(f"{path}/{part}")
+        # The marker of each finished write is an empty file, too.
+        empty = F.col("empty_files") - len(parts)
+        rows.append(raw.validity(t.spark, path).select(F.lit(kind).alias("kind"), "total_bytes", empty.alias("empty_files"), ((empty == 0) & (F.col("valid_files") > 0)).alias("all_valid")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("snk3_convert_format", "SELECT p_partkey, md5(concat_ws('|', p_brand, p_partkey, p_size, p_type)) AS row_md5, 'p_brand,p_partkey,p_size,p_type' AS header FROM part")
 def _(t: Tables):
     path = folder(t, "convert")
@@ -103,6 +129,65 @@ def _(t: Tables):
     return digests.join(files, "lang").select("lang", F.col("n").alias("records"), "digest", "bytes")
 
 
+# Files of up to 1,000 documents each, so that no task writes a language alone.
+FILES_SQL = "fl AS (SELECT lang, doc_id // 1000 AS part, count(*) AS records, count(*) * 33 AS bytes, sha256(string_agg(md5(coalesce(text, '')) || chr(10), '' ORDER BY doc_id, md5(coalesce(text, '')))) AS sha256 FROM documents GROUP BY ALL)"
+
+
+def text_files(t: Tables, rows, path: str):
+    """Write (lang, part, key, line) as one text file per lang and part, lines by key."""
+    ordered = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "key", "line")
+    ordered.select("lang", "part", "line").write.partitionBy("lang", "part").text(path)
+
+
+def file_lines(t: Tables):
+    return t.documents.select("lang", F.expr("doc_id div 1000").alias("part"), F.col("doc_id").alias("key"), md5(F.coalesce(x(), F.lit(""))).alias("line"))
+
+
+def files_of(t: Tables, path: str):
+    """lang, part, bytes and sha256 of the files below a path."""
+    at = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return raw.inventory(t.spark, path, ("txt",)).select(at("lang").alias("lang"), at("part").cast("long").alias("part"), "bytes", "sha256")
+
+
+@query("snk7_file_manifest", f"WITH {FILES_SQL} SELECT lang, part, records, bytes, sha256 FROM fl")
+def _(t: Tables):
+    path = folder(t, "manifest")
+    text_files(t, file_lines(t), path)
+    records = t.documents.groupBy("lang", F.expr("doc_id div 1000").alias("part")).agg(F.count("*").alias("records"))
+    return files_of(t, path).join(records, ["lang", "part"]).select("lang", "part", "records", "bytes", "sha256")
+
+
+@query("gt7_file_integrity", f"WITH {FILES_SQL} SELECT lang || '/' || part AS file, CASE lang WHEN 'de' THEN 'mismatch' WHEN 'fr' THEN 'missing' ELSE 'ok' END AS state FROM fl UNION ALL SELECT 'xx/' || part, 'unexpected' FROM fl WHERE lang = 'en'")
+def _(t: Tables):
+    """A manifest of files against a folder in which some changed, some went and some came."""
+    path, lines = folder(t, "integrity"), file_lines(t)
+    text_files(t, lines, f"{path}/listed")
+    changed = F.when(F.col("lang") == "de", F.reverse("line")).otherwise(F.col("line"))
+    now = lines.where("lang <> 'fr'").withColumn("line", changed)
+    text_files(t, now.unionByName(lines.where("lang = 'en'").withColumn("lang", F.lit("xx"))), f"{path}/found")
+    named = lambda df: df.select(F.concat_ws("/", "lang", "part").alias("file"), "sha256")
+    return L.verify(named(files_of(t, f"{path}/listed")), named(files_of(t, f"{path}/found")), "file", "sha256")
+
+
+@query("lk7_frozen_files", f"WITH {SPLIT}, n AS (SELECT split, count(*) AS n FROM sp GROUP BY split) SELECT kind, split, n + CASE WHEN kind = 'grown' AND split = 'train' THEN 1 ELSE 0 END AS n, kind = 'untouched' OR (kind = 'edited' AND split <> 'test') OR (kind = 'grown' AND split <> 'train') AS unchanged FROM n, (VALUES ('untouched'), ('edited'), ('grown')) v(kind)")
+def _(t: Tables):
+    """Digests recorded when splits were written, against the files as they are now: untouched, with one split edited, and with a row more."""
+    path = folder(t, "frozen")
+    rows = by_hash(t).select("split", "doc_id", x())
+    edited = rows.withColumn("text", F.when(F.col("split") == "test", F.concat("text", F.lit("."))).otherwise(x()))
+    more = t.spark.createDataFrame([("train", -1, "one more")], "split string, doc_id long, text string")
+    for kind, df in (("untouched", rows), ("edited", edited), ("grown", rows.unionByName(more))):
+        df.write.partitionBy("split").parquet(f"{path}/{kind}")
+    read = lambda kind: t.spark.read.schema("split string, doc_id long, text string").parquet(f"{path}/{kind}")
+    frozen = written(L.ordered_digest(rows, "split", "doc_id", x()), "frozen").select("split", F.col("digest").alias("recorded"))
+    out = None
+    for kind in ("untouched", "edited", "grown"):
+        now = L.ordered_digest(read(kind), "split", "doc_id", x()).join(frozen, "split", "left")
+        one = now.select(F.lit(kind).alias("kind"), "split", "n", F.col("digest").eqNullSafe(F.col("recorded")).alias("unchanged"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("snk5_report", "WITH m AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang) SELECT 0::BIGINT AS line, '# Documents by language' AS text UNION ALL SELECT 1, '' UNION ALL SELECT 2, '| lang | n | sources |' UNION ALL SELECT 3, '| --- | --- | --- |' UNION ALL SELECT 3 + row_number() OVER (ORDER BY lang), '| ' || lang || ' | ' || n || ' | ' || sources || ' |' FROM m")
 def _(t: Tables):
     metrics = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))

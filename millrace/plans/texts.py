@@ -220,7 +220,7 @@ def _(t: Tables):
 
 
 LICENCE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN '{n}'" for p, n in Q.LICENCES) + " WHEN contains(lower(source), 'nptel') THEN 'CC-BY-NC-SA-4.0' WHEN contains(lower(source), 'arxiv') THEN 'arXiv Non-exclusive License' ELSE 'UNKNOWN' END"
-LICENSED = f"lic AS (SELECT doc_id, lang, source, {LICENCE_SQL} AS name FROM (SELECT doc_id, lang, source, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || chr(10) || right(text, 2000) ELSE text END AS s FROM documents))"
+LICENSED = f"lic AS (SELECT doc_id, lang, source, {LICENCE_SQL} AS name FROM (SELECT doc_id, lang, source, text AS s FROM documents))"
 RIGHTS_SQL = f"CASE WHEN upper(name) IN {Q.VERIFIED} THEN 'LICENSE_VERIFIED' WHEN upper(name) IN {Q.INTERNAL} THEN 'INTERNAL_ONLY' WHEN upper(name) IN ('UNKNOWN', 'UNSPECIFIED', 'NONE', '') THEN 'LICENSE_UNKNOWN' ELSE 'RIGHTS_REVIEW_REQUIRED' END"
 
 
@@ -253,7 +253,7 @@ TOPIC_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n
 
 
 @query("flt8_topic_classifier", f"""
-WITH a AS (SELECT doc_id, lower(concat_ws(' ', source, substr(text, 1, 2000))) AS s FROM documents), b AS (SELECT doc_id, {TOPIC_SQL} AS subtopic FROM a)
+WITH a AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS s FROM documents), b AS (SELECT doc_id, {TOPIC_SQL} AS subtopic FROM a)
 SELECT doc_id, subtopic, CASE WHEN subtopic IN ('ai_ml', 'linux_systems', 'cybersecurity') THEN subtopic ELSE 'science' END AS domain, CASE WHEN subtopic = 'general_physics' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM b""")
 def _(t: Tables):
     return t.documents.select("doc_id", Q.topic(F.col("source"), x()).alias("t")).select("doc_id", "t.subtopic", "t.domain", "t.confidence")

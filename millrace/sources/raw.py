@@ -29,8 +29,8 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; rows of another width have their text in ``_corrupt``."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    """CSV with a header; rows of another width have their text in ``_corrupt``, whichever columns are used (so none is pruned before the parser)."""
+    return spark.read.schema(f"{schema}, _corrupt string").option("header", "true").option("columnPruning", "false").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
 
 
 def inventory(spark: SparkSession, path: str, endings: tuple[str, ...] = ("html", "md", "txt", "json", "jsonl", "pdf")) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import case_audit as A
 from millrace.operators import minhash as H
 from millrace.operators import records as R
 from millrace.operators import similarity as M
@@ -80,3 +81,67 @@ def _(t: Tables):
     prompt = F.when(fifth == 0, F.concat("p", F.lit(" please"))).when(fifth == 1, F.array_join(F.reverse(F.split("p", " ")), " ")).otherwise(F.col("p"))
     cases = made.select(F.col("conv_id").alias("id"), prompt.alias("prompt"), F.when((fifth < 2) & (third == 1), F.lit("other")).otherwise(F.col("content")).alias("content"))
     return M.staged_contamination(cases, training)
+
+
+# Conversations as benchmark cases: kinds by number, with code, numbers and conclusions that some answers hold and others do not.
+def pick(values: tuple[str, ...], by: str) -> str:
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+KINDS = {"domain": pick((*A.DOMAINS, "art"), "conv_id"), "difficulty": pick(A.DIFFICULTIES, "conv_id"), "task": pick(("explanation", "calculation", "coding", "proof", "code_review", "comparison", "dance"), "conv_id"), "evaluation": pick(("qualitative", "numerical", "code_based", "reasoning", "reference_based"), "conv_id")}
+CODE = "chr(10) || 'def run(a):' || chr(10) || ' return b' || CASE WHEN conv_id % 4 = 3 THEN '((' ELSE '' END"
+ADDED = f"CASE conv_id % 6 WHEN 0 THEN ' 1,250.0 class action' WHEN 1 THEN '```python' || {CODE} || chr(10) || '```' WHEN 2 THEN ' so it is 12.5 ' || 'as of now' WHEN 3 THEN {CODE} ELSE '' END"
+CASE_ROWS = f"""cs AS (SELECT conv_id, {', '.join(f'{v} AS {k}' for k, v in KINDS.items())}, usr || CASE conv_id % 7 WHEN 0 THEN ' calculate the value is 1250' WHEN 1 THEN ' please?' ELSE '' END AS ask, ans || {ADDED} AS answer, CASE WHEN conv_id % 8 < 6 THEN conv_id % 3 END AS numbers FROM
+ (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS usr, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS ans FROM conversations GROUP BY conv_id))"""
+# What the rules say of these cases, written for them alone: code is valid unless its brackets stay open, and the numbers are 1250, 12.5 and 7.
+AUDIT_SQL = f"""{CASE_ROWS},
+k AS (SELECT *, lower(ask) AS asked, lower(answer) AS said, evaluation = 'numerical' OR task = 'calculation' AS is_math, evaluation = 'code_based' OR task IN ('coding', 'code_review') AS is_code, evaluation = 'reasoning' OR task = 'proof' AS is_reasoning,
+ CASE numbers WHEN 0 THEN '1250|1,250' WHEN 1 THEN '12.5' WHEN 2 THEN '7' END AS forms, regexp_matches(answer, '(?s)```.*```') OR contains(answer, 'def ') OR contains(answer, 'class ') AS has_code, regexp_matches(answer, '(?s)```.*```') AS fenced FROM cs),
+f AS (SELECT *, CASE WHEN domain = 'art' THEN 1 ELSE 0 END + CASE WHEN task = 'dance' THEN 1 ELSE 0 END + CASE WHEN trim(answer) = '' THEN 1 ELSE 0 END AS n_structure,
+ is_math AND (numbers IS NULL OR NOT (contains(answer, CASE numbers WHEN 0 THEN '1,250' WHEN 1 THEN '12.5' ELSE '7' END) OR (numbers = 0 AND contains(answer, '1250.0')) OR (numbers = 1 AND contains(answer, '12')) OR regexp_matches(answer, CASE numbers WHEN 0 THEN '\b1250\b' WHEN 1 THEN '\b12\.5' ELSE '\b7\b' END))) AS bad_math,
+ is_code AND ((NOT has_code AND task = 'code_review') OR (has_code AND (NOT fenced OR conv_id % 4 = 3 OR conv_id % 5 = 4))) AS bad_code,
+ (evaluation = 'reasoning') AS bad_reasoning,
+ (difficulty = 'expert' AND len({S.words('asked')}) < 10 AND task = 'explanation') OR (difficulty = 'beginner' AND (task = 'proof' OR contains(asked, 'cgroups'))) AS bad_difficulty,
+ (task = 'coding' AND NOT (contains(said, 'def ') OR contains(said, 'class ') OR contains(said, '```'))) OR (task = 'calculation' AND NOT regexp_matches(said, '[0-9]')) AS bad_task,
+ (length({S.strip('answer')}) > 30 AND contains(asked, lower({S.strip('answer')}))) OR (task = 'calculation' AND contains(asked, 'calculate') AND numbers IS NOT NULL AND (contains(asked, 'is ' || CASE numbers WHEN 0 THEN '1250' WHEN 1 THEN '12.5' ELSE '7' END) OR contains(asked, '= ' || CASE numbers WHEN 0 THEN '1250' WHEN 1 THEN '12.5' ELSE '7' END))) AS leaked,
+ length({S.strip('ask')}) < 15 AS short, NOT contains(ask, '?') AND NOT regexp_matches(asked, '{'|'.join(A.DIRECTIVES)}') AS aimless, length({S.strip('answer')}) < 10 AS brief FROM k),
+g AS (SELECT *, greatest(0.0, 1.0 - 0.3 * CAST(short AS INT) - 0.2 * CAST(aimless AS INT) - 0.3 * CAST(leaked AS INT)) AS clarity, greatest(0.0, 1.0 - 0.5 * CAST(bad_math AS INT) - 0.4 * CAST(bad_code AS INT) - 0.3 * CAST(bad_reasoning AS INT)) AS semantic,
+ greatest(0.0, 1.0 - 0.5 * CAST(bad_math AS INT) - 0.4 * CAST(bad_code AS INT) - 0.3 * CAST(bad_reasoning AS INT) - 0.5 * CAST(leaked AS INT)) AS evaluated, 1.0 - 0.6 * CAST(brief AS INT) AS reference, greatest(0.0, 1.0 - 0.3 * n_structure - 0.25 * CAST(bad_task AS INT)) AS metadata, 1.0 - 0.25 * CAST(bad_difficulty AS INT) AS hardness,
+ n_structure > 0 OR bad_math OR bad_code OR leaked OR brief AS critical FROM f),
+v AS (SELECT *, CAST((clarity + semantic + evaluated + reference + metadata + hardness) / 6 AS DOUBLE) AS overall FROM g),
+w AS (SELECT *, CASE WHEN critical THEN 'FAIL' WHEN round(overall, 9) >= 0.9 THEN 'PASS' WHEN round(overall, 9) >= 0.75 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM v)"""
+
+
+def benchmark_cases(t: Tables):
+    said = R.from_turns(t.conversations).select("conv_id", F.array_join(R.of_role(F.col("messages"), "user"), " ").alias("usr"), F.array_join(R.of_role(F.col("messages"), "assistant"), " ").alias("ans"))
+    asks = F.expr("usr || CASE conv_id % 7 WHEN 0 THEN ' calculate the value is 1250' WHEN 1 THEN ' please?' ELSE '' END")
+    rows = said.select("conv_id", *[F.expr(v).alias(k) for k, v in KINDS.items()], asks.alias("ask"), F.expr(f"ans || {ADDED}").alias("answer"))
+    number = F.map_from_arrays(F.array(F.lit("value")), F.array(F.expr("CASE conv_id % 3 WHEN 0 THEN 1250D WHEN 1 THEN 12.5D ELSE 7D END")))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    symbols = F.when(F.col("conv_id") % 5 == 4, F.array(F.lit("run"), F.lit("walk"))).otherwise(F.array(F.lit("run"), F.lit("b")))
+    return rows.select(
+        F.col("conv_id").alias("id"), *KINDS, F.array(message("user", "ask"), message("assistant", "answer")).alias("messages"), "answer", F.when(F.col("conv_id") % 8 < 6, number).alias("numbers"), symbols.alias("symbols"), F.lit(None).cast("string").alias("conclusion")
+    )
+
+
+@query("flt18_case_findings", f"WITH {AUDIT_SQL} SELECT conv_id AS id, CAST(n_structure AS BIGINT) AS n_structure, bad_math, bad_code, bad_reasoning, bad_difficulty, bad_task, leaked, short AS short_question, aimless AS no_directive, brief AS brief_answer, CASE WHEN regexp_matches(lower(ask || ' ' || answer), '{A.TIMELY}') THEN 'time_sensitive_fact' WHEN domain IN {A.STABLE} THEN 'stable_fact' WHEN domain IN {A.TECHNICAL} THEN 'technical_fact' ELSE 'opinion_or_subjective' END AS fact_kind FROM w")
+def _(t: Tables):
+    has = lambda *names: F.exists("issues", lambda i: i.isin(*names))
+    structure = F.size(F.filter("issues", lambda i: i.startswith("unknown_") | (i == "no_answer")))
+    return A.audit(benchmark_cases(t)).select(
+        "id", structure.cast("long").alias("n_structure"), has("no_expected_numbers", "number_not_in_answer").alias("bad_math"), has("no_code", "syntax_error", "missing_symbols").alias("bad_code"), has("no_conclusion", "conclusion_not_reached").alias("bad_reasoning"),
+        has("difficulty_mismatch").alias("bad_difficulty"), has("task_mismatch").alias("bad_task"), has("leaks").alias("leaked"), has("short_question").alias("short_question"), has("no_directive").alias("no_directive"), has("brief_answer").alias("brief_answer"), "fact_kind",
+    )
+
+
+SCORES = {"clarity": "clarity", "semantic": "semantic", "evaluation": "evaluated", "reference": "reference", "metadata": "metadata", "difficulty": "hardness"}
+
+
+@query("flt19_case_scores", f"WITH {AUDIT_SQL} SELECT conv_id AS id, {', '.join(f'round(CAST({v} AS DOUBLE), 6) AS {k}_score' for k, v in SCORES.items())}, round(overall, 6) AS overall, verdict, critical FROM w")
+def _(t: Tables):
+    return A.audit(benchmark_cases(t)).select("id", *[F.round(f"{k}_score", 6).alias(f"{k}_score") for k in SCORES], F.round("overall", 6).alias("overall"), "verdict", "critical")
+
+
+@query("ag25_suite_verdict", f"WITH {AUDIT_SQL} SELECT count(*) AS n_cases, count(*) FILTER (WHERE verdict = 'PASS') AS pass, count(*) FILTER (WHERE verdict = 'WARN') AS warn, count(*) FILTER (WHERE verdict = 'FAIL') AS fail, count(*) FILTER (WHERE is_math) AS math_checked, count(*) FILTER (WHERE is_math AND bad_math) AS math_failed, count(*) FILTER (WHERE is_code) AS code_checked, count(*) FILTER (WHERE is_code AND bad_code) AS code_failed, count(*) FILTER (WHERE is_reasoning) AS reasoning_checked, count(*) FILTER (WHERE is_reasoning AND bad_reasoning) AS reasoning_failed, count(*) FILTER (WHERE bad_difficulty) AS difficulty_mismatches, count(*) FILTER (WHERE bad_task) AS task_mismatches, count(*) FILTER (WHERE leaked) AS leaks, count(*) FILTER (WHERE critical) AS critical, round(avg(overall), 4) AS mean_score, CASE WHEN count(*) FILTER (WHERE critical) = 0 AND avg(overall) >= 0.9 THEN 'READY' ELSE 'NEEDS_REVISION' END AS decision FROM w")
+def _(t: Tables):
+    return A.suite(A.audit(benchmark_cases(t)))

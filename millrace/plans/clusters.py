@@ -98,7 +98,7 @@ AUDIT_SQL = f"""{CASE_ROWS},
 k AS (SELECT *, lower(ask) AS asked, lower(answer) AS said, evaluation = 'numerical' OR task = 'calculation' AS is_math, evaluation = 'code_based' OR task IN ('coding', 'code_review') AS is_code, evaluation = 'reasoning' OR task = 'proof' AS is_reasoning,
  CASE numbers WHEN 0 THEN '1250|1,250' WHEN 1 THEN '12.5' WHEN 2 THEN '7' END AS forms, regexp_matches(answer, '(?s)```.*```') OR contains(answer, 'def ') OR contains(answer, 'class ') AS has_code, regexp_matches(answer, '(?s)```.*```') AS fenced FROM cs),
 f AS (SELECT *, CASE WHEN domain = 'art' THEN 1 ELSE 0 END + CASE WHEN task = 'dance' THEN 1 ELSE 0 END + CASE WHEN trim(answer) = '' THEN 1 ELSE 0 END AS n_structure,
- is_math AND (numbers IS NULL OR NOT (contains(answer, CASE numbers WHEN 0 THEN '1,250' WHEN 1 THEN '12.5' ELSE '7' END) OR (numbers = 0 AND contains(answer, '1250.0')) OR (numbers = 1 AND contains(answer, '12')) OR regexp_matches(answer, CASE numbers WHEN 0 THEN '\b1250\b' WHEN 1 THEN '\b12\.5' ELSE '\b7\b' END))) AS bad_math,
+ is_math AND (numbers IS NULL OR NOT (contains(answer, CASE numbers WHEN 0 THEN '1,250' WHEN 1 THEN '12.5' ELSE '7' END) OR (numbers = 0 AND contains(answer, '1250.0')) OR (numbers = 1 AND contains(answer, '12')) OR regexp_matches(answer, CASE numbers WHEN 0 THEN '\\b1250\\b' WHEN 1 THEN '\\b12\\.5' ELSE '\\b7\\b' END))) AS bad_math,
  is_code AND ((NOT has_code AND task = 'code_review') OR (has_code AND (NOT fenced OR conv_id % 4 = 3 OR conv_id % 5 = 4))) AS bad_code,
  (evaluation = 'reasoning') AS bad_reasoning,
  (difficulty = 'expert' AND len({S.words('asked')}) < 10 AND task = 'explanation') OR (difficulty = 'beginner' AND (task = 'proof' OR contains(asked, 'cgroups'))) AS bad_difficulty,

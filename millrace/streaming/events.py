@@ -70,7 +70,8 @@ def silent(events: DataFrame, seconds: int, late: str = "0 seconds") -> DataFram
     """user_id and last_ts of each user without an event for ``seconds`` of event time, once per silence.
 
     State is one row a user that was heard of lately: a reported user is
-    forgotten until the next event. Events that come later than ``late`` behind
+    forgotten until the next event. Who is back in the very batch that would
+    report the silence is not reported. Events that come later than ``late`` behind
     the newest are dropped.
     """
     rows = events.where("user_id is not null and ts is not null").withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("micros"))

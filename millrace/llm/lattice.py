@@ -51,7 +51,7 @@ SMALL_CELL = 64
 PAIRS = 50_000
 SEED = 8
 #: Up to so many vectors: lattice blocks and tables, so many that pairs are found no less often than by the first setting.
-SIZES = ((20_000, 2, 5), (2_000_000, 3, 14), (200_000_000, 4, 32), (None, 5, 80))
+SIZES = ((2_000_000, 3, 14), (200_000_000, 4, 32), (None, 5, 80))
 
 
 def facets() -> np.ndarray:

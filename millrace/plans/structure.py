@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import structure as D
+from millrace.operators import units as U
 from millrace.plans import sqltext as S
 from millrace.plans.platform import HEAD_SQL, TYPE_SQL
 from millrace.plans.registry import Tables, query
@@ -155,3 +156,38 @@ def _(t: Tables):
     d = paged(t).select("doc_id", "document.*")
     n = lambda c: F.size(c).cast("long")
     return d.select("doc_id", n("sections").alias("n_sections"), n("chunks").alias("n_chunks"), n("references").alias("n_references"), F.col("n_tables").cast("long").alias("n_tables"), "n_chars")
+
+
+# Every text gets a phrase of one kind of content, or none, and up to five equations and tables.
+PHRASES = ("", " is defined as", " we derive it, taking the limit", " $a = b$ and \\(c\\) with {x_1^2 + y_2^2 - (z)} = [0] ", " 12.5 m/s", " in the laboratory", " whereas", " by an algorithm", " to summarize", " |---|", " known as the one, integrating both sides $x + y = (1)$ ")
+PHRASED = "text || CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END"
+UNITS_SQL = rf"""d AS (SELECT doc_id, {PHRASED} AS text, CASE WHEN doc_id % 7 < 5 THEN doc_id % 7 ELSE 0 END AS eq, CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS tab FROM documents),
+m AS (SELECT *, len({S.words('text')}) AS words, len(regexp_extract_all(text, '{U.FORMULAS}')) AS formulas, len(regexp_extract_all(text, '{U.SIGNS}')) AS signs, {' + '.join(f"len(regexp_extract_all(text, '{p}'))" for p in U.DEFINITION)} AS defined FROM d),
+dn AS (SELECT *, least(1.0::DOUBLE, (signs + 20 * formulas) / greatest(length(text), 1)) AS density FROM m),
+c AS (SELECT *, list_filter([CASE WHEN defined > 0 THEN 'definition' END, CASE WHEN {' OR '.join(f"regexp_matches(text, '{p}')" for p in U.DERIVATION)} OR (eq > 0 AND density > 0.15) THEN 'derivation' END, CASE WHEN eq > 0 OR formulas > 0 OR density > 0.08 THEN 'equation' END,
+ {', '.join("CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in ps) + f" THEN '{k}' END" for k, ps in (("calculation", U.CALCULATION), ("experiment", U.EXPERIMENT), ("comparison", U.COMPARISON), ("methodology", U.METHODOLOGY), ("conclusion", U.CONCLUSION)))}, CASE WHEN tab > 0 OR contains(text, '|---|') THEN 'table_data' END], lambda k: k IS NOT NULL) AS named FROM dn),
+u AS (SELECT *, CASE WHEN len(named) = 0 OR defined > 0 THEN list_append(named, 'concept') ELSE named END AS content FROM c)"""
+DIFFICULTY_SQL = "CASE WHEN list_contains(content, 'derivation') AND (eq >= 2 OR density >= 0.2) THEN CASE WHEN words > 300 OR eq >= 4 THEN 'expert' ELSE 'advanced' END WHEN list_contains(content, 'calculation') OR (list_contains(content, 'equation') AND density >= 0.1) THEN 'intermediate' WHEN list_has_any(content, ['methodology', 'experiment']) THEN 'advanced' WHEN list_contains(content, 'concept') THEN CASE WHEN words > 250 THEN 'intermediate' ELSE 'beginner' END ELSE 'intermediate' END"
+
+
+def knowledge_units(t: Tables):
+    units = t.documents.select("doc_id", F.expr(PHRASED.replace("\\", "\\\\")).alias("text"), F.expr("CASE WHEN doc_id % 7 < 5 THEN doc_id % 7 ELSE 0 END").alias("n_equations"), F.expr("CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END").alias("n_tables"))
+    return U.analysed(U.selected(units))
+
+
+@query("flt15_unit_content", f"WITH {UNITS_SQL} SELECT doc_id, words AS n_words, round(density, 6) AS math_density, round(CASE WHEN defined > 0 THEN least(1.0::DOUBLE, defined / (words / 50 + 1)) ELSE 0 END, 6) AS definition_density, array_to_string(content, ',') AS content FROM u WHERE words >= 25")
+def _(t: Tables):
+    return knowledge_units(t).select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.round("math_density", 6).alias("math_density"), F.round("definition_density", 6).alias("definition_density"), F.array_join("content", ",").alias("content"))
+
+
+@query("flt16_unit_difficulty", f"WITH {UNITS_SQL} SELECT difficulty, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, {DIFFICULTY_SQL} AS difficulty FROM u WHERE words >= 25) GROUP BY difficulty")
+def _(t: Tables):
+    return knowledge_units(t).groupBy("difficulty").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+TASKS_SQL = "[" + ", ".join(f"CASE WHEN list_has_any(content, [{', '.join(repr(k) for k in kinds)}]) THEN '{task}' END" for kinds, allowed in U.TASKS for task in allowed) + ", CASE WHEN words >= 80 THEN 'multi_turn' END]"
+
+
+@query("flt17_unit_tasks", f"WITH {UNITS_SQL}, k AS (SELECT doc_id, list_filter({TASKS_SQL}, lambda v: v IS NOT NULL) AS l FROM u WHERE words >= 25), o AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN ['explanation'] ELSE list_filter(l, lambda v, i: list_position(l, v) = i) END AS l FROM k) SELECT doc_id, array_to_string(l[1:3], ',') AS tasks FROM o")
+def _(t: Tables):
+    return knowledge_units(t).select("doc_id", F.array_join(U.tasks(F.col("content"), F.col("n_words")), ",").alias("tasks"))

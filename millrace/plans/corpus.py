@@ -19,7 +19,7 @@ def x():
 
 
 def bare_hash():
-    return F.sha2(T.strip(x()).cast("binary"), 256)
+    return F.sha2(T.strip_ends(x()).cast("binary"), 256)
 
 
 HASHED = f"h AS (SELECT *, sha256({S.strip('text')}) AS h FROM documents)"
@@ -49,7 +49,7 @@ def _(t: Tables):
 
 @query("dd5_exact_text_dedup", f"WITH {HASHED} SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS matched_id, min(doc_id) OVER (PARTITION BY h) = doc_id AS kept FROM h")
 def _(t: Tables):
-    docs = t.documents.select("doc_id", bare_hash().alias("h"))
+    docs = written(t.documents.select("doc_id", F.unhex(bare_hash()).alias("h")), "text-digests")  # read twice
     firsts = docs.groupBy("h").agg(F.min("doc_id").alias("matched_id"))
     return docs.join(firsts, "h").select("doc_id", "matched_id", (F.col("doc_id") == F.col("matched_id")).alias("kept"))
 
@@ -524,6 +524,5 @@ def _(t: Tables):
 
 @query("gen13_oversampling", f"WITH {RANKED}, w AS (SELECT lang, 40 AS need FROM (SELECT DISTINCT lang FROM documents)) SELECT doc_id, lang, c AS copy_index FROM r JOIN w USING (lang), unnest(range(0, CAST(ceil(need / n) AS BIGINT))) u(c) WHERE c * n + k <= need")
 def _(t: Tables):
-    w = Window.partitionBy("lang")
-    r = t.documents.select("doc_id", "lang").withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(A.shuffled(F.col("doc_id")), "doc_id")))
+    r = A.ranked(t.documents.select("doc_id", "lang"), "doc_id", "lang").withColumnsRenamed({"_k": "k", "_n": "n"})
     return r.select("doc_id", "lang", "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(40) / F.col("n")) - 1)).alias("copy_index")).where("copy_index * n + k <= 40").select("doc_id", "lang", "copy_index")

@@ -47,7 +47,7 @@ BLOCK_ROWS = 4_096
 STRIP_ROWS = 256
 #: Cells of up to so many rows are compared together with others.
 SMALL_CELL = 64
-#: Pairs of such cells that are held at once.
+#: Pairs that are judged at once.
 PAIRS = 50_000
 SEED = 8
 #: Up to so many vectors: lattice blocks and tables, so many that pairs are found no less often than by the first setting.
@@ -109,13 +109,23 @@ class Lattice:
         return np.stack(out, 1)
 
 
-def links_once(lattice: Lattice, unit: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Which linked pairs (row numbers) their cell of their table is to count: no earlier table, and no lower cell of this one, finds them."""
-    rows, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = inverse[: len(left)], inverse[len(left) :]
-    mine = np.ones(len(left), bool)
+class Located:
+    """Cells of some rows in every table that is asked for, each made once."""
+
+    def __init__(self, lattice: Lattice, unit: np.ndarray):
+        self.lattice, self.unit, self.made = lattice, unit, {}
+
+    def cells(self, table: int) -> np.ndarray:
+        if table not in self.made:
+            self.made[table] = self.lattice.cells(self.unit, table)
+        return self.made[table]
+
+
+def links_once(located: Located, a: np.ndarray, b: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which linked pairs (numbers of located rows) their cell of their table is to count: no earlier table, and no lower cell of this one, finds them."""
+    mine = np.ones(len(a), bool)
     for t in range(int(table.max(initial=-1)) + 1):
-        cells = lattice.cells(unit[rows], t)
+        cells = located.cells(t)
         home = cells[:, 0]
         same = home[a] == home[b]
         forth = (cells[a, 1:] == home[b][:, None]).any(1)
@@ -250,8 +260,8 @@ def near_links(reps: DataFrame, threshold: float = THRESHOLD, sizes=SIZES, folde
             starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[1:5]], axis=0)) + 1])
             counts = np.diff(np.append(starts, len(ids)))
 
-            def settled(left, right):
-                """Links of these pairs: rows with their counts and hubs."""
+            def settled(left, right, crowd=None, first=0):
+                """Links of these pairs: rows with their counts and hubs. ``crowd`` holds the cells of the rows from ``first`` on, where many pairs are of few rows."""
                 # Two that only probe do not meet here; blocks meet once, a block with itself in one task.
                 met = (home[left] | home[right]) & (ids[left] != ids[right]) & ((low[left] == high[left]) | (part[left] != part[right]))
                 left, right = left[met], right[met]
@@ -261,10 +271,15 @@ def near_links(reps: DataFrame, threshold: float = THRESHOLD, sizes=SIZES, folde
                 left, right = left[good], right[good]
                 if not len(left):
                     return
-                now = links_once(lattice, unit, left, right, table[left], cell[left])
-                left, right = left[now], right[now]
                 rows, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
                 a, b = inverse[: len(left)], inverse[len(left) :]
+                if crowd:
+                    now = links_once(crowd, left - first, right - first, table[left], cell[left])
+                else:
+                    now = links_once(Located(lattice, unit[rows]), a, b, table[left], cell[left])
+                a, b, left, right = a[now], b[now], left[now], right[now]
+                if not len(left):
+                    return
                 count = np.bincount(a, copies[right], len(rows)) + np.bincount(b, copies[left], len(rows))
                 hub = np.arange(len(rows))
                 while True:  # the smallest row number that a row reaches here
@@ -274,16 +289,20 @@ def near_links(reps: DataFrame, threshold: float = THRESHOLD, sizes=SIZES, folde
                     hub = hub[hub]
                     if (hub == was).all():
                         break
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[rows], count.astype(np.int64), ids[rows[hub]])], names=["rep", "links", "hub"])
+                some = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[rows[some]], count[some].astype(np.int64), ids[rows[hub[some]]])], names=["rep", "links", "hub"])
 
             small = (counts > 1) & (counts <= SMALL_CELL)
             for left, right in small_pairs(starts[small], counts[small]):
                 yield from settled(left, right)
             for s, c in zip(starts[counts > SMALL_CELL].tolist(), counts[counts > SMALL_CELL].tolist(), strict=True):
+                crowd = Located(lattice, unit[s : s + c])
                 for i in range(s, s + c, STRIP_ROWS):
                     near = unit[i : min(i + STRIP_ROWS, s + c)] @ unit[i : s + c].T >= threshold - 1e-9
                     a, b = np.nonzero(near)
-                    yield from settled(*(x[a < b] + i for x in (a, b)))
+                    a, b = (x[a < b] + i for x in (a, b))
+                    for k in range(0, len(a), PAIRS):
+                        yield from settled(a[k : k + PAIRS], b[k : k + PAIRS], crowd, s)
 
     keys = [*where, "low", "high"]
     return written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "rep long, links long, hub long"), "links", folder=folder)

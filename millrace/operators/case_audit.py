@@ -230,3 +230,27 @@ def suite(audited: DataFrame) -> DataFrame:
         F.round(mean, 4).alias("mean_score"),
         F.when((n("critical") == 0) & (mean >= PASS), "READY").otherwise("NEEDS_REVISION").alias("decision"),
     )
+
+
+def validity(cases: DataFrame) -> DataFrame:
+    """id, errors and whether a case is valid: no messages, no answer, what its evaluation asks for and does not get, an id or a prompt that an earlier case has.
+
+    ``position`` orders the cases. Checks of a case without messages end there.
+    """
+    m = F.coalesce(F.size("messages"), F.lit(0)) <= 0
+    kind = F.col("evaluation")
+    given = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    own = _issues(
+        ("no_answer", F.trim(_text(F.col("answer"))) == ""),
+        ("no_symbols", (kind == "code_based") & ~given("symbols")),
+        ("no_expected_numbers", (kind == "numerical") & ~given("numbers")),
+        ("no_conclusion", (kind == "reasoning") & (_text(F.col("conclusion")) == "")),
+    )
+    before = F.slice(F.col("messages"), F.lit(1), F.greatest(F.size("messages") - 1, F.lit(0)))
+    prompt = F.sha2(F.array_join(F.transform(before, lambda x: F.concat(x["role"], F.lit(":"), T.collapse(_text(x["content"])))), "\x1e").cast("binary"), 256)
+    rows = cases.select("position", "id", F.coalesce(prompt, F.lit("")).alias("_prompt"), F.when(m, F.array(F.lit("no_messages"))).otherwise(own).alias("_own"))
+    first = lambda key: rows.groupBy(key).agg(F.min("position").alias(f"_first_{key}")).select(F.col(key).alias(f"_{key}"), f"_first_{key}")
+    met = rows.join(first("id"), F.col("id").eqNullSafe(F.col("_id"))).join(first("_prompt"), F.col("_prompt") == F.col("__prompt"))
+    repeated = _issues(("repeated_id", F.col("position") > F.col("_first_id")), ("repeated_prompt", F.col("position") > F.col("_first__prompt")))
+    found = met.select("position", "id", F.concat(repeated, "_own").alias("errors"))
+    return found.withColumn("valid", F.size("errors") == 0)

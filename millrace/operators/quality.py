@@ -41,6 +41,42 @@ FIELDS = (
 )
 
 
+# Preprint categories (the first that a given one starts with counts) and the domain, topic and subtopic of each; those of the fields above.
+CATEGORIES = (
+    ("astro-ph", "science", "physics", "astrophysics"), ("astro-ph.co", "science", "physics", "cosmology"), ("astro-ph.ga", "science", "physics", "astrophysics"),
+    ("astro-ph.he", "science", "physics", "high_energy_astrophysics"), ("astro-ph.sr", "science", "physics", "solar_stellar_astrophysics"), ("quant-ph", "science", "physics", "quantum_mechanics"),
+    ("hep-th", "science", "physics", "high_energy_physics_theory"), ("hep-ph", "science", "physics", "particle_physics"), ("hep-ex", "science", "physics", "experimental_particle_physics"),
+    ("gr-qc", "science", "physics", "general_relativity_gravitation"), ("cond-mat", "science", "physics", "condensed_matter"), ("nucl-th", "science", "physics", "nuclear_physics"),
+    ("physics.optics", "science", "physics", "optics"), ("physics.flu-dyn", "science", "physics", "fluid_dynamics"), ("physics.chem-ph", "science", "physics", "chemical_physics"), ("physics.geo-ph", "science", "physics", "geophysics"),
+    ("cs.AI", "ai_ml", "ml_fundamentals", "artificial_intelligence"), ("cs.LG", "ai_ml", "deep_learning", "machine_learning"), ("cs.CV", "ai_ml", "computer_vision", "vision_models"),
+    ("cs.CL", "ai_ml", "nlp", "computational_linguistics"), ("stat.ML", "ai_ml", "ml_fundamentals", "statistical_learning"), ("math.PR", "mathematics", "probability_statistics", "probability"),
+    ("math.ST", "mathematics", "probability_statistics", "statistics"), ("math.CA", "mathematics", "calculus", "classical_analysis"), ("math.DG", "mathematics", "geometry_trigonometry", "differential_geometry"),
+    ("cs.CR", "cybersecurity", "cryptography", "security"), ("cs.SE", "software_engineering", "system_design", "software_engineering"), ("cs.NI", "networking", "osi_tcpip", "network_protocols"), ("cs.OS", "linux_systems", "kernel_internals", "operating_systems"),
+)
+FIELD_TOPICS = {"ai_ml": ("deep_learning", "neural_networks"), "linux_systems": ("kernel_internals", "os_engineering"), "cybersecurity": ("cryptography", "security")}
+
+
+def classified(categories: Column, title: Column, text: Column) -> Column:
+    """Struct (domain, topic, subtopic, confidence): by the first category that is known, else by keywords of title and text."""
+    made = lambda d, t, s, c: F.struct(F.lit(d).alias("domain"), F.lit(t).alias("topic"), F.lit(s).alias("subtopic"), F.lit(c).alias("confidence"))
+
+    def known(name: Column) -> Column:
+        bare = F.lower(T.strip(name))
+        out = None
+        for prefix, *found in CATEGORIES:
+            out = (F.when if out is None else out.when)(bare.startswith(prefix.lower()), made(*found, 0.95))
+        return out
+
+    def by_words(t: Column) -> Column:
+        out = None
+        for field, (topic_name, subtopic) in FIELD_TOPICS.items():
+            out = (F.when if out is None else out.when)(t["domain"] == field, made(field, topic_name, subtopic, 0.85))
+        return out.otherwise(F.struct(t["domain"].alias("domain"), F.lit("physics").alias("topic"), t["subtopic"].alias("subtopic"), t["confidence"].alias("confidence")))
+
+    named = F.get(F.array_compact(F.transform(F.coalesce(categories, F.array().cast("array<string>")), known)), F.lit(0))
+    return F.coalesce(named, T.let(topic(title, text), by_words))
+
+
 def licence(text: Column, declared: Column, source: Column) -> Column:
     """Struct (name, known, internal_only): the declared licence, else the first phrase in the text, else the source's."""
     bare = T.strip(F.coalesce(declared, F.lit("")))

@@ -145,3 +145,16 @@ def _(t: Tables):
 @query("ag25_suite_verdict", f"WITH {AUDIT_SQL} SELECT count(*) AS n_cases, count(*) FILTER (WHERE verdict = 'PASS') AS pass, count(*) FILTER (WHERE verdict = 'WARN') AS warn, count(*) FILTER (WHERE verdict = 'FAIL') AS fail, count(*) FILTER (WHERE is_math) AS math_checked, count(*) FILTER (WHERE is_math AND bad_math) AS math_failed, count(*) FILTER (WHERE is_code) AS code_checked, count(*) FILTER (WHERE is_code AND bad_code) AS code_failed, count(*) FILTER (WHERE is_reasoning) AS reasoning_checked, count(*) FILTER (WHERE is_reasoning AND bad_reasoning) AS reasoning_failed, count(*) FILTER (WHERE bad_difficulty) AS difficulty_mismatches, count(*) FILTER (WHERE bad_task) AS task_mismatches, count(*) FILTER (WHERE leaked) AS leaks, count(*) FILTER (WHERE critical) AS critical, round(avg(overall), 4) AS mean_score, CASE WHEN count(*) FILTER (WHERE critical) = 0 AND avg(overall) >= 0.9 THEN 'READY' ELSE 'NEEDS_REVISION' END AS decision FROM w")
 def _(t: Tables):
     return A.suite(A.audit(benchmark_cases(t)))
+
+
+@query("flt20_case_rules", f"""WITH {CASE_ROWS}, v AS (SELECT *, CASE WHEN conv_id % 9 = 8 THEN 'shared' ELSE CAST(conv_id AS VARCHAR) END AS id, {S.collapse('ask')} AS prompt FROM cs),
+e AS (SELECT conv_id, list_filter([CASE WHEN row_number() OVER (PARTITION BY id ORDER BY conv_id) > 1 THEN 'repeated_id' END, CASE WHEN row_number() OVER (PARTITION BY CASE WHEN conv_id % 10 = 0 THEN '' ELSE 'x' || prompt END ORDER BY conv_id) > 1 THEN 'repeated_prompt' END,
+ CASE WHEN conv_id % 10 = 0 THEN 'no_messages' END, CASE WHEN conv_id % 10 <> 0 AND trim(answer) = '' THEN 'no_answer' END, CASE WHEN conv_id % 10 <> 0 AND evaluation = 'code_based' AND conv_id % 4 = 1 THEN 'no_symbols' END, CASE WHEN conv_id % 10 <> 0 AND evaluation = 'numerical' AND numbers IS NULL THEN 'no_expected_numbers' END, CASE WHEN conv_id % 10 <> 0 AND evaluation = 'reasoning' AND conv_id % 3 > 0 THEN 'no_conclusion' END], lambda x: x IS NOT NULL) AS errors FROM v)
+SELECT conv_id AS position, array_to_string(errors, ',') AS errors, len(errors) = 0 AS valid FROM e""")
+def _(t: Tables):
+    n = F.col("position")
+    cases = benchmark_cases(t).withColumn("position", F.col("id")).withColumns({
+        "id": F.when(n % 9 == 8, "shared").otherwise(n.cast("string")), "messages": F.when(n % 10 != 0, F.col("messages")),
+        "symbols": F.when(n % 4 != 1, F.col("symbols")), "conclusion": F.when(n % 3 == 0, "it holds"),
+    })
+    return A.validity(cases).select("position", F.array_join("errors", ",").alias("errors"), "valid")

@@ -193,7 +193,12 @@ def _(t: Tables):
     return t.spark.read.schema("doc_id long, split string").parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("gen1_chunker")
+FOLD_SQL = f"""pp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, p, greatest(len({S.words('p')}), length(p) // 4) AS n FROM (SELECT doc_id, i, {S.strip('l')} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE p <> ''),
+r AS (SELECT doc_id, i, n AS size, 0 AS c FROM pp WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN r.size + p.n > 256 THEN p.n ELSE r.size + p.n END, CASE WHEN r.size + p.n > 256 THEN r.c + 1 ELSE r.c END FROM r JOIN pp p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+ch AS (SELECT doc_id, c, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN pp USING (doc_id, i) GROUP BY doc_id, c)"""
+
+
+@query("gen1_chunker", f"WITH RECURSIVE {FOLD_SQL} SELECT doc_id, c AS chunk, substr(sha256(doc_id || ':sec_0:' || c || ':' || text), 1, 16) AS chunk_id, CAST(greatest(len({S.words('text')}), length(text) // 4) AS BIGINT) AS tokens FROM ch")
 def _(t: Tables):
     c = C.chunks(t.documents, 256)
     return c.select("doc_id", "chunk", C.chunk_id(F.col("doc_id"), F.lit("sec_0"), F.col("chunk"), x()).alias("chunk_id"), T.estimate(x()).alias("tokens"))

@@ -257,3 +257,17 @@ WITH a AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS s FROM document
 SELECT doc_id, subtopic, CASE WHEN subtopic IN ('ai_ml', 'linux_systems', 'cybersecurity') THEN subtopic ELSE 'science' END AS domain, CASE WHEN subtopic = 'general_physics' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM b""")
 def _(t: Tables):
     return t.documents.select("doc_id", Q.topic(F.col("source"), x()).alias("t")).select("doc_id", "t.subtopic", "t.domain", "t.confidence")
+
+
+# Documents with categories of several kinds: none, one with blanks and capitals, an unknown one first, a finer one, an empty list, two known ones.
+GIVEN = ("NULL", "' Quant-PH '", "'xx|cs.lg'", "'astro-ph.GA'", "''", "'math.DG|cs.CR'")
+GIVEN_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(GIVEN)) + " END"
+BY_CATEGORY = "CASE " + " ".join(f"WHEN starts_with(lower(trim(c)), '{p.lower()}') THEN {{'domain': '{d}', 'topic': '{t}', 'subtopic': '{s}', 'confidence': 0.95::DOUBLE}}" for p, d, t, s in Q.CATEGORIES) + " END"
+FIELD_SQL = " ".join(f"WHEN '{f}' THEN {{'domain': '{f}', 'topic': '{t}', 'subtopic': '{s}', 'confidence': 0.85::DOUBLE}}" for f, (t, s) in Q.FIELD_TOPICS.items())
+
+
+@query("flt8_category_classifier", f"""WITH a AS (SELECT doc_id, string_split({GIVEN_SQL}, '|') AS cs, lower(concat_ws(' ', source, text)) AS s FROM documents), b AS (SELECT doc_id, list_filter(list_transform(cs, lambda c: {BY_CATEGORY}), lambda r: r IS NOT NULL)[1] AS known, {TOPIC_SQL} AS w FROM a),
+e AS (SELECT doc_id, coalesce(known, CASE w {FIELD_SQL} ELSE {{'domain': 'science', 'topic': 'physics', 'subtopic': w, 'confidence': CASE WHEN w = 'general_physics' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END}} END) AS r FROM b) SELECT doc_id, r.domain AS domain, r.topic AS topic, r.subtopic AS subtopic, r.confidence AS confidence FROM e""")
+def _(t: Tables):
+    categories = F.split(F.expr(GIVEN_SQL), r"\|")
+    return t.documents.select("doc_id", Q.classified(categories, F.col("source"), x()).alias("r")).select("doc_id", "r.*")

@@ -98,6 +98,28 @@ def _(t: Tables):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+# Rows in which a value is missing, all are, a field is too many, the line is cut short, or nothing stands.
+ODD_CSV = "CASE p_partkey % 6 WHEN 0 THEN p_partkey || ',,\"a, \"\"b\"\"\"' WHEN 1 THEN ',,' WHEN 2 THEN p_partkey || ',x,y,z' WHEN 3 THEN '' ELSE p_partkey || ',' || p_size || ',z' END"
+ODD_JSON = "CASE p_partkey % 6 WHEN 0 THEN '{\"k\": ' || p_partkey || ', \"v\": null, \"w\": \" \"}' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"k\": ' WHEN 3 THEN '  ' ELSE '{\"k\": \"v\"}' END"
+
+
+@query("ag28_file_profile", f"""WITH c AS (SELECT p_partkey % 6 AS k, {ODD_CSV} AS v FROM part), j AS (SELECT p_partkey % 6 AS k, {ODD_JSON} AS v FROM part)
+SELECT 'csv' AS kind, 2 AS file_count, CAST(sum(strlen(v) + 1) AS BIGINT) + 12 AS total_bytes, count(*) FILTER (WHERE k <> 3) AS row_count, count(*) FILTER (WHERE k IN (1, 3)) AS empty_rows, CAST(sum(CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END) AS BIGINT) AS missing_values, count(*) FILTER (WHERE k = 2) AS malformed_rows FROM c
+UNION ALL SELECT 'jsonl', 2, CAST(sum(strlen(v) + 1) AS BIGINT), count(*) FILTER (WHERE k <> 3), count(*) FILTER (WHERE k = 3), CAST(sum(CASE k WHEN 0 THEN 2 ELSE 0 END) AS BIGINT), count(*) FILTER (WHERE k IN (1, 2)) FROM j""")
+def _(t: Tables):
+    path, out = folder(t, "profile"), []
+    head = t.spark.createDataFrame([("a,b,c",)], "line string")
+    for kind, lines, columns in (("csv", F.expr(ODD_CSV), ["a", "b", "c"]), ("jsonl", F.expr(ODD_JSON), None)):
+        for half in (0, 1):
+            rows = t.part.where(F.col("p_partkey") % 2 == half).select(lines.alias("line"))
+            # One file of each half, named as its kind; a table of parts is small.
+            text = head.unionByName(rows).coalesce(1) if kind == "csv" else rows.coalesce(1)
+            text.write.text(f"{path}/{kind}/{half}")
+        raw.rename_endings(t.spark, f"{path}/{kind}", ".txt", f".{kind}")
+        out.append(raw.profile(t.spark, f"{path}/{kind}", kind, columns).select(F.lit(kind).alias("kind"), F.col("file_count").cast("int"), "total_bytes", "row_count", "empty_rows", "missing_values", "malformed_rows"))
+    return out[0].unionByName(out[1])
+
+
 @query("snk3_convert_format", "SELECT p_partkey, md5(concat_ws('|', p_brand, p_partkey, p_size, p_type)) AS row_md5, 'p_brand,p_partkey,p_size,p_type' AS header FROM part")
 def _(t: Tables):
     path = folder(t, "convert")

@@ -85,3 +85,45 @@ def validity(spark: SparkSession, path: str) -> DataFrame:
     full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("valid_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))
     total = F.lit(listed.getFileCount()).cast("long")
     return full.select(total.alias("total_files"), "valid_files", (total - F.col("valid_files")).alias("empty_files"), "total_bytes")
+
+
+def profile(spark: SparkSession, path: str, kind: str, columns: list[str] | None = None) -> DataFrame:
+    """One row on the files of one kind (csv or jsonl) below a path: file_count, total_bytes, row_count, empty_rows, missing_values, malformed_rows.
+
+    All files are read, not the first alone. Rows of a CSV are its lines but the
+    header, which names ``columns``, so values do not hold line ends; a row
+    without any value is empty, one of another width malformed. A JSON line is
+    malformed if it is no object; its missing values are keys with null or blank.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").text(path)
+    files = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("at"), "value")
+    sizes = files.groupBy("file").agg(F.min("bytes").alias("bytes")).agg(F.count("*").alias("file_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
+    if kind == "csv":
+        # A quoted value may hold commas; quotes inside are doubled.
+        cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',((?:"(?:[^"]|"")*"|[^,"])*)'), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+        rows = files.where(F.col("value") != ",".join(columns or [])).withColumn("cells", cells) if columns else files.withColumn("cells", cells)
+        blank = F.size(F.filter("cells", lambda c: c == ""))
+        empty = F.trim("value") == ""
+        odd = ~empty & (F.size("cells") != len(columns)) if columns else F.lit(False)
+        facts = rows.agg(F.count_if(~empty).alias("row_count"), F.count_if(empty | (blank == F.size("cells"))).alias("empty_rows"), F.coalesce(F.sum(F.when(~empty, blank)), F.lit(0)).alias("missing_values"), F.count_if(odd).alias("malformed_rows"))
+    else:
+        empty = F.trim("value") == ""
+        parsed = F.from_json(F.when(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"), F.col("value")), "map<string,string>")
+        rows = files.withColumn("keys", parsed)
+        blank = F.size(F.filter(F.map_values("keys"), lambda v: v.isNull() | (F.trim(v) == "")))
+        facts = rows.agg(F.count_if(~empty).alias("row_count"), F.count_if(empty).alias("empty_rows"), F.coalesce(F.sum(F.when(F.col("keys").isNotNull(), blank)), F.lit(0)).alias("missing_values"), F.count_if(~empty & F.col("keys").isNull()).alias("malformed_rows"))
+    return sizes.join(F.broadcast(facts))  # one row each
+
+
+def rename_endings(spark: SparkSession, path: str, old: str, new: str) -> int:
+    """Give files below a path another ending, and say how many; only names are touched, on the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    root = at(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, n = system.listFiles(root, True), 0
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(old):
+            system.rename(at(name), at(name.removesuffix(old) + new))
+            n += 1
+    return n

@@ -1,8 +1,8 @@
 """URL filter: listed rules first, then association rules mined from labels.
 
 Spark's FP-growth mines combinations of URL tokens that go with a bad label;
-rules are pruned by support, confidence and lift, and a rule goes when part of
-its tokens makes a rule that is at least as confident, which judges every URL
+rules are pruned by support, a least number of pages, confidence, lift and
+significance, and a rule goes when part of its tokens makes a rule that is at least as confident, which judges every URL
 the same way. All others stay. They match through an inverted index (token to
 rules), joined by token. Everything is DataFrame and SQL functions.
 
@@ -15,7 +15,8 @@ rows.
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits
 no rule and is allowed; a listed rule beats every mined one; repeated rows are
 judged alike, and of equally confident rules the greatest in text order is named;
-a URL of any length is read whole; labels that are null or lack a page are skipped; without labelled
+a URL of any length is read whole; ``page_id`` is read as a label's ``doc_id``;
+labels that are null or lack a page are skipped; without labelled
 pages nothing is mined; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,6 +32,9 @@ BAD = "label=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
+#: Labelled pages that a rule is seen on at least, and standard errors by which its confidence passes the share of bad pages.
+MIN_PAGES = 10
+MIN_ERRORS = 4.0
 #: Items in more than this share of the labelled pages say nothing and multiply the item sets.
 MAX_SHARE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,8 +77,12 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~x.rlike(r"=\d*$")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support) whose tokens point to a bad label."""
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES, min_errors: float = MIN_ERRORS) -> DataFrame:
+    """Rules (rule_id, tokens, confidence, support) whose tokens point to a bad label.
+
+    A rule's confidence lies above the share of bad pages by ``min_errors``
+    standard errors of that share among as many pages as the rule is seen on.
+    """
     bad = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("_bad"))
     seen = pages.select(F.col("page_id").alias("doc_id"), url_tokens(F.col("url")).alias("tokens")).where("size(tokens) > 0").join(bad, "doc_id")
     baskets = seen.select(F.when(F.col("_bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
@@ -83,8 +91,12 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     # Shares add up to the mean number of items of a page, so fewer than that over MAX_SHARE can be above it.
     drop = [r["item"] for r in common.select("item").collect()]
     kept = baskets.select(F.array_except("items", F.array(*[F.lit(x) for x in drop]).cast("array<string>")).alias("items")).where("size(items) > 0")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(kept)
-    good = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
+    least = min(1.0, max(min_support, min_pages / max(n, 1)))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(kept)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
+    share = F.col("confidence") / F.col("lift")  # of bad pages
+    seen_on = F.col("support") * n / F.col("confidence")
+    good = found.where((F.col("confidence") - share) * F.sqrt(seen_on) >= F.lit(min_errors) * F.sqrt(share * (1 - share)))
     rules = good.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.withColumn("rule_id", F.sha2(F.array_join("tokens", "\n"), 256))
     return without_redundant(rules).select("rule_id", "tokens", "confidence", "support")

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def test_mined_rules_match_brute_force(spark):
     urls = [f"http://{'spam' if i % 3 == 0 else 'ok'}{'' if i % 2 else '.sub'}.org/{'buy' if i % 5 < 2 else 'read'}/{i}" for i in range(120)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if "spam" in u and "buy" in u else 1, None) for i, u in enumerate(urls) if i % 4], "doc_id long, quality int, toxic int")
-    rules = {tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9)) for r in U.mine(pages, labels, 0.05, 0.5, 1.5).collect()}
+    rules = {tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9)) for r in U.mine(pages, labels, 0.05, 0.5, 1.5, 1, 2.0).collect()}
     rows = [(set(t), "spam" in u and "buy" in u) for i, (u, t) in enumerate((r.url, r.t) for r in pages.select("url", U.url_tokens(F.col("url")).alias("t")).collect()) if i % 4]
     base = sum(b for _, b in rows) / len(rows)
     tokens = {t for s, _ in rows for t in s if sum(t in x for x, _ in rows) <= U.MAX_SHARE * len(rows)}
@@ -40,10 +41,10 @@ def test_mined_rules_match_brute_force(spark):
     for k in range(1, 6):
         for c in combinations(sorted(tokens), k):
             has = [b for s, b in rows if s.issuperset(c)]
-            if has and sum(has) / len(rows) >= 0.05 and sum(has) / len(has) >= 0.5 and sum(has) / len(has) / base >= 1.5:
+            if has and sum(has) / len(rows) >= 0.05 and sum(has) / len(has) >= 0.5 and sum(has) / len(has) / base >= 1.5 and (sum(has) / len(has) - base) * len(has) ** 0.5 >= 2 * (base * (1 - base)) ** 0.5:
                 want[c] = (round(sum(has) / len(has), 9), round(sum(has) / len(rows), 9))
     assert rules == want and want
-    got = {r.url for r in U.matched(pages, U.mine(pages, labels, 0.05, 0.5, 1.5)).collect()}
+    got = {r.url for r in U.matched(pages, U.mine(pages, labels, 0.05, 0.5, 1.5, 1, 2.0)).collect()}
     by_url = {r.url: set(r.t) for r in pages.select("url", U.url_tokens(F.col("url")).alias("t")).collect()}
     assert got == {u for u, s in by_url.items() if any(s.issuperset(c) for c in want)}
 
@@ -64,3 +65,19 @@ def test_redundant_rules_go_and_all_others_stay(spark):
     pages = spark.createDataFrame([(1, "http://t7.org/" + "q" * 100_000), (2, None)], "page_id long, url string")
     index = spark.createDataFrame([("k", ["host=t7"], 0.9), ("l", ["host=org"], 0.9)], "rule_id string, tokens array<string>, confidence double")
     assert [(r.mined_rule, len(r.url) > 100_000) for r in U.matched(pages, index).collect()] == [("host=t7", True)]
+
+
+def test_rules_hold_on_pages_they_were_not_mined_from(spark):
+    """Two thirds teach, a third judges: rules find what they stand for, and none come from labels that say nothing of the URL."""
+    urls = [f"http://{'spam' if i % 7 == 0 else 'ok'}{i % 11}.org/{'buy' if i % 5 < 2 else 'read'}/{i}" for i in range(1500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    drawn = random.Random(5)
+    telling = [(i, int(drawn.random() < (0.1 if i % 5 < 2 else 0.9)), None) for i in range(1500)]
+    blind = [(i, int(drawn.random() < 0.7), None) for i in range(1500)]
+    teach = lambda rows: spark.createDataFrame([r for r in rows if r[0] % 3], "doc_id long, quality int, toxic int")
+    held = pages.where("page_id % 3 = 0")
+    hit = {r.url for r in U.matched(held, U.mine(pages, teach(telling))).collect()}
+    judged = [(quality == 0, urls[i] in hit) for i, quality, _ in telling if i % 3 == 0]
+    precision = sum(bad for bad, said in judged if said) / sum(said for _, said in judged)
+    assert precision >= 0.85 and sum(said for bad, said in judged if bad) / sum(bad for bad, _ in judged) >= 0.8
+    assert U.mine(pages, teach(blind)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.extensions import EVALUATORS
 from millrace.functions import text as T
 
 # Licences that allow redistribution, and phrases that name a licence, first match first.
@@ -134,3 +135,20 @@ def state(score: Column, open_fence: Column, least: float = 0.85) -> Column:
     """UNSCORED, PASSED or FAILED; an open code fence costs 0.15 once."""
     after = F.greatest(F.lit(0.0), score - F.when(open_fence, 0.15).otherwise(0.0))
     return F.struct(F.round(after, 4).alias("score"), F.when(score.isNull(), "UNSCORED").when(after >= least, "PASSED").otherwise("FAILED").alias("state"))
+
+
+@EVALUATORS.register("text_audit")
+def text_score(text: Column) -> Column:
+    """The score of :func:`audit`."""
+    return audit(text)["score"]
+
+
+def score_state(score: Column, minimum: float = 0.85) -> Column:
+    """PASSED, FAILED or UNSCORED."""
+    return F.when(score.isNull() | F.isnan(score), "UNSCORED").when(score >= minimum, "PASSED").otherwise("FAILED")
+
+
+def accepted(score: Column, minimum: float = 0.85, enforce: bool = True, allow_unscored: bool = True) -> Column:
+    """Whether a record is taken: passed ones always, failed ones unless the minimum is enforced, unscored ones if they are allowed."""
+    found = score_state(score, minimum)
+    return (found == "PASSED") | ((found == "FAILED") & F.lit(not enforce)) | ((found == "UNSCORED") & F.lit(allow_unscored))

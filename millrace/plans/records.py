@@ -68,6 +68,18 @@ def _(t: Tables):
     return joined.groupBy("lang").agg(F.count("*").alias("total"), F.count("quality").alias("scored"), F.count_if(F.col("quality").isNull()).alias("unscored"), F.count_if(F.coalesce(F.col("quality"), F.lit(1)) >= 0.85).alias("accepted"), F.round(F.avg("quality"), 6).alias("mean_score"))
 
 
+@query("flt4_acceptance_flags", """
+WITH q AS (SELECT d.doc_id, max(l.quality) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.doc_id)
+SELECT enforce, allow_unscored, count(*) FILTER (WHERE quality = 1 OR (quality = 0 AND NOT enforce) OR (quality IS NULL AND allow_unscored)) AS accepted, count(*) FILTER (WHERE quality = 0) AS failed, count(*) FILTER (WHERE quality IS NULL) AS unscored FROM q, (VALUES (true, true), (true, false), (false, true), (false, false)) v(enforce, allow_unscored) GROUP BY enforce, allow_unscored""")
+def _(t: Tables):
+    best = t.labels.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    scores = t.documents.select("doc_id").join(best, "doc_id", "left")
+    flags = [(a, b) for a in (True, False) for b in (True, False)]
+    counts = scores.agg(*[F.count_if(Q.accepted(F.col("quality"), enforce=a, allow_unscored=b)).alias(f"{a}|{b}") for a, b in flags], *[F.count_if(Q.score_state(F.col("quality")) == s).alias(s.lower()) for s in ("FAILED", "UNSCORED")])
+    row = lambda a, b: F.struct(F.lit(a).alias("enforce"), F.lit(b).alias("allow_unscored"), F.col(f"`{a}|{b}`").alias("accepted"))
+    return counts.select(F.explode(F.array(*[row(a, b) for a, b in flags])).alias("r"), "failed", "unscored").select("r.*", "failed", "unscored")
+
+
 def letters_sql(x: str) -> str:
     return f"list_distinct(list_filter({S.tokens(x)}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$')))"
 

@@ -31,12 +31,13 @@ bg AS (SELECT item_id, unnest({S.shingles('text')}) AS g FROM benchmark), dg AS
 hit AS (SELECT doc_id, count(DISTINCT g) AS shared FROM dg WHERE g IN (SELECT g FROM bg) GROUP BY doc_id)
 SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE dup) AS n_exact_duplicates, count(*) FILTER (WHERE coalesce(shared, 0) >= 8) AS n_touching_benchmark, round(count(*) FILTER (WHERE dup) / count(*), 6) AS duplicate_rate FROM f LEFT JOIN hit USING (doc_id) GROUP BY lang""")
 def corpus_health(t: Tables):
-    docs = t.documents.select("doc_id", "lang", "text")
-    firsts = docs.withColumn("h", bare_hash()).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    docs = t.documents.select("doc_id", "text")
+    digests = written(t.documents.select("doc_id", "lang", F.unhex(bare_hash()).alias("h")), "text-digests")  # read twice
+    firsts = digests.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
     hashed = lambda: F.explode(T.gram_hashes(x())).alias("g")
     grams = t.benchmark.select(hashed()).distinct()
     shared = docs.select("doc_id", hashed()).join(grams, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    flags = docs.select("doc_id", "lang").join(firsts, "doc_id", "left").join(shared, "doc_id", "left")
+    flags = digests.select("doc_id", "lang").join(firsts, "doc_id", "left").join(shared, "doc_id", "left")
     dup = F.count_if(F.col("first").isNull())
     return flags.groupBy("lang").agg(F.count("*").alias("n_docs"), dup.alias("n_exact_duplicates"), F.count_if(F.coalesce("shared", F.lit(0)) >= 8).alias("n_touching_benchmark"), F.round(dup / F.count("*"), 6).alias("duplicate_rate"))
 

@@ -105,3 +105,63 @@ def tasks(content: Column, n_words: Column, most: int = 3, talks: bool = True) -
         parts.append(F.when(n_words >= TALK_WORDS, F.array(F.lit("multi_turn"))).otherwise(none))
     found = F.array_distinct(F.concat(*parts))
     return F.slice(F.when(F.size(found) == 0, F.array(F.lit("explanation"))).otherwise(found), 1, most)
+
+
+# Fixed values of the chunk analysis: signs that make a formula substantial, numbered equations, definitions (term and meaning, or term alone), laws, steps of a derivation, measured numbers.
+SUBSTANTIAL = r"[∂∇∫∑∏√±×÷≡≈≠≤≥∝αβγδεθλμπρστφψω\\]"
+EQUATION_NUMBER = r"(?:Eq(?:uation)?\.?\s*\((\d+(?:\.\d+)*)\)|\((\d+(?:\.\d+)*)\)\s*$)"
+TERM = r"(?i)([A-Z][a-zA-Z\s]{2,30})"
+MEANINGS = (
+    r"(?i)([A-Z][a-zA-Z\s]{2,30})\s+is\s+(?:defined|known|referred to)\s+as\s+([^.\n]+)", r"(?i)([A-Z][a-zA-Z\s]{2,30})\s+(?:represents|denotes|signifies)\s+([^.\n]+)",
+    r"(?i)([A-Z][a-zA-Z\s]{2,30})\s+states\s+that\s+([^.\n]+)",
+)
+NAMED = r"(?i)called\s+(?:the\s+)?([a-zA-Z\s]{3,30})[.\n]"
+LAWS = (
+    r"(?i)\b(?:Newton's\s+(?:first|second|third)?\s*law|conservation\s+of\s+(?:mass|momentum|energy|charge)|Gauss(?:'s)?\s+theorem|Schrodinger\s+equation|Navier[- ]Stokes\s+equation|Euler\s+equation"
+    r"|Bernoulli(?:'s)?\s+equation|First\s+law\s+of\s+thermodynamics|Second\s+law\s+of\s+thermodynamics|Heisenberg\s+uncertainty\s+principle)\b"
+)
+STEPS = (
+    r"(?i)\b(?:substituting|introducing|differentiating|integrating|simplifying|expanding|yielding)\b", r"(?i)\b(?:we\s+obtain|we\s+get|which\s+gives|leads\s+to|can\s+be\s+written\s+as)\b",
+    r"(?i)\b(?:from\s+equation|using\s+Eq|by\s+Gauss|by\s+Newton)\b",
+)
+MEASURED = (
+    r"\b\d+(?:\.\d+)?\s*(?:[eE][+-]?\d+)?\s*(?:m/s|km/s|m/s\^2|eV|keV|MeV|GeV|TeV|J|kJ|N|kN|Pa|kPa|MPa|Hz|kHz|MHz|GHz|K|°C|mol|kg|g|mg|V|mV|kV|A|mA|Ω|kΩ|W|kW|MW|nm|μm|mm|cm|km|rad)\b",
+    r"\b\d+\s*[%°]\b",
+)
+#: Head, rule and first row of a pipe table.
+TABLE_HEAD = r"(?m)^\|.+\|\n\|\s*[-:]+[-| :]*\|\n\|.+\|"
+
+
+def chunk_analysis(text: Column) -> Column:
+    """Struct of a chunk: equations in order, number of tables, definitions (term, meaning), laws, whether it derives and measures, and its difficulty."""
+    x = T.strip(F.coalesce(text, F.lit("")))
+    every = lambda t, p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    kept = lambda parts, good: F.filter(F.transform(parts, T.strip), good)
+
+    def read(t: Column) -> Column:
+        display = kept(every(t, r"(?s)\$\$(.*?)\$\$", 1), lambda e: F.length(e) > 2)
+        inline = kept(every(t, r"(?<!\$)\$(?!\$)(.*?)(?<!\$)\$(?!\$)", 1), lambda e: (F.length(e) > 3) & (e.contains("=") | e.rlike(SUBSTANTIAL)))
+        numbered = kept(F.split(t, "\n"), lambda e: ~e.startswith("$$") & ~e.endswith("$$") & e.rlike(EQUATION_NUMBER) & e.rlike(SUBSTANTIAL))
+        fits = lambda d: (F.length(d["term"]) > 2) & (F.length(d["term"]) < 50) & ((d["meaning"] == "") | (F.length(d["meaning"]) > 5) & (F.length(d["meaning"]) < 250))
+        pair = lambda a, b: F.struct(T.strip(a).alias("term"), T.strip(b).alias("meaning"))
+        # Terms are dear to look for, so a text is first asked whether what follows them stands there at all.
+        cue = lambda p: "(?i)" + p.removeprefix(TERM)
+        part = lambda m, p, g: F.regexp_extract(m, p, g)
+        found = lambda p: F.when(t.rlike(cue(p)), every(t, p, 0)).otherwise(F.array().cast("array<string>"))
+        by = lambda p: F.transform(found(p), lambda m: pair(part(m, p, 1), part(m, p, 2)))
+        stated = [F.filter(by(p), lambda d: d["meaning"] != "") for p in MEANINGS]
+        named = F.transform(every(t, NAMED, 1), lambda n: pair(n, F.lit("")))
+        derives, tables, words = _any(t, STEPS), F.regexp_count(t, F.lit(TABLE_HEAD)), T.n_words(t)
+        eqs = F.array_distinct(F.concat(display, inline, numbered))
+
+        def judged(e: Column) -> Column:
+            n = F.size(e)
+            level = F.when((n >= 3) | ((n >= 1) & derives & (words > 250)), "advanced").when((n >= 1) | (tables >= 1) | derives | (words > 180), "intermediate").otherwise("beginner")
+            return F.struct(
+                e.alias("equations"), tables.alias("n_tables"), F.filter(F.concat(*stated, named), fits).alias("definitions"), F.array_sort(F.array_distinct(every(t, LAWS, 0))).alias("laws"),
+                derives.alias("has_derivation"), _any(t, MEASURED).alias("has_numbers"), level.alias("difficulty"),
+            )
+
+        return T.let(eqs, judged)
+
+    return T.let(x, read)

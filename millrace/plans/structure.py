@@ -191,3 +191,34 @@ TASKS_SQL = "[" + ", ".join(f"CASE WHEN list_has_any(content, [{', '.join(repr(k
 @query("flt17_unit_tasks", f"WITH {UNITS_SQL}, k AS (SELECT doc_id, list_filter({TASKS_SQL}, lambda v: v IS NOT NULL) AS l FROM u WHERE words >= 25), o AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN ['explanation'] ELSE list_filter(l, lambda v, i: list_position(l, v) = i) END AS l FROM k) SELECT doc_id, array_to_string(l[1:3], ',') AS tasks FROM o")
 def _(t: Tables):
     return knowledge_units(t).select("doc_id", F.array_join(U.tasks(F.col("content"), F.col("n_words")), ",").alias("tasks"))
+
+
+CHUNK_PHRASES = (
+    "", " The Force is defined as mass times change. ", " Entropy denotes a lack of order.", " Bayes states that odds multiply by evidence", " It is called the Carnot cycle.", " by Newton's second law and conservation of energy, the Euler equation",
+    " $$a + b$$ and $x = y$ and $ab$ and $c \\\\cdot$", "X\nE ∝ m (2.1)\nsee Eq. (3) for ∇ x\n$$E (1)\n", " substituting 5 kg we obtain 12 %", "X\n| a | b |\n|---|:-:|\n| 1 | 2 |\nend", " $$q + 1$$ $$q + 2$$ $$q + 3$$ $$q + 1$$",
+)
+CHUNKED = "text || CASE doc_id % 11 " + " ".join("WHEN {} THEN {}".format(i, " || chr(10) || ".join("'" + line.replace("\\\\", "\\").replace("'", "''") + "'" for line in p.split("\n"))) for i, p in enumerate(CHUNK_PHRASES)) + " END"
+
+
+def _analysis_sql() -> str:
+    all_of = lambda p, g: f"regexp_extract_all(t, '{p}', {g})"
+    kept = lambda parts, good: f"list_filter(list_transform({parts}, lambda e: {S.strip('e')}), lambda e: {good})"
+    quoted = lambda p: p.replace("'", "''")
+    display = kept(all_of(r"(?s)\$\$(.*?)\$\$", 1), "length(e) > 2")
+    inline = kept(r"list_transform(regexp_extract_all(regexp_replace(t, '\$\$+', chr(1), 'g'), '\$([^$\n]*)\$', 1), lambda e: replace(e, chr(1), '$$'))", f"length(e) > 3 AND (contains(e, '=') OR regexp_matches(e, '{U.SUBSTANTIAL}'))")
+    numbered = kept(f"string_split(t, {NL})", f"NOT starts_with(e, '$$') AND NOT suffix(e, '$$') AND regexp_matches(e, '{U.EQUATION_NUMBER}') AND regexp_matches(e, '{U.SUBSTANTIAL}')")
+    stated = [f"list_filter(list_transform(list_zip({all_of(p, 1)}, {all_of(p, 2)}), lambda d: {{'term': {S.strip('d[1]')}, 'meaning': {S.strip('d[2]')}}}), lambda d: d.meaning <> '')" for p in U.MEANINGS]
+    named = f"list_transform({all_of(U.NAMED, 1)}, lambda d: {{'term': {S.strip('d')}, 'meaning': ''}})"
+    defs = f"list_concat(list_concat(list_concat({stated[0]}, {stated[1]}), {stated[2]}), {named})"
+    some = lambda ps: "(" + " OR ".join(f"regexp_matches(t, '{p}')" for p in ps) + ")"
+    return f"""WITH d AS (SELECT doc_id, {S.strip(CHUNKED)} AS t FROM documents), e AS (SELECT doc_id, t, list_concat(list_concat({display}, {inline}), {numbered}) AS es, {defs} AS ds, list_sort(list_distinct(regexp_extract_all(t, '{quoted(U.LAWS)}'))) AS laws, {some(U.STEPS)} AS derives, {some(U.MEASURED)} AS measures, len(regexp_extract_all(t, '{U.TABLE_HEAD}')) AS tables, len({S.words('t')}) AS words FROM d),
+f AS (SELECT *, list_filter(es, lambda e, i: list_position(es, e) = i) AS eqs, list_filter(ds, lambda d: length(d.term) > 2 AND length(d.term) < 50 AND (d.meaning = '' OR (length(d.meaning) > 5 AND length(d.meaning) < 250))) AS defs FROM e)
+SELECT doc_id, array_to_string(eqs, chr(31)) AS equations, tables AS n_tables, array_to_string(list_transform(defs, lambda d: d.term || '=' || d.meaning), chr(31)) AS definitions, array_to_string(laws, ',') AS laws, derives AS has_derivation, measures AS has_numbers,
+ CASE WHEN len(eqs) >= 3 OR (len(eqs) >= 1 AND derives AND words > 250) THEN 'advanced' WHEN len(eqs) >= 1 OR tables >= 1 OR derives OR words > 180 THEN 'intermediate' ELSE 'beginner' END AS difficulty FROM f"""
+
+
+@query("gen8_chunk_contents", _analysis_sql())
+def _(t: Tables):
+    a = t.documents.select("doc_id", U.chunk_analysis(F.expr(CHUNKED.replace("\\", "\\\\").replace("n''s", "n\\'s"))).alias("a")).select("doc_id", "a.*")
+    shown = F.array_join(F.transform("definitions", lambda d: F.concat(d["term"], F.lit("="), d["meaning"])), "\x1f")
+    return a.select("doc_id", F.array_join("equations", "\x1f").alias("equations"), F.col("n_tables").cast("long").alias("n_tables"), shown.alias("definitions"), F.array_join("laws", ",").alias("laws"), "has_derivation", "has_numbers", "difficulty")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import chunks as C
+from millrace.operators.lineage import depths
 from millrace.plans import sqltext as S
 from millrace.plans.corpus import SPLIT, by_hash
 from millrace.plans.registry import Tables, query
@@ -159,7 +160,7 @@ def _(t: Tables):
 @query("jn13_lineage", "WITH RECURSIVE e AS (SELECT doc_id AS id, doc_id // 2 AS parent FROM documents WHERE doc_id > 0), r AS (SELECT id, parent, 1 AS depth FROM e UNION ALL SELECT r.id, e.parent, r.depth + 1 FROM r JOIN e ON e.id = r.parent) SELECT id, max(depth) AS depth FROM r GROUP BY id")
 def _(t: Tables):
     edges = t.documents.where("doc_id > 0").selectExpr("doc_id AS id", "doc_id div 2 AS parent")
-    return t.spark.sql("WITH RECURSIVE r AS (SELECT id, parent, 1 AS depth FROM {edges} UNION ALL SELECT r.id, e.parent, r.depth + 1 FROM r JOIN {edges} e ON e.id = r.parent) SELECT id, max(depth) AS depth FROM r GROUP BY id", edges=edges)
+    return depths(edges)
 
 
 @query("txt5_metadata_defaults", "SELECT lang AS domain, coalesce(nullif(source, 'src0'), 'general') AS topic, count(*) AS n FROM documents GROUP BY ALL")

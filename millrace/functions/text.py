@@ -63,24 +63,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.udf(StringType(), useArrow=False)
+def _composed(form: str, text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize(form, text)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _normal(form: str, text: Column, plain: str) -> Column:
+    """``text`` in a normal form. Texts of ``plain`` characters alone are in it already and stay where they are.
+
+    Spark has no such function, so the others go through Python, and not in
+    Arrow batches: those hold 10,000 texts at once, plain batches a hundred, so
+    that a worker's memory follows the texts' size and not the table's.
+    """
+    return F.coalesce(_composed(F.lit(form), F.when(text.rlike(f"[^{plain}]"), text)), text)
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. Spark has no such function, so this one runs in Arrow batches."""
-    return _nfc(text)
+    """Canonical composition. No character below U+0300 composes with one before it or is composed anew."""
+    return _normal("NFC", text, r"\x00-\u02FF")
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, in Arrow batches."""
-    return _nfkc(text)
+    """Compatibility composition. No character below U+00A0 stands for another."""
+    return _normal("NFKC", text, r"\x00-\x9F")
 
 
 def plain_lines(text: Column) -> Column:

@@ -25,6 +25,17 @@ def test_glyphs_and_unicode(spark):
     assert one(spark, T.tokens, "café naïve") == ["café", "naïve"]
 
 
+def test_normal_forms_take_few_texts_at_once(spark):
+    import unicodedata
+
+    texts = [None, "", "plain\r\n", "caf\u00e9", "cafe\u0301", "e\u0301" * 3, "\u02ff\u0300", "\ufb01 \u00bd \u00a0", "\u1100\u1161\u11a8", "\u212b", "q\u0307\u0323", "\u00ad\u2126"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    made = df.select("id", T.nfc(F.col("text")).alias("c"), T.nfkc(F.col("text")).alias("k"))
+    assert [(r.c, r.k) for r in made.orderBy("id").collect()] == [tuple(t and unicodedata.normalize(form, t) for form in ("NFC", "NFKC")) for t in texts]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # Arrow batches hold 10,000 texts
+
+
 def test_greedy_keeps_both_ends_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(6)], "id long")
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")

@@ -286,8 +286,8 @@ def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the collapsed lower-case text; a short text is one."""
 
     def made(flat):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1)))
-        return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substring(flat, i, F.lit(n)))))
+        runs = lambda signs: F.transform(F.sequence(F.lit(1), F.size(signs) - n + 1), lambda i: F.concat(*[F.element_at(signs, i + k) for k in range(n)]))
+        return F.when(F.length(flat) == 0, F.array().cast("array<string>")).when(F.length(flat) <= n, F.array(flat)).otherwise(F.array_distinct(let(F.split(flat, ""), runs)))
 
     return let(collapse(F.lower(text)), made)
 

@@ -20,8 +20,12 @@ entered once; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ SEEDS = (
     0x4BE98134, 0xDBC97B49, 0xA54FF53A, 0x3C6EF372, 0xABB58F65, 0x7FB5D329, 0xD76AA478, 0x02441453,
 )
 BAND = 4
+#: Digests of grams that a task holds at most, and the bits of a character.
+MOST_KNOWN, LOW = 1 << 19, (1 << 21) - 1
 
 
 def grams(text: Column) -> Column:
@@ -42,11 +48,72 @@ def grams(text: Column) -> Column:
     return T.let(T.char_grams(F.coalesce(text, F.lit(""))), lambda g: F.when(F.size(g) == 0, F.array(F.lit(""))).otherwise(g))
 
 
-def signature(found: Column, seeds: tuple[int, ...] = SEEDS) -> Column:
-    """Minima over the grams of the low 32 bits of md5, under each mask."""
-    digest = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 25, 8), 16, 10).cast("long")
-    lowest = lambda d, mask: F.array_min(F.transform(d, lambda v: v.bitwiseXOR(F.lit(mask).cast("long"))))
-    return T.let(F.transform(found, digest), lambda d: F.array(*[lowest(d, mask) for mask in seeds]))
+def digests(codes: np.ndarray, known: dict[int, int]) -> np.ndarray:
+    """The low 32 bits of md5 of grams, given as their characters' codes plus one, 21 bits each; ``known`` holds those made before."""
+    own, at = np.unique(codes, return_inverse=True)
+    if len(known) + len(own) > MOST_KNOWN:
+        known.clear()
+    out = np.empty(len(own), np.uint32)
+    for k, code in enumerate(own.tolist()):
+        found = known.get(code)
+        if found is None:
+            gram = "".join(chr(c - 1) for c in (code >> 42, code >> 21 & LOW, code & LOW) if c)
+            found = known[code] = int.from_bytes(hashlib.md5(gram.encode()).digest()[12:], "big")
+        out[k] = found
+    return out[at]
+
+
+def signatures(texts: list[str | None], seeds: tuple[int, ...], known: dict[int, int], chars: int = 1 << 20) -> np.ndarray:
+    """A row of minima per text; texts are read in blocks of about ``chars`` characters, longer ones in pieces."""
+    out = np.full((len(texts), len(seeds)), 0xFFFFFFFF, np.uint32)
+    owners: list[int] = []
+    pieces: list[str] = []
+    held = 0
+
+    def close() -> None:
+        sizes = np.array([max(3, len(p)) for p in pieces])
+        signs = np.zeros(sizes.sum(), np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        short = np.array([len(p) for p in pieces]) < 3
+        whole = np.frombuffer("".join(p if len(p) > 2 else p + "\0" * (3 - len(p)) for p in pieces).encode("utf-32-le"), np.uint32)
+        signs[:] = whole
+        signs += 1
+        for k in np.flatnonzero(short):
+            signs[starts[k] + len(pieces[k]) : starts[k] + 3] = 0
+        first = np.ones(len(signs), bool)
+        first[starts + sizes - 1] = first[starts + sizes - 2] = False
+        at = np.flatnonzero(first)
+        found = digests(signs[at] << 42 | signs[at + 1] << 21 | signs[at + 2], known)
+        begins = starts - 2 * np.arange(len(pieces))
+        for k, mask in enumerate(seeds):
+            np.minimum.at(out[:, k], owners, np.minimum.reduceat(found ^ np.uint32(mask), begins))
+        owners.clear()
+        pieces.clear()
+
+    for i, text in enumerate(texts):
+        text = text or ""
+        for start in range(0, max(1, len(text) - 2), chars):
+            owners.append(i)
+            pieces.append(text[start : start + chars + 2])
+            held += len(pieces[-1])
+            if held >= chars:
+                close()
+                held = 0
+    if pieces:
+        close()
+    return out
+
+
+def signature(text: Column, seeds: tuple[int, ...] = SEEDS) -> Column:
+    """Minima over the 3-grams of the low 32 bits of md5, under each mask; in Arrow batches, where each gram is digested once."""
+
+    @F.pandas_udf("array<long>")
+    def minima(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[int, int] = {}
+        for part in parts:
+            yield pd.Series(list(signatures(part.tolist(), seeds, known).astype(np.int64)))
+
+    return minima(T.collapse(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def buckets(sig: Column, n: int = len(SEEDS), band: int = BAND) -> Column:
@@ -85,12 +152,13 @@ def dedup(texts: DataFrame, verify: int | None = None) -> DataFrame:
     bucket alone drops nothing: pairs that alike are found by the similarity
     join, and those without a common bucket are left out.
     """
-    made = texts.select("id", F.sha2(T.strip(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("digest"), grams(F.col("text")).alias("grams"))
-    made = written(made.withColumn("keys", buckets(signature(F.col("grams")))), "minhash-rows")
+    more = [] if verify is None else [F.transform(grams(F.col("text")), lambda g: F.xxhash64(g)).alias("grams")]
+    made = texts.select("id", F.sha2(T.strip(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("digest"), signature(F.col("text")).alias("signature"), *more)
+    made = written(made.withColumn("keys", buckets(F.col("signature"))).drop("signature"), "minhash-rows")
     if verify is None:
         kept = bucket_keep(made)
     else:
-        sets = made.select("id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"))
+        sets = made.select("id", "grams")
         members = written(M.classes(sets), "minhash-classes")
         heads = made.join(members.where("id = class").select("id"), "id", "left_semi")
         found = M.pairs(sets.join(heads.select("id"), "id", "left_semi"), None, verify).select("a", "b")

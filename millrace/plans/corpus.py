@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import allocation as A
+from millrace.operators import minhash as H
 from millrace.operators import release as L
 from millrace.operators import similarity as M
 from millrace.plans import sqltext as S
@@ -101,10 +102,9 @@ SIGN = "list_transform(range(0, 16), lambda s: list_min(list_transform(gs, lambd
 
 def signatures(t: Tables):
     """16 minima of permuted 32-bit digests over character 3-grams of each turn."""
-    low = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 25, 8), 16, 10).cast("long")
-    lowest = lambda mask: F.array_min(F.transform("d", lambda v: v.bitwiseXOR(F.lit(mask).cast("long"))))
-    rows = t.conversations.select("conv_id", "turn", F.transform(T.char_grams(x()), low).alias("d"))
-    return rows.select("conv_id", "turn", F.array(*[lowest(s * 2654435761 % 4294967296) for s in range(16)]).alias("sig"))
+    seeds = tuple(s * 2654435761 % 4294967296 for s in range(16))
+    none = F.array_repeat(F.lit(None).cast("long"), len(seeds))
+    return t.conversations.select("conv_id", "turn", F.when(x().isNull(), none).otherwise(H.signature(x(), seeds)).alias("sig"))
 
 
 SIGNED = f"s AS (SELECT conv_id, turn, {SIGN} AS sig FROM (SELECT conv_id, turn, {CHARS} AS gs FROM conversations))"

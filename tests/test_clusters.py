@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,24 @@ def test_staged_contamination_stages(spark):
     found = M.staged_contamination(spark.createDataFrame(cases, schema), spark.createDataFrame(training, schema))
     got = {r.id: (r.verdict, r.matched_id) for r in found.collect()}
     assert got == {1: ("exact_prompt", 3), 2: ("exact_content", 4), 3: ("near", 3), 4: ("exact_prompt", 6), 5: ("clean", None), 6: ("clean", None), 7: ("clean", None)}
+
+
+def test_signatures_of_odd_texts(spark):
+    """Short, empty and wide texts, and one longer than a block; grams of every length are told apart."""
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", "ab", "abc", "a\0", "\0\0\0", "\U0010ffff" * 3, "\u4e00\U0001f600", "".join(rng.choice("abc \u00e9\u4e00\U0001f600") for _ in range(5000)), *(r[3] for r in rows_of(9, 20))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [r.k for r in df.select("id", H.buckets(H.signature(F.col("text"))).alias("k")).orderBy("id").collect()]
+    assert got == [keys(t) for t in texts]
+    flat = [" ".join((t or "").lower().split()) for t in texts]
+    assert (H.signatures(flat, H.SEEDS, {}, chars=7) == H.signatures(flat, H.SEEDS, {})).all()
+
+
+def test_long_texts_take_no_square_of_their_length(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh \u00e9") for _ in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, text + " ")], "id long, text string")
+    began = time.time()
+    assert [(r.id, r.reason) for r in H.dedup(df).where("not kept").collect()] == [(2, "exact")]
+    assert df.where(F.size(T.char_grams(F.col("text"))) == len(char_grams(text))).count() == 2
+    assert time.time() - began < 60

@@ -138,11 +138,22 @@ def test_one_level_is_read_without_writing(spark, tmp_path):
     import os
 
     from millrace import session
+    from millrace.plans import load
     from millrace.plans.registry import PLANS, Tables
 
+    load()
     spark.createDataFrame([(1, "a. References b. c", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in/documents.parquet")
     folder = session.work_folder(spark).removeprefix("file://")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     for name in ("gen4_page_sections", "gen4_page_references", "gen1_section_chunks", "gen9_document_levels"):
         PLANS[name](Tables(spark, f"{tmp_path}/in")).collect()
     assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_equations_in_pieces(spark):
+    """A batch of many texts is read a few at a time, with the same rows."""
+    texts = [None, "", "$$a = b$$ and $c$", "x" * 900 + " $d$"] * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [sorted((r.doc_id, r.number, r.latex) for r in S.equations(docs, chars=chars).collect()) for chars in (1, 1000, 10_000_000)]
+    want = sorted((i, e["number"], e["latex"]) for i, t in enumerate(texts) for e in S.find_equations(t or "")[0])
+    assert got == [want] * 3

@@ -160,8 +160,8 @@ def dedup(texts: DataFrame, verify: int | None = None) -> DataFrame:
     else:
         sets = made.select("id", "grams")
         members = written(M.classes(sets), "minhash-classes")
-        heads = made.join(members.where("id = class").select("id"), "id", "left_semi")
-        found = M.pairs(sets.join(heads.select("id"), "id", "left_semi"), None, verify).select("a", "b")
+        heads = M.heads(made, members)
+        found = M.pairs(heads.select("id", "grams"), None, verify).select("a", "b")
         keys = heads.select("id", "keys")
         bound = found.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b").where(F.arrays_overlap("ka", "kb"))
         first = M.greedy_keep(heads.select("id"), bound.select("a", "b")).withColumnRenamed("id", "class")

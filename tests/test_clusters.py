@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import minhash as H
 from millrace.operators import similarity as M
+from millrace.session import written
 
 
 def rows_of(seed, n=90, words=14):
@@ -158,3 +159,24 @@ def test_long_texts_take_no_square_of_their_length(spark):
     assert [(r.id, r.reason) for r in H.dedup(df).where("not kept").collect()] == [(2, "exact")]
     assert df.where(F.size(T.char_grams(F.col("text"))) == len(char_grams(text))).count() == 2
     assert time.time() - began < 60
+
+
+def test_star_clusters_write_the_sets_once(spark, tmp_path, monkeypatch):
+    draw = random.Random(6)
+    rows = [(k, "x", "s", [draw.getrandbits(63) for _ in range(400)]) for k in range(300)]
+    rows += [(1000 + k, "x", "s", rows[k][3][:-20]) for k in range(20)] + [(2000 + k, *rows[k][1:]) for k in range(20)]
+    sets = spark.createDataFrame(rows, "id long, domain string, task string, grams array<long>")
+    monkeypatch.setattr(M, "written", lambda df, label: written(df, label, folder=f"file://{tmp_path}"))
+    assert M.star_clusters(sets).where("kind = 'DUPLICATE'").count() == 60
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.5 * 8 * sum(len(r[3]) for r in rows)
+
+
+def test_heads_by_broadcast_and_by_join_are_the_same(spark, monkeypatch):
+    rows = [(1, [1, 2]), (2, [1, 2]), (2, [3]), (3, [3]), (4, []), (4, []), (None, [1, 2]), (None, []), (5, [9]), (5, [1, 2])]
+    sets = spark.createDataFrame(rows, "id long, grams array<long>")
+    members = M.classes(sets)
+    got = sorted((r.id, r.grams) for r in M.heads(sets, members).collect())
+    want = sorted((r.id, r.grams) for r in sets.join(members.where("id = class").select("id").distinct(), "id", "left_semi").collect())
+    monkeypatch.setattr(M, "MOST_SENT", 0)
+    assert sorted((r.id, r.grams) for r in M.heads(sets, members).collect()) == got == want
+    assert {i for i, _ in got} == {1, 2, 4, 5}
